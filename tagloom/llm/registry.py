@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import binary, mixing, packing
+from . import binary, html_text, knn, mixing, packing, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_token_binary": binary.query,
+    "op3_html_extraction": html_text.query,
+    "op4_url_filters": urls.query,
     "op5_mixing": mixing.query,
+    "op7_topk_search": knn.query,
 }
 ORACLE_SQL = {
+    "op4_url_filters": urls.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op7_topk_search": knn.ORACLE,
 }
