@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,3 +90,8 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds])
     return F.size(F.filter(edges, lambda e: e <= key))
+
+
+def schema_with(df: DataFrame, more: str) -> StructType:
+    """df's schema and further fields, given as DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

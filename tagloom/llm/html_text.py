@@ -209,8 +209,7 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     common.on_workers(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html, "text")]
     chosen = pages.select(*kept, F.col(html).cast("string").alias("_html"))
-    schema = chosen.drop("_html").schema.add("text", "string")
-    return chosen.mapInArrow(_extract_batches, schema)
+    return chosen.mapInArrow(_extract_batches, common.schema_with(chosen.drop("_html"), "text string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
