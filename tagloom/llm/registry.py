@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, html_text, knn, mixing, packing, urls
+from . import binary, html_text, knn, language, mixing, packing, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_html_extraction": html_text.query,
     "op4_url_filters": urls.query,
     "op5_mixing": mixing.query,
+    "op6_toxicity": toxicity.query,
     "op7_topk_search": knn.query,
+    "op8_language_id": language.query,
 }
 ORACLE_SQL = {
     "op4_url_filters": urls.ORACLE,
