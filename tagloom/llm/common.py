@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,6 +73,23 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def least_hashed(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The n rows of each group whose keys have the least hashes (fewer if it has fewer); groups must be few.
+
+    Rows are thinned by a hash threshold to about 4 n a group before they are ranked, so no task ranks
+    a whole group.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("n")).collect()  # one row a group
+    share = F.lit(1.0)
+    for r in counts:
+        if r["n"] > 4 * n:
+            share = F.when(F.col(group) == r[group], F.lit(4.0 * n / r["n"])).otherwise(share)
+    spread = F.xxhash64(F.lit(1), F.col(key))
+    thin = rows.filter(F.pmod(spread, F.lit(1 << 30)) < share * (1 << 30))
+    order = Window.partitionBy(group).orderBy(spread, key)
+    return thin.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+
+
 def range_bounds(ids: DataFrame, key: str, parts: int) -> list[int]:
     """Ascending cut points that split a long column into about `parts` equal ranges.
 

@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common, kernel
 
@@ -83,8 +82,7 @@ def learn(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE)
     spark = docs.sparkSession
     common.on_workers(spark)
     labelled = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select("doc_id", "lang")
+    chosen = common.least_hashed(labelled.select("doc_id", "lang"), "lang", "doc_id", per_language)
     chosen = common.stored(chosen.distinct(), "language-sample")
     sample = labelled.select("doc_id", "lang", F.lower("text").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # per_language rows a language
     counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
