@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, html_text, jaccard, knn, language, mixing, packing, toxicity, urls
+from . import binary, fingerprints, html_text, jaccard, knn, language, mixing, packing, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_topk_search": knn.query,
     "op8_language_id": language.query,
+    "op9_fingerprints": fingerprints.query,
     "op10_ngram_jaccard_join": jaccard.query,
 }
 ORACLE_SQL = {
