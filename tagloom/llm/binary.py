@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import common
-from .tokens import encoder
+from . import common, kernel
+from .tokens import SLICE, encoder
 
 #: The dictionary: its size, and the sample it is trained on (documents with the least hashes). Bounds
 #: that don't touch what is stored, only how small it gets.
@@ -83,10 +83,9 @@ def _frame_batches(tokenizer: str, end_id: int, width: int, dictionary: bytes):
     def run(batches):
         enc, (coder, _) = encoder(tokenizer, True), _coders(dictionary, LEVEL)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             frames, counts = [], []
-            for lo in range(0, len(texts), 256):
-                for raw in enc.encode([t or "" for t in texts[lo : lo + 256]]):
+            for _, part in kernel.slices(batch.column("text"), SLICE):
+                for raw in enc.encode_array(part):
                     raw += end
                     counts.append(len(raw) // 4)
                     frames.append(coder.compress(serialise(raw, width)))

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import common
-from .tokens import encoder
+from . import common, kernel
+from .tokens import SLICE, encoder
 
 CAPACITY = 4096
 #: Fillings tried for one largest document before the search falls back on its best.
@@ -191,20 +191,20 @@ def _piece_batches(path: str, capacity: int, end_id: int, ids: bool):
     def run(batches):
         enc = encoder(path, False)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys = batch.column(0)
             rows, piece, start, length, crc, raws = [], [], [], [], [], []
-            for lo in range(0, len(texts), 256):
-                for i, raw in enumerate(enc.encode([t or "" for t in texts[lo : lo + 256]]), lo):
+            for lo, part in kernel.slices(batch.column(1), SLICE):
+                for i, raw in enumerate(enc.encode_array(part), lo):
                     raw += end
                     for k, a in enumerate(range(0, len(raw), step)):
-                        part = raw[a : a + step]
+                        cut = raw[a : a + step]
                         rows.append(i)
                         piece.append(k)
                         start.append(a // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
+                        length.append(len(cut) // 4)
+                        crc.append(zlib.crc32(cut))
                         if ids:
-                            raws.append(part)
+                            raws.append(cut)
             columns = [keys.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if ids:

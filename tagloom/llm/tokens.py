@@ -3,132 +3,171 @@
 Byte-pair tokenizers that split on white space give a text the same ids as its pieces between
 white space, one after another. So each distinct piece is encoded once per worker and remembered:
 natural text repeats its words, and encoding is by far the dearest step. A piece that is a Latin
-word with signs behind it is put together from the ids of both. Texts in which white space could
-join pieces (`_ODD_SPACE`, `_RUN`) go to the library as they are.
+word with signs behind it is put together from the ids of both, and new words go to the library
+many at a time. Texts in
+which white space could join pieces (several in a row, or of a kind other than blanks and line
+ends) go to the library as they are.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from . import kernel
 
 #: Entries after which a memo is emptied: bounds a worker's memory.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 1_000_000
 #: Pieces beyond this length aren't kept.
 MEMO_CHARS = 64
 #: Pieces that go to the library in one call.
-JOINED = 4096
+JOINED = 512
+#: Bytes of text that are cut into pieces at a time: repeated pieces are looked up once.
+SLICE = 8 << 20
 
 #: White space other than blank, tab and line ends, on whose meaning the library's patterns differ from Python's.
-_ODD_SPACE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
-#: White space before a blank: there a piece would not start afresh.
-_RUN = re.compile(r"[ \t\r\n] ")
+_ODD_SPACE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+
+
 #: Latin letters (composed, one lower-case letter each).
-_LATIN = "A-Za-zÀ-ÖØ-öø-įĴ-ɏ"
-#: Latin letters, then ASCII signs and digits but no apostrophe: the tokenizers' patterns always part these two.
-_PARTS = re.compile(rf"(?:(?<= )|^)(?:([{_LATIN}]+)([!-&(-@\[-`{{-~]*)(?= |$)|([^ ]+))")
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u024f]+")
+#: ASCII signs and digits but no apostrophe: the tokenizers' patterns always part these from letters before them.
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha() and chr(c) != "'")
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers.
 
-    spaced: white space belongs to tokens (byte-level vocabularies); otherwise it is dropped and
-    letters are lower-cased by the tokenizer.
+    spaced: white space belongs to tokens (byte-level vocabularies); otherwise it is dropped.
     """
 
     def __init__(self, path: str, spaced: bool, encode_special: bool = True):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = encode_special
         self.spaced = spaced
-        self.model = Tokenizer(self.tokenizer.model)  # the same merges, for words that need no further splitting
+        self.mark = self.whole("\n") if spaced else b""
+        self.memo: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.long: list[str] = []  # words too long to keep
+        # the same merges for words that need no further splitting; no cache, for each is encoded once
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)["model"]
+        kept = {k: own[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk") if own.get(k) is not None}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in own["merges"]]
+        self.model = Tokenizer(BPE(own["vocab"], merges, cache_capacity=0, **kept))
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [chr(c) for c in range(ord("A"), 0x250) if re.fullmatch(f"[{_LATIN}]", chr(c))]
-        self.bytes_of = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
+        self.bytes_of = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(ord("A"), 0x250)) if _WORD.fullmatch(c)}
         self.blank = level.pre_tokenize_str(" ")[0][0] if spaced else ""
-        self.memo: dict[str, bytes] = {}
-        self.bases: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._ids(text).tobytes()
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct Latin words (after a blank, if spaced)."""
-        found: dict[str, bytes] = {}
+    def _words(self, words: list[str]) -> None:
+        """Remembers the ids of Latin words (if spaced: after a blank, or after the line end that they begin with)."""
+        blank, bytes_of, mark, memo = self.blank, self.bytes_of, self.mark, self.memo
         for i in range(0, len(words), JOINED):
             part = words[i : i + JOINED]
-            encoded = self.model.encode([self.blank + w.translate(self.bytes_of) for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(encoded.ids, dtype="<u4")
-            of = np.asarray(encoded.word_ids, dtype=np.int64)
-            raw, last = ids.tobytes(), 0
-            for word, cut in zip(part, (4 * np.searchsorted(of, np.arange(len(part)), side="right")).tolist()):
-                found[word] = raw[last:cut]
-                last = cut
-        return found
-
-    def _compose(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces without blanks."""
-        parts = _PARTS.findall(" ".join(pieces))
-        bases = [base if self.spaced else base.lower() for base, _, rest in parts if not rest]
-        new = set(bases).difference(self.bases)
-        if len(self.bases) + len(new) > MEMO_ENTRIES:
-            self.bases.clear()
-            new = set(bases)
-        self.bases.update(self._words(list(new)))
-        known, tails = self.bases, self.tails
-        ends = {tail for _, tail, _ in parts}
-        if len(tails) + len(ends) > MEMO_ENTRIES:
-            tails.clear()
-        for tail in ends.difference(tails):
-            tails[tail] = self.whole(tail) if tail else b""
+            if self.spaced:
+                lines = [w[1:].translate(bytes_of) if w[0] == "\n" else blank + w.translate(bytes_of) for w in part]
+            else:
+                lines = [w.lower().translate(bytes_of) for w in part]
+            found = self.model.encode("\n".join(lines), add_special_tokens=False)
+            raw = np.asarray(found.ids, dtype="<u4").tobytes()
+            cuts = (4 * np.flatnonzero(np.diff(np.asarray(found.word_ids, dtype=np.int64), prepend=-1))).tolist()
+            memo.update((w, mark + raw[a:b] if w[0] == "\n" else raw[a:b]) for w, a, b in zip(part, cuts, [*cuts[1:], len(raw)]))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pieces without white space (but for the line end that they may begin with)."""
+        memo, tails = self.memo, self.tails
         lead = " " if self.spaced else ""
-        if self.spaced:
-            found = {p: self.whole(lead + p) if rest else known[base] + tails[tail] for p, (base, tail, rest) in zip(pieces, parts)}
+        split, new = [], set()
+        for p in pieces:
+            base = p.rstrip(_SIGNS)
+            if _WORD.fullmatch(base, base[:1] == "\n"):
+                if base not in memo:
+                    new.add(base)
+                if len(base) < len(p):
+                    split.append((p, base))
+            else:
+                memo[p] = self.whole(p if p[0] == "\n" else lead + p)
+        self._words(list(new))
+        if len(tails) + len(split) > MEMO_ENTRIES:
+            tails.clear()
+        for p, base in split:
+            tail = p[len(base) :]
+            if tail not in tails:
+                tails[tail] = self.whole(tail)
+            memo[p] = memo[base] + tails[tail]
+        self.long = [base for base in new if len(base) > MEMO_CHARS]
+
+    def _pieces(self, texts: pa.Array) -> pa.ListArray:
+        """Texts cut at blanks and line ends; if spaced, a line end stays before its piece, and the first piece gets one."""
+        if not self.spaced:
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        lines = pc.replace_substring(texts, "\n", " \n")
+        return pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), lines, pa.scalar("", pa.large_string())), " ")
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: empty)."""
+        out: list[bytes] = []
+        for _, part in kernel.slices(texts, SLICE):
+            out += self._encode(pc.fill_null(part, "").cast(pa.large_string()))
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        pieces = self._pieces(texts)
+        words = pieces.flatten().dictionary_encode()
+        names, index = words.dictionary.to_pylist(), words.indices.to_numpy()
+        memo = self.memo
+        ids = list(map(memo.get, names))
+        if None in ids:
+            new = [p for p, i in zip(names, ids) if i is None]
+            if len(memo) + len(new) > MEMO_ENTRIES:
+                memo.clear()
+            # pieces that tell of white space of another kind, or several in a row, send their texts to the library
+            odd = {p for p in new if _ODD_SPACE.search(p) or (self.spaced and p in ("", "\n"))}
+            memo.update(dict.fromkeys(odd, b"") if odd else {})
+            self._learn([p for p in new if p and p not in odd])
+            if not self.spaced:
+                memo[""] = b""
+            ids = [memo[p] if i is None else i for p, i in zip(names, ids)]
+            for p in [*(p for p in new if p in odd or len(p) > MEMO_CHARS), *self.long]:
+                memo.pop(p, None)
         else:
-            found = {p: self.whole(p) if rest else known[base.lower()] + tails[tail] for p, (base, tail, rest) in zip(pieces, parts)}
-        for base in new:
-            if len(base) > MEMO_CHARS:
-                del known[base]
+            odd = ()
+        # ids of all words: those of the distinct pieces, copied to where the pieces stand
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        many = sizes[index]
+        ends = np.cumsum(many)
+        copied = flat[np.repeat(starts[index] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        edges = pieces.offsets.to_numpy()
+        edges = edges - edges[0]
+        cuts = np.concatenate(([0], ends))[edges]
+        raw, skip = copied.tobytes(), len(self.mark) if self.spaced else 0
+        found = [raw[a + skip : b] for a, b in zip((4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist())]
+        if odd:
+            bad = np.array([p in odd for p in names])[index]
+            for i in np.flatnonzero(np.add.reduceat(np.append(bad, 0), edges[:-1]) * (np.diff(edges) > 0)):
+                found[i] = self.whole(texts[int(i)].as_py())
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        new: set[str] = set()
-        for text in texts:
-            if _ODD_SPACE.search(text) or (self.spaced and (_RUN.search(text) or not text)):
-                split.append(None)
-                continue
-            parts = text.split(" ") if self.spaced else text.split()
-            split.append(parts)
-            new.update(parts[1:] if self.spaced else parts)
-        memo = self.memo
-        missing = new.difference(memo)
-        if len(memo) + len(missing) > MEMO_ENTRIES:
-            memo.clear()
-            missing = new
-        if "" in missing:  # the blank that ends a text
-            missing.discard("")
-            memo[""] = self.whole(" ")
-        learn = list(missing)
-        memo.update(self._compose(learn))
-        get = memo.__getitem__
-        out = []
-        for text, parts in zip(texts, split):
-            if parts is None:
-                out.append(self.whole(text))
-            elif self.spaced:
-                out.append(self.whole(parts[0]) + b"".join(map(get, parts[1:])))
-            else:
-                out.append(b"".join(map(get, parts)))
-        for p in learn:
-            if len(p) > MEMO_CHARS:
-                del memo[p]
-        return out
+        return self.encode_array(pa.array(texts, pa.string()))
 
 
 @lru_cache(maxsize=4)
