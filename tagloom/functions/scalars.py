@@ -39,7 +39,7 @@ def is_valid_link(url: Column, protocols: tuple[str, ...] = ("http", "https")) -
 def sanitize_url(url: Column) -> Column:
     """Blanks and other unsafe characters encoded; what is encoded already stays."""
     done = F.regexp_replace(F.trim(url), " ", "%20")
-    for c, code in (('"', "%22"), ("<", "%3C"), (">", "%3E"), ("|", "%7C"), ("\\\\", "%5C"), ("\\^", "%5E"), ("`", "%60"), ("\\{", "%7B"), ("\\}", "%7D")):
+    for c, code in (('"', "%22"), ("<", "%3C"), (">", "%3E"), ("\\|", "%7C"), ("\\\\", "%5C"), ("\\^", "%5E"), ("`", "%60"), ("\\{", "%7B"), ("\\}", "%7D")):
         done = F.regexp_replace(done, c, code)
     return done
 
