@@ -9,10 +9,15 @@ the pigeonhole principle makes any similar pair meet in some segment. All segmen
 counted costs (how many sets share a segment's subsets) a segment whose subsets are shared by very
 many sets gives its allowance to one that is cheap to index with one shingle left out.
 
+Segments without a shingle would make strangers meet, so sets don't index theirs: there are so many
+spare segments that, where a set has no more empty ones than that, a similar pair still meets in one
+that isn't empty in both. The few sets with more index their empty segments too.
+
 Sets that meet are linked to the first of their meeting place only, so rows stay linear in the
-number of index entries however large a group is. Components of these meetings hold all similar
-pairs; within each, tasks compare blocks of bounded size with blocks and keep a spanning forest of
-the pairs that are truly similar, which has the same components as all of them. Sets are
+number of index entries however large a group is. Components of the meetings in one band's index
+hold all pairs that are similar by it; within each, tasks compare blocks of bounded size with blocks
+and keep a spanning forest of the pairs that are truly similar, which has the same components as all
+of them. Sets are
 compared by their 64-bit shingle hashes; equal 64-bit set hashes stand for equal sets.
 
 Cases: null, empty and blank texts have empty sets and are linked with nothing, not even each
@@ -23,13 +28,13 @@ its smallest non-null doc_id (null if it has none). An empty table gives no rows
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
+from math import erfc, exp, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,7 +47,9 @@ HELD = 1_000_000
 #: Sets that a task remembers, to index copies once; what it forgets is indexed again.
 REMEMBERED = 200_000
 #: Documents and shingles of a block; two blocks are compared at a time.
-BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
+#: Share of a band's sets that may have more empty segments than there are spare ones.
+MANY_EMPTY = 0.02
 #: What comparing two sets costs, against an index entry's 1.
 PAIR_COST = 0.1
 #: Shingles (columns) that are multiplied at a time.
@@ -51,10 +58,8 @@ CHUNK = 4096
 BROADCAST_ROWS = 200_000
 U64 = np.uint64
 
-_DOC, _KEY, _MET = 0, 1, 2
 #: A key begins with its band and its segment (modulo 1024): 20 bits by which costs are counted.
 _SEGMENT_BITS, _HASH_BITS = 10, 44
-_SCHEMA = "kind int, a long, b long, c long"
 
 
 # ------------------------------------------------------------------------------------ size bands
@@ -65,6 +70,17 @@ def differing(total: int, percent: int) -> int:
     return total - 2 * -(-percent * total // (100 + percent))
 
 
+def _more_than(k: int, mean: float) -> float:
+    """The chance that a Poisson variable exceeds k."""
+    if mean > 50:
+        return 0.5 * erfc((k + 0.5 - mean) / sqrt(2 * mean))
+    term = total = exp(-mean)
+    for i in range(1, k + 1):
+        term *= mean / i
+        total += term
+    return 1 - total
+
+
 class Bands:
     """Bands of sizes: a set's similar partners of at least its size lie in its own band or the next."""
 
@@ -85,11 +101,26 @@ class Bands:
         return int(np.searchsorted(self.tops, size))
 
     @lru_cache(maxsize=None)  # noqa: B019  a few hundred bands
-    def segments(self, band: int) -> int:
+    def differing(self, band: int) -> int:
+        """Most shingles that only one of two similar sets has, the smaller of which lies in the band."""
         while len(self.tops) <= band:
             self._extend(self.tops[-1] + 1)
         total = self.tops[band] + self.tops[band] * 100 // self.percent
-        return 1 + max(differing(t, self.percent) for t in range(max(2, total - 40), total + 1))
+        return max(differing(t, self.percent) for t in range(max(2, total - 40), total + 1))
+
+    @lru_cache(maxsize=None)  # noqa: B019
+    def spare(self, band: int) -> int:
+        """Segments beyond those of the pigeonhole principle: as many as most sets of the band have without a shingle."""
+        size, spare = self.tops[band - 1] + 1 if band else 1, 0
+        while True:
+            m = self.differing(band) + 1 + spare
+            mean = m * exp(-size / m)
+            if spare >= 8 + m // 4 or _more_than(spare, mean) <= MANY_EMPTY:
+                return spare
+            spare += 1
+
+    def segments(self, band: int) -> int:
+        return self.differing(band) + 1 + self.spare(band)
 
     @lru_cache(maxsize=None)  # noqa: B019
     def edges(self, band: int) -> np.ndarray:
@@ -113,13 +144,18 @@ def entries(tokens: np.ndarray, bands: Bands, band: int, allowed: np.ndarray | N
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, U64), np.cumsum(spread, dtype=U64)))
         whole = sums[cuts[1:]] - sums[cuts[:-1]]
+        empty = cuts[1:] == cuts[:-1]
+        used = np.ones(len(segment), bool) if allowed is None else allowed > 0
+        plain = empty if allowed is None else empty & (allowed == 1)
+        if plain.sum() <= bands.spare(band):
+            used = used & ~plain
+        keys = _keys(whole[used], band, segment[used])
         if allowed is None:
-            return _keys(whole, band, segment)
+            return keys
+        # a subset's own key also meets subsets that hold one shingle more
         of = np.repeat(segment, np.diff(cuts))
         near = allowed[of] == 2
-        less = (whole[of] - spread)[near]
-    used = allowed > 0  # a subset's own key also meets subsets that hold one shingle more
-    return np.concatenate((_keys(whole[used], band, segment[used]), _keys(less, band, of[near])))
+        return np.concatenate((keys, _keys((whole[of] - spread)[near], band, of[near])))
 
 
 # ------------------------------------------------------------------------------------ the index
@@ -146,15 +182,27 @@ def _met(keys: np.ndarray, ids: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.unique(np.stack((ids, heads, keys >> _HASH_BITS & (1 << 64 - _HASH_BITS) - 1)), axis=1) if len(keys) else np.zeros((3, 0), np.int64)
 
 
-def _rows(kind: int, a, b, c) -> pa.RecordBatch:
-    n = len(c)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b) if b is not None else pa.nulls(n, pa.int64()), pa.array(c)], ["kind", "a", "b", "c"])
+def _sets(width: int):
+    """doc_id, key, b (shingles), c (set hash, 0 for the empty set) of each document."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, part in kernel.slices(batch.column(2)):
+                tokens, offsets = kernel.shingle_sets(part, width)
+                cids = [_set_hash(tokens[a:b]) if b > a else 0 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*(x.slice(lo, len(part)) for x in batch.columns[:2]), pa.array(np.diff(offsets)), pa.array(cids, pa.int64())], ["doc_id", "key", "b", "c"])
+
+    return run
 
 
 def _index(width: int, percent: int, changed: dict[int, np.ndarray] | None = None):
-    """First pass: documents (id, size, set hash) and index entries of all bands. changed: entries of these bands only, by their allowances."""
+    """a (key), c (set), head of index entries. Sets that meet within a task are met here: a row with a head says that c met it
+    under a, and only the first goes on. changed: entries of these bands only, by their allowances."""
     bands = Bands(percent)
 
+    def rows(keys, ids, heads):
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.nulls(len(ids), pa.int64()) if heads is None else pa.array(heads)], ["a", "c", "head"])
+
     def run(batches):
         keys, ids, held, seen = [], [], 0, set()
 
@@ -162,21 +210,20 @@ def _index(width: int, percent: int, changed: dict[int, np.ndarray] | None = Non
             nonlocal keys, ids, held
             key, first, (other, head, code) = _joined(np.concatenate(keys).view(np.int64), np.concatenate(ids))
             for lo in range(0, len(key), 1 << 18):
-                yield _rows(_KEY, key[lo : lo + (1 << 18)], None, first[lo : lo + (1 << 18)])
-            if len(other):
-                yield _rows(_MET, head, code, other)
+                yield from rows(key[lo : lo + (1 << 18)], first[lo : lo + (1 << 18)], None)
+            if len(other):  # their keys need only begin with the code; the rest deals them out
+                dealt = kernel.mix(other.view(U64)) >> U64(64 - _HASH_BITS)
+                yield from rows((code.view(U64) << U64(_HASH_BITS) | dealt).view(np.int64), other, head)
             keys, ids, held = [], [], 0
 
         for batch in batches:
-            doc_ids = batch.column(0)
-            for lo, part in kernel.slices(batch.column(1)):
+            for _, part in kernel.slices(batch.column(0)):
                 tokens, offsets = kernel.shingle_sets(part, width)
-                cids = np.zeros(len(part), np.int64)
-                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     if a == b:
                         continue
                     own = tokens[a:b]
-                    cids[i] = cid = _set_hash(own)
+                    cid = _set_hash(own)
                     if cid in seen:
                         continue
                     if len(seen) < REMEMBERED:
@@ -189,8 +236,6 @@ def _index(width: int, percent: int, changed: dict[int, np.ndarray] | None = Non
                         keys.append(k)
                         ids.append(np.full(len(k), cid, np.int64))
                         held += len(k)
-                if changed is None:
-                    yield _rows(_DOC, doc_ids.slice(lo, len(part)), np.diff(offsets), cids)
                 if held >= HELD:
                     yield from flush()
         if held:
@@ -200,28 +245,32 @@ def _index(width: int, percent: int, changed: dict[int, np.ndarray] | None = Non
 
 
 def _runs(batches):
-    """Entries sorted by key: the meetings wherever several ids share one."""
+    """Entries sorted by key: the meetings wherever several sets share one, and those that tasks have met before."""
     last_key, last_first = None, None
     for batch in batches:
-        keys, ids = batch.column("a").to_numpy(), batch.column("c").to_numpy()
+        keys, ids, heads = (batch.column(c) for c in ("a", "c", "head"))
+        keys, ids, known = keys.to_numpy(), ids.to_numpy(), np.asarray(heads.is_valid())
+        if known.any():
+            met = heads.filter(pa.array(known)).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _met(keys[known], ids[known], met)], ["a", "b", "code"])
+        keys, ids = keys[~known], ids[~known]
         if not len(keys):
             continue
         new = np.r_[True, keys[1:] != keys[:-1]]
-        heads = ids[np.flatnonzero(new)]
+        firsts = ids[np.flatnonzero(new)]
         if last_key is not None and keys[0] == last_key:
-            heads[0] = last_first
-        head = heads[np.cumsum(new) - 1]
+            firsts[0] = last_first
+        head = firsts[np.cumsum(new) - 1]
         last_key, last_first = keys[-1], head[-1]
         other = ids != head
         if other.any():
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _met(keys[other], ids[other], head[other])], ["a", "b", "code"])
 
 
-def _meetings(rows: DataFrame, parts: int) -> DataFrame:
+def _meetings(docs: DataFrame, index, parts: int) -> DataFrame:
     """a, b: sets that meet, each with the first of its meeting place; code: band and segment."""
-    across = rows.filter(F.col("kind") == _KEY).select("a", "c").repartition(parts, "a").sortWithinPartitions("a", "c").mapInArrow(_runs, "a long, b long, code long")
-    within = rows.filter(F.col("kind") == _MET).select(F.col("c").alias("a"), F.col("a").alias("b"), F.col("b").alias("code"))
-    return across.unionByName(within)
+    found = docs.select("text").mapInArrow(index, "a long, c long, head long")
+    return found.repartition(parts, "a").sortWithinPartitions("a", "c").mapInArrow(_runs, "a long, b long, code long").distinct()
 
 
 def allocate(costs: np.ndarray, sets: int, per_segment: float) -> np.ndarray:
@@ -240,6 +289,12 @@ def allocate(costs: np.ndarray, sets: int, per_segment: float) -> np.ndarray:
     return allowed
 
 
+def _band(sets: DataFrame, percent: int) -> Column:
+    """The band of the size b; there are as many bands as the largest size's logarithm says."""
+    tops = Bands(percent).tops_up_to(int(sets.agg(F.max("b")).first()[0] or 1))
+    return F.size(F.filter(F.array(*[F.lit(t) for t in tops]), lambda t: t < F.col("b")))
+
+
 def _changed(sets: DataFrame, meetings: DataFrame, percent: int) -> dict[int, np.ndarray]:
     """Allowances of those bands in which they aren't all 1. What is collected has a row for each size band, or segment of one."""
     bands = Bands(percent)
@@ -247,9 +302,7 @@ def _changed(sets: DataFrame, meetings: DataFrame, percent: int) -> dict[int, np
     costs: dict[int, dict[int, float]] = {}
     for r in met:
         costs.setdefault(r["code"] >> _SEGMENT_BITS, {})[r["code"] & (1 << _SEGMENT_BITS) - 1] = r["pairs"]
-    edges = F.array(*[F.lit(t) for t in bands.tops_up_to(int(sets.agg(F.max("b")).first()[0] or 1))])
-    of = F.size(F.filter(edges, lambda t: t < F.col("b")))
-    counts = {r["band"]: (r["n"], r["t"]) for r in sets.filter("b > 0").select("b", "c").distinct().groupBy(of.alias("band")).agg(F.count("*").alias("n"), F.sum("b").alias("t")).collect()}
+    counts = {r["band"]: (r["n"], r["t"]) for r in sets.filter("b > 0").select("b", "c").distinct().groupBy(_band(sets, percent).alias("band")).agg(F.count("*").alias("n"), F.sum("b").alias("t")).collect()}
     found = {}
     for band, by_segment in costs.items():
         m = bands.segments(band)
@@ -346,25 +399,27 @@ def _token_batches(width: int):
 
 
 def _verified(docs: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: true links, enough for the components. candidates: doc_id (one for each set), b (its size), c, root."""
+    """a, b: true links, enough for the components. candidates: key (of a document with the set), b (its size), c, root (a set may have two)."""
     spark = docs.sparkSession
     sums = candidates.groupBy("root").agg(F.count("*").alias("n"), F.sum("b").alias("t"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("t") / BLOCK_SHINGLES)).cast("int")
     sums = sums.select("root", blocks.alias("blocks"))
-    spread = candidates.join(sums, "root").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).drop("b")
+    places = F.struct("root", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    spread = candidates.join(sums, "root").groupBy("key", "c").agg(F.max("b").alias("b"), F.collect_list(places).alias("places"))
     spread = common.stored(spread, "jaccard-candidates")
-    total = candidates.agg(F.sum("b"), F.count("*")).first()
+    total = spread.agg(F.sum("b"), F.count("*")).first()
     groups = max(4 * common.shuffle_partitions(spark), -(-int(total[0] or 0) // (BLOCK_SHINGLES // 4)))
-    chosen = F.broadcast(spread) if total[1] <= BROADCAST_ROWS else spread
+    chosen = spread.drop("b")
     found = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
-        .join(chosen, "doc_id")
-        .select("root", "c", "block", "blocks", "_text")
-        .mapInArrow(_token_batches(width), "root long, c long, block int, blocks int, tokens binary")
+        docs.select("key", F.col("text").alias("_text"))
+        .join(F.broadcast(chosen) if total[1] <= BROADCAST_ROWS else chosen, "key")
+        .select("c", "places", "_text")
+        .mapInArrow(_token_batches(width), "c long, places array<struct<root:long,block:int,blocks:int>>, tokens binary")
     )
     # every block meets itself and all others; groups of one block share tasks
+    placed = found.select("c", "tokens", F.explode("places").alias("p")).select("c", "tokens", "p.root", "p.block", "p.blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = found.withColumn("_other", other).select("root", "c", "block", "tokens", F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y"), "blocks")
+    paired = placed.withColumn("_other", other).select("root", "c", "block", "tokens", F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y"), "blocks")
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", "x", "y"))
     return paired.withColumn("task", task).groupBy("task").applyInPandas(_compare(percent), "a long, b long")
 
@@ -376,19 +431,21 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     common.on_workers(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
     parts = 2 * common.shuffle_partitions(spark)
-    first = common.stored(docs.mapInArrow(_index(width, percent), _SCHEMA), "jaccard-index")
-    sets = first.filter(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("b"), F.col("c"))
-    meetings = common.stored(_meetings(first, parts).distinct(), "jaccard-meetings")
+    sets = common.stored(docs.mapInArrow(_sets(width), "doc_id long, key long, b long, c long"), "jaccard-sets")
+    meetings = common.stored(_meetings(docs, _index(width, percent), parts), "jaccard-meetings")
     if changed := _changed(sets, meetings, percent):
-        again = common.stored(docs.mapInArrow(_index(width, percent, changed), _SCHEMA), "jaccard-index")
-        band = F.shiftright("code", _SEGMENT_BITS)
-        meetings = meetings.filter(~band.isin(list(changed))).unionByName(_meetings(again, parts))
-    roots = components(meetings)
+        again = _meetings(docs, _index(width, percent, changed), parts)
+        meetings = meetings.filter(~F.shiftright("code", _SEGMENT_BITS).isin(list(changed))).unionByName(again)
+    # a node is a set in one band's index
+    band = F.shiftright("code", _SEGMENT_BITS).cast("int")
+    roots = components(meetings.select(F.xxhash64("a", band).alias("a"), F.xxhash64("b", band).alias("b")))
     # one document of each set stands for all
-    classes = sets.filter("b > 0").groupBy("c", "b").agg(F.min("doc_id").alias("doc_id"))
-    candidates = common.stored(classes.join(roots.select(F.col("node").alias("c"), "root"), "c"), "jaccard-classes")
+    classes = sets.filter("b > 0").groupBy("c", "b").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    own = _band(sets, percent)
+    nodes = classes.withColumn("band", F.explode(F.array(own, own - 1))).withColumn("node", F.xxhash64("c", F.col("band").cast("int")))
+    candidates = common.stored(nodes.join(roots, "node").select("c", "b", "key", "root"), "jaccard-classes")
     true_roots = components(_verified(docs, candidates, width, percent)) if not candidates.isEmpty() else roots
     labelled = classes.join(true_roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").select("c", "doc_id", F.coalesce("label", "c").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
