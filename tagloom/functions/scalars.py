@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -333,3 +337,74 @@ def type_number(name: Column, types: dict[str, int]) -> Column:
     """An enum's number from its name, blanks ignored; 0 for names that are unknown, empty or null."""
     table = F.create_map(*[F.lit(x) for k, v in types.items() for x in (k.lower().replace(" ", ""), v)])
     return F.coalesce(F.element_at(table, F.lower(F.regexp_replace(name, r"\s+", ""))), F.lit(0))
+
+
+# ------------------------------------------------------------------------------ people, words
+
+
+def name_parts(address: Column) -> Column:
+    """name and email of `Name <email>`; a bare address has no name, what is no address gives nulls."""
+    email = F.regexp_extract(address, r"([^\s<>]+@[^\s<>]+\.[^\s<>]+)", 1)
+    name = F.trim(F.regexp_replace(F.regexp_replace(address, r"<?[^\s<>]+@[^\s<>]+>?", ""), '"', ""))
+    return F.struct(F.when((email != "") & (name != ""), name).alias("name"), F.when(email != "", F.lower(email)).alias("email"))
+
+
+def first_and_last(fullname: Column) -> Column:
+    words = F.split(F.trim(fullname), r"\s+")
+    return F.struct(F.get(words, F.lit(0)).alias("first"), F.when(F.size(words) > 1, F.element_at(words, -1)).alias("last"))
+
+
+def handle(username: Column, fullname: Column, email: Column) -> Column:
+    """The first of user name, full name and the address before its `@` that isn't blank."""
+    return F.coalesce(if_present(username), if_present(fullname), F.regexp_replace(email, "@.*$", ""))
+
+
+def rating_text(value: Column, low: str, high: str) -> Column:
+    """A rating from -4 to 4 in words: the sign picks the label, the distance from 0 the adverb."""
+    adverbs = F.array(*[F.lit(a) for a in ("slightly", "somewhat", "quite", "extremely")])
+    return F.when(value == 0, F.lit("neutral")).otherwise(F.concat(F.get(adverbs, F.abs(value) - 1), F.lit(" "), F.when(value < 0, F.lit(low)).otherwise(F.lit(high))))
+
+
+def plural(word: Column) -> Column:
+    return (
+        F.when(word.rlike("(s|x|z|ch|sh)$"), F.concat(word, F.lit("es")))
+        .when(word.rlike("[^aeiou]y$"), F.regexp_replace(word, "y$", "ies"))
+        .otherwise(F.concat(word, F.lit("s")))
+    )
+
+
+def singular(word: Column) -> Column:
+    return (
+        F.when(word.rlike("(?:[^aeiou])ies$"), F.regexp_replace(word, "ies$", "y"))
+        .when(word.rlike("(s|x|z|ch|sh)es$"), F.regexp_replace(word, "es$", ""))
+        .when(word.rlike("[^s]s$"), F.regexp_replace(word, "s$", ""))
+        .otherwise(word)
+    )
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references as characters."""
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return decode(text)
+
+
+def collect_key(document: Column, key: str) -> Column:
+    """All values under a key anywhere in a JSON document, in order, as JSON texts."""
+    def walk(node):
+        if isinstance(node, dict):
+            for k, v in node.items():
+                if k == key:
+                    yield json.dumps(v)
+                yield from walk(v)
+        elif isinstance(node, list):
+            for v in node:
+                yield from walk(v)
+
+    @F.pandas_udf("array<string>")
+    def collect(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda d: list(walk(json.loads(d))), na_action="ignore")
+
+    return collect(document)

@@ -64,8 +64,8 @@ def best_first(edges: DataFrame, start: DataFrame, cutoff: float, depth: int = D
 def aggregate_members(members: DataFrame, limit: int, share: float = 0.05) -> DataFrame:
     """The `limit` members with the highest sums, while they have at least `share` of the highest."""
     sums = members.groupBy("node").agg(F.sum("value").alias("value"))
-    top = sums.agg(F.max("value").alias("top"))
-    return sums.crossJoin(F.broadcast(top)).filter(F.col("value") >= F.col("top") * share).drop("top").orderBy(F.desc("value"), "node").limit(limit)  # one row is crossed
+    top = sums.agg(F.max("value")).first()[0]  # one number
+    return sums.filter(F.col("value") >= F.lit(top) * share).orderBy(F.desc("value"), "node").limit(limit)
 
 
 def paths(relations: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, collections, graph, pages, scalars, search
+from . import analytics, collections, entities, graph, pages, scalars, search
 
-_MODULES = (search, scalars, collections, graph, analytics, pages)
+_MODULES = (search, scalars, collections, entities, graph, analytics, pages)
 
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
