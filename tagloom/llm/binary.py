@@ -147,7 +147,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocabular
     shards = 2 * common.shuffle_partitions(spark)
     bounds = common.range_bounds(docs, "doc_id", shards)
     (
-        frames.withColumn("shard", common.range_bucket(F.col("doc_id"), bounds))
+        frames.withColumn("shard", common.range_bucket(F.col("doc_id"), bounds, shards))
         .repartition(common.shuffle_partitions(spark), "shard")
         .sortWithinPartitions("shard", "doc_id")
         .mapInArrow(_block_batches(hashed, width), BLOCK_SCHEMA)

@@ -90,24 +90,32 @@ def least_hashed(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     return thin.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
 
 
-def range_bounds(ids: DataFrame, key: str, parts: int) -> list[int]:
-    """Ascending cut points that split a long column into about `parts` equal ranges.
+#: Cut points that are taken from the data; finer ranges divide the room between two of them evenly.
+MOST_BOUNDS = 1024
+
 
-    One pass over the key alone; the result has at most `parts` entries, whatever the input's size.
+def range_bounds(ids: DataFrame, key: str, parts: int) -> list[int]:
+    """Ascending cut points, the least and the greatest key among them, that split a long column into about `parts` equal
+    ranges, MOST_BOUNDS at most. One pass over the key alone; the result's size doesn't follow the input's.
     """
-    if parts < 2:
-        return []
-    at = [i / parts for i in range(1, parts)]
-    found = ids.agg(F.percentile_approx(key, at, 10 * max(parts, 1000)).alias("q")).first()["q"]
+    n = max(1, min(parts, MOST_BOUNDS))
+    at = [i / n for i in range(n + 1)]
+    found = ids.agg(F.percentile_approx(key, at, 10 * max(n, 1000)).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
-def range_bucket(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below the key: ranges ascend with the key."""
-    if not bounds:
+def range_bucket(key: Column, bounds: list[int], parts: int) -> Column:
+    """A bucket of about `parts` (null keys: 0) that ascends with the key."""
+    if len(bounds) < 2:
         return F.lit(0)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.size(F.filter(edges, lambda e: e <= key))
+    coarse = F.size(F.filter(edges, lambda e: e <= key))
+    splits = -(-parts // (len(bounds) - 1))
+    if splits < 2:
+        return F.when(key.isNull(), 0).otherwise(coarse)
+    low, high = F.get(edges, coarse - 1), F.get(edges, coarse)
+    fine = F.floor((key - low).cast("double") / (high - low).cast("double") * splits).cast("int")
+    return F.when(key.isNull(), 0).otherwise(coarse * splits + F.coalesce(F.least(fine, F.lit(splits - 1)), F.lit(0)))
 
 
 def schema_with(df: DataFrame, more: str) -> StructType:

@@ -60,8 +60,9 @@ def terms(words: Column) -> Column:
 def _with_next(docs: DataFrame, parts: int) -> DataFrame:
     """bucket, n (place in it), ghost, doc_id, text, next: ghosts are first rows of other buckets."""
     spark = docs.sparkSession
-    bounds = common.range_bounds(docs, "doc_id", parts * BUCKETS_PER_TASK)
-    dealt = docs.withColumn("bucket", common.range_bucket(F.col("doc_id"), bounds))
+    buckets = parts * BUCKETS_PER_TASK
+    bounds = common.range_bounds(docs, "doc_id", buckets)
+    dealt = docs.withColumn("bucket", common.range_bucket(F.col("doc_id"), bounds, buckets))
     least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id"))  # null ids first
     firsts = sorted((r["bucket"], r["f"]["doc_id"]) for r in dealt.groupBy("bucket").agg(least.alias("f")).collect())  # one row a bucket
     ghosts = [(b, i, firsts[j - 1][0]) for j, (b, i) in enumerate(firsts)]
