@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common, kernel
+from . import tokens as memos
 from .components import components
 
 WIDTH, PERCENT = 3, 90
@@ -186,6 +187,7 @@ def _sets(width: int):
     """doc_id, key, b (shingles), c (set hash, 0 for the empty set) of each document."""
 
     def run(batches):
+        memos.forget()
         for batch in batches:
             for lo, part in kernel.slices(batch.column(2)):
                 tokens, offsets = kernel.shingle_sets(part, width)

@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, kernel
+from . import common, kernel, tokens
 
 UNKNOWN = "und"
 #: Documents of each language that are learned from.
@@ -28,6 +29,8 @@ PER_LANGUAGE = 3000
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 ITERATIONS = 8
+#: Bytes of text that are worked on at a time.
+SLICE = 1 << 19
 #: Most languages of a set, and what a further one must gain, times the log of the number of words.
 MOST_LANGUAGES = 3
 PENALTY = 4.0
@@ -54,8 +57,8 @@ def _counts(batches):
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.asarray(batch.column("lang").to_pylist(), dtype=object)
-        for lo, part in kernel.slices(batch.column("text")):
-            raw, offsets = kernel.bytes_of(part)
+        for lo, part in kernel.slices(batch.column("text"), SLICE):
+            raw, offsets = kernel.bytes_of(pc.utf8_lower(part))
             starts, ends, before = kernel.words_of(raw, offsets)
             if not len(starts):
                 continue
@@ -84,7 +87,7 @@ def learn(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE)
     labelled = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = common.least_hashed(labelled.select("doc_id", "lang"), "lang", "doc_id", per_language)
     chosen = common.stored(chosen.distinct(), "language-sample")
-    sample = labelled.select("doc_id", "lang", F.lower("text").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # per_language rows a language
+    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # per_language rows a language
     counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()  # BUCKETS rows a language at most
     languages = sorted(rows["lang"].unique(), key=lambda s: s.encode())
@@ -144,27 +147,28 @@ def mixtures(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return best, share
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: bool = True) -> DataFrame:
+    """docs (without their text, if not keep) with lang_pred and score."""
     spark = docs.sparkSession
     common.on_workers(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers a language
     names = pa.array([*model.languages, UNKNOWN], pa.string())
+    kept = docs.drop("lang_pred", "score")
+    out = [c for c in kept.columns if keep or c != text]
 
     def run(batches):
+        tokens.forget()
         for batch in batches:
-            texts, letters = batch.column("_text"), np.asarray(batch.column("_letters").to_numpy(zero_copy_only=False), dtype=bool)
+            letters = np.asarray(batch.column("_letters").to_numpy(zero_copy_only=False), dtype=bool)
             best, share = np.full(len(letters), -1), np.zeros(len(letters))
-            for lo, part in kernel.slices(texts):
-                best[lo : lo + len(part)], share[lo : lo + len(part)] = mixtures(shared.value, part)
+            for lo, part in kernel.slices(batch.column(text), SLICE):
+                best[lo : lo + len(part)], share[lo : lo + len(part)] = mixtures(shared.value, pc.utf8_lower(part))
             unknown = (best < 0) | ~letters
             best[unknown], share[unknown] = len(names) - 1, 0.0
-            kept = [(c, batch.column(c)) for c in batch.schema.names if c not in ("_text", "_letters")]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), names.take(pa.array(best)), pa.array(np.clip(share, 0, 1))], [*(k for k, _ in kept), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), names.take(pa.array(best)), pa.array(np.clip(share, 0, 1))], [*out, "lang_pred", "score"])
 
-    kept = docs.drop("lang_pred", "score")
-    chosen = kept.select("*", F.lower(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    return chosen.mapInArrow(run, common.schema_with(kept, "lang_pred string, score double"))
+    chosen = kept.withColumn(text, F.col(text).cast("string")).withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    return chosen.mapInArrow(run, common.schema_with(chosen.select(*out), "lang_pred string, score double"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -177,4 +181,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = learn(docs, common.fold(F.col("doc_id"), 4) != 2)
     held = docs.select("doc_id", "text", (common.fold(F.col("doc_id"), 4) == 2).alias("held_out"))
-    return predict(held, model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(held, model, keep=False).select("doc_id", "held_out", "lang_pred", "score")

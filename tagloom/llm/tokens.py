@@ -21,8 +21,9 @@ import pyarrow.compute as pc
 
 from . import kernel
 
-#: Entries after which a memo is emptied: bounds a worker's memory.
-MEMO_ENTRIES = 1_000_000
+#: Entries after which a memo becomes the old one, whose entries are forgotten unless they are asked for again: two of these
+#: bound a worker's memory.
+MEMO_ENTRIES = 500_000
 #: Pieces beyond this length aren't kept.
 MEMO_CHARS = 64
 #: Pieces that go to the library in one call.
@@ -56,6 +57,7 @@ class Encoder:
         self.spaced = spaced
         self.mark = self.whole("\n") if spaced else b""
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.long: list[str] = []  # words too long to keep
         # the same merges for words that need no further splitting; no cache, for each is encoded once
@@ -131,23 +133,28 @@ class Encoder:
         pieces = self._pieces(texts)
         words = pieces.flatten().dictionary_encode()
         names, index = words.dictionary.to_pylist(), words.indices.to_numpy()
-        memo = self.memo
-        ids = list(map(memo.get, names))
+        ids = list(map(self.memo.get, names))
+        odd: set[str] = set()
         if None in ids:
-            new = [p for p, i in zip(names, ids) if i is None]
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
+            if len(self.memo) > MEMO_ENTRIES:
+                self.old, self.memo = self.memo, {}
+            memo = self.memo
+            new = []
+            for p in [p for p, i in zip(names, ids) if i is None]:
+                known = self.old.get(p)
+                if known is None:
+                    new.append(p)
+                else:
+                    memo[p] = known
             # pieces that tell of white space of another kind, or several in a row, send their texts to the library
-            odd = {p for p in new if _ODD_SPACE.search(p) or (self.spaced and p in ("", "\n"))}
-            memo.update(dict.fromkeys(odd, b"") if odd else {})
+            odd.update(p for p in new if _ODD_SPACE.search(p) or (self.spaced and p in ("", "\n")))
+            memo.update(dict.fromkeys(odd, b""))
             self._learn([p for p in new if p and p not in odd])
             if not self.spaced:
                 memo[""] = b""
             ids = [memo[p] if i is None else i for p, i in zip(names, ids)]
             for p in [*(p for p in new if p in odd or len(p) > MEMO_CHARS), *self.long]:
                 memo.pop(p, None)
-        else:
-            odd = ()
         # ids of all words: those of the distinct pieces, copied to where the pieces stand
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
@@ -174,3 +181,9 @@ class Encoder:
 def encoder(path: str, spaced: bool) -> Encoder:
     """One for each worker process."""
     return Encoder(path, spaced)
+
+
+def forget() -> None:
+    """Frees what this worker remembers: for tasks of other operators that follow in the same process."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, kernel
+from . import common, kernel, tokens
 
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -180,22 +180,24 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
     return Model(table, float(w[-1] + np.log(shares[1] / shares[0])))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score and predicted."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep: bool = True) -> DataFrame:
+    """docs (without their text, if not keep) with score and predicted."""
     spark = docs.sparkSession
     common.on_workers(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers
+    kept = docs.drop("score", "predicted")
+    names = [c for c in kept.columns if keep or c != text]
 
     def run(batches):
+        tokens.forget()
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for lo, part in kernel.slices(batch.column("_text")):
+            for lo, part in kernel.slices(batch.column(text)):
                 out[lo : lo + len(part)] = shared.value.scores(part)
-            names = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    kept = docs.drop("score", "predicted")
-    return kept.select("*", F.col(text).cast("string").alias("_text")).mapInArrow(run, common.schema_with(kept, "score double, predicted int"))
+    chosen = kept.withColumn(text, F.col(text).cast("string"))
+    return chosen.mapInArrow(run, common.schema_with(chosen.select(*names), "score double, predicted int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,4 +210,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, common.table(spark, sf_dir, "labels"), common.fold(F.col("doc_id"), 5) != 0)
     held = docs.withColumn("held_out", common.fold(F.col("doc_id"), 5) == 0)
-    return score(held, model).select("doc_id", "held_out", "score", "predicted")
+    return score(held, model, keep=False).select("doc_id", "held_out", "score", "predicted")
