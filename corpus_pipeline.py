@@ -25,6 +25,11 @@ def _aside(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], *[F.col(c) for c in more])
 
 
+def _text(docs: DataFrame) -> str:
+    """What _aside calls the text."""
+    return f"_c{docs.columns.index('text')}"
+
+
 def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
@@ -33,12 +38,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.learn(docs.select("doc_id", "text", "lang"), F.lit(True))
     if not model.languages:  # nothing to tell languages by: only texts without letters go
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return _back(language.predict(_aside(docs, "text"), model).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)), docs)
+    return _back(language.predict(_aside(docs), model, _text(docs)).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)), docs)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"), F.lit(True))
-    return _back(toxicity.score(_aside(docs, "text"), model).filter("predicted = 0"), docs)
+    return _back(toxicity.score(_aside(docs), model, _text(docs)).filter("predicted = 0"), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
