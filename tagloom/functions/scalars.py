@@ -173,7 +173,7 @@ def host_forbidden(url: Column, hosts: list[str]) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Words and punctuation marks in order, with where they start (from 0)."""
-    found = F.regexp_extract_all(text, F.lit(r"(\w+|[^\w\s])"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1))
     return F.aggregate(
         found,
         F.struct(F.array().cast("array<struct<token:string,start:int>>").alias("out"), F.lit(0).alias("at")),

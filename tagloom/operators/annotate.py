@@ -15,7 +15,7 @@ from ..functions.scalars import FRACTIONS, WORDS, normalize_name, number_value
 
 #: Words of the longest phrase that is looked for.
 LONGEST = 4
-_TOKEN = r"(\d+/\d+|\d+[½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅐⅛⅜⅝⅞]|[\w'’-]+\.?|[^\w\s])"
+_TOKEN = r"(\d+/\d+|\d+[½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅐⅛⅜⅝⅞]|[\p{L}\p{N}_'’-]+\.?|[^\p{L}\p{N}_\s])"
 
 
 def tokens(docs: DataFrame, key: str, text: Column) -> DataFrame:
