@@ -24,7 +24,7 @@ def followees(follows: DataFrame, user: int) -> DataFrame:
 def visible_lists(lists: DataFrame, follows: DataFrame, viewer: int, with_owned: bool = True, super_ids: tuple[int, ...] = ()) -> DataFrame:
     """Public lists, friends' lists if the viewer follows their owner (or the owner is everybody's friend), and own ones."""
     friends = followees(follows, viewer).select(F.col("user_id").alias("owner_id")).withColumn("_friend", F.lit(True))
-    joined = lists.join(F.broadcast(friends) if not super_ids else friends, "owner_id", "left")
+    joined = lists.join(friends, "owner_id", "left")
     friend = F.coalesce("_friend", F.lit(False)) | F.col("owner_id").isin(list(super_ids))
     others = (F.col("availability") == PUBLIC) | ((F.col("availability") == FRIENDS) & friend)
     own = F.col("owner_id") == viewer
@@ -66,13 +66,13 @@ def remove(ordering: Column, klass: str, entity: Column) -> Column:
 
 def remap(rows: DataFrame, column: str, mapping: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with ids replaced by those they were merged into (mapping: old, new); rows that become equal by `keys` once."""
-    mapped = rows.join(F.broadcast(mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))), rows[column] == F.col("_old"), "left")
+    mapped = rows.join(mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new")), rows[column] == F.col("_old"), "left")
     return mapped.withColumn(column, F.coalesce("_new", column)).drop("_old", "_new").dropDuplicates(keys)
 
 
 def absorb(pointers: DataFrame, mapping: DataFrame) -> DataFrame:
     """Pointers after entities were merged: one for a user and entity; flags are joined, the first comment that isn't blank stays."""
-    mapped = pointers.join(F.broadcast(mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))), F.col("entity_id") == F.col("_old"), "left")
+    mapped = pointers.join(mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new")), F.col("entity_id") == F.col("_old"), "left")
     own_first = F.struct(F.when(F.trim("comment") != "", 0).otherwise(1).alias("blank"), F.col("_new").isNotNull().alias("moved"), "entity_id")
     return (
         mapped.withColumn("target", F.coalesce("_new", "entity_id"))

@@ -35,7 +35,7 @@ def tagging_scores(taggings: DataFrame, tags: DataFrame, expressions: DataFrame,
     fuzzy = tags.filter(F.contains("normalized_name", name)).select("tag")
     similar = synonyms(expressions, exact)
     on = taggings.select("entity_id", "tag").distinct()
-    found = [on.join(F.broadcast(t.distinct()), "tag", "left_semi").select("entity_id").distinct() for t in (fuzzy, exact, similar)]
+    found = [on.join(t.distinct(), "tag", "left_semi").select("entity_id").distinct() for t in (fuzzy, exact, similar)]
     return reduce(DataFrame.unionByName, found).groupBy("entity_id").agg(F.count("*").cast("int").alias("score"))
 
 

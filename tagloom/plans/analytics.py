@@ -76,7 +76,7 @@ def backoff(spark: SparkSession, folder: str) -> DataFrame:
     last = e.groupBy("event_type").agg(F.max("ts").alias("last"))
     attempts = (F.col("event_id") % 4).cast("int")
     own = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pow(F.lit(10), attempts).cast("decimal(18,6)"))
-    return e.join(F.broadcast(last), "event_type").select("event_id", F.greatest(own, F.col("last")).alias("again"))
+    return e.join(last, "event_type").select("event_id", F.greatest(own, F.col("last")).alias("again"))
 
 
 QUERIES = {f.__name__: f for f in (cohort_metrics, cohort_matrix, cohort_shares, calendar, sliding_windows, sessions, error_tally, backoff)}
