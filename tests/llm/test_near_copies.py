@@ -65,7 +65,7 @@ def corpus(seed=4, groups=25):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (2, 60), (1, 95)])
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
 def test_join_equals_brute_force(spark, width, percent):
     rows = corpus()
     found = jaccard.join(spark.createDataFrame(rows, SCHEMA).repartition(5), width, percent)
