@@ -153,6 +153,8 @@ class Lines(HTMLParser):
             self.linked += len(data.strip())
 
     def close(self):
+        if self.rawdata.startswith("<!--"):  # a comment without an end goes on to the end of the page
+            self.rawdata = ""
         super().close()
         self._end_line()
 

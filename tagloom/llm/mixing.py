@@ -29,6 +29,8 @@ REPEATS = 2
 #: Bits of the hash, and of each round's histogram.
 HASH_BITS = 60
 ROUND_BITS = 12
+#: Rows of all sources' histograms together in a round: with very many sources rounds take fewer bits.
+HISTOGRAM_ROWS = 1 << 20
 #: Sources up to which their targets are sent to every task; beyond it Spark joins by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -74,16 +76,16 @@ def thresholds(sized: DataFrame, repeats: int = REPEATS, share: float = SHARE, w
         state[s] = {"whole": whole, "prefix": 0, "room": goal[s] - whole * n, "done": whole == repeats or n == 0}
     bits = 0
     while bits < HASH_BITS and not all(x["done"] for x in state.values()):
-        step = min(ROUND_BITS, HASH_BITS - bits)
+        open_ = [(s, x["prefix"]) for s, x in state.items() if not x["done"]]
+        step = max(1, min(ROUND_BITS, HASH_BITS - bits, (HISTOGRAM_ROWS // len(open_)).bit_length() - 1))
         bits += step
         shift = HASH_BITS - bits
-        open_ = [(s, x["prefix"]) for s, x in state.items() if not x["done"]]
         at = spark.createDataFrame(open_, "_source string, _prefix long")
         at = F.broadcast(at) if len(open_) <= BROADCAST_SOURCES else at
         bucket = F.shiftright("_hash", shift)
         inside = sized.join(at, sized["source"].eqNullSafe(at["_source"]) & (F.shiftright(bucket, step) == F.col("_prefix")))
         histogram: dict = {}
-        for s, b, n in inside.groupBy("source", bucket.alias("_bucket")).agg(F.sum("size")).collect():  # 2**ROUND_BITS rows a source at most
+        for s, b, n in inside.groupBy("source", bucket.alias("_bucket")).agg(F.sum("size")).collect():  # HISTOGRAM_ROWS or two rows a source at most
             histogram.setdefault(s, []).append((b, n))
         for s, _ in open_:
             x = state[s]

@@ -124,7 +124,8 @@ def test_main_text():
     assert html_text.extract(PAGE) == "Head & line First paragraph goes on. Short.Bold one"
     assert html_text.extract("<div id=main><p>Only a long paragraph without any article around it.</p><p>Two.</p></div><div class=footer>x</div>") == "Only a long paragraph without any article around it. Two."
     assert html_text.extract("plain text, nothing else") == "plain text, nothing else"
-    for page in (None, "", "<nav>menu</nav>", "<p>", "<<<", "<!-- "):
+    assert html_text.extract("<<<") == "<<<"  # no tag begins so: text
+    for page in (None, "", "<nav>menu</nav>", "<p>", "<!-- "):
         assert html_text.extract(page) == ""
 
 
@@ -173,7 +174,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block_rows):
     monkeypatch.setattr(knn, "BLOCK_ROWS", block_rows)
     monkeypatch.setattr(knn, "QUERY_ROWS", block_rows)
     rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)] + [(300 + i, [1.0, 0.5, 0, 0, 0, 0]) for i in range(40)]
+    rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)] + [(300 + i, [1.0, 0.5, 0.0, 0.0, 0.0, 0.0]) for i in range(40)]
     rows += [(900, None), (920, []), (940, [float("nan")] * 6), (960, [None] + [1.0] * 5), (980, [1.0, 2.0]), (1000, [3.0, 4.0]), (None, [1.0] * 6), (20, [0.25] * 6)]
     df = spark.createDataFrame([(*r, "own") for r in rows], "vec_id long, embedding array<float>, score string")
     got = sorted(map(tuple, knn.top_k(df, F.col("id") % 20 == 0, 5).collect()))
