@@ -43,8 +43,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: texts are long, and both sides hold a batch or two.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Ships this package to Python workers that don't find it on their path."""
+    """Ships this package to Python workers that don't find it on their path, and keeps the batches they get small."""
+    if int(spark.conf.get(_BATCH).rstrip("bB") or 0) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if root in map(os.path.abspath, filter(None, paths)) or getattr(spark.sparkContext, "_tagloom_shipped", False):

@@ -15,9 +15,11 @@ that isn't empty in both. The few sets with more index their empty segments too.
 
 Sets that meet are linked to the first of their meeting place only, so rows stay linear in the
 number of index entries however large a group is. Components of the meetings in one band's index
-hold all pairs that are similar by it; within each, tasks compare blocks of bounded size with blocks
-and keep a spanning forest of the pairs that are truly similar, which has the same components as all
-of them. Sets are
+hold all pairs that are similar by it. Within each, tasks compare blocks of bounded size with blocks,
+twice: first by bitmaps of a few bits a shingle, in which two sets differ in no more places than
+shingles (so no similar pair is lost), then, in the much smaller components of what is left, by the
+shingles themselves. Either time a spanning forest of the pairs found is kept, which has the same
+components as all of them. Sets are
 compared by their 64-bit shingle hashes; equal 64-bit set hashes stand for equal sets.
 
 Cases: null, empty and blank texts have empty sets and are linked with nothing, not even each
@@ -47,12 +49,16 @@ WIDTH, PERCENT = 3, 90
 HELD = 1_000_000
 #: Sets that a task remembers, to index copies once; what it forgets is indexed again.
 REMEMBERED = 200_000
+#: Bytes of text that are worked on at a time.
+SLICE = 1 << 20
 #: Documents and shingles of a block; two blocks are compared at a time.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
 #: Share of a band's sets that may have more empty segments than there are spare ones.
 MANY_EMPTY = 0.02
 #: What comparing two sets costs, against an index entry's 1.
 PAIR_COST = 0.1
+#: Bits of a bitmap for each shingle of the largest set in a band.
+BITMAP_BITS = 4
 #: Shingles (columns) that are multiplied at a time.
 CHUNK = 4096
 #: Rows up to which a list of candidates is sent to all tasks; longer lists are joined by a shuffle.
@@ -189,7 +195,7 @@ def _sets(width: int):
     def run(batches):
         memos.forget()
         for batch in batches:
-            for lo, part in kernel.slices(batch.column(2)):
+            for lo, part in kernel.slices(batch.column(2), SLICE):
                 tokens, offsets = kernel.shingle_sets(part, width)
                 cids = [_set_hash(tokens[a:b]) if b > a else 0 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*(x.slice(lo, len(part)) for x in batch.columns[:2]), pa.array(np.diff(offsets)), pa.array(cids, pa.int64())], ["doc_id", "key", "b", "c"])
@@ -219,7 +225,7 @@ def _index(width: int, percent: int, changed: dict[int, np.ndarray] | None = Non
             keys, ids, held = [], [], 0
 
         for batch in batches:
-            for _, part in kernel.slices(batch.column(0)):
+            for _, part in kernel.slices(batch.column(0), SLICE):
                 tokens, offsets = kernel.shingle_sets(part, width)
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     if a == b:
@@ -375,55 +381,104 @@ def forest(n: int, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def _compare(percent: int):
+def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
+    """Parities of how many shingles fall on each of 64 * words places."""
+    at = (kernel.mix(tokens) >> U64(32)) * U64(64 * words) >> U64(32)
+    odd = np.flatnonzero(np.bincount(at.astype(np.int64), minlength=64 * words) & 1)
+    out = np.zeros(words, U64)
+    np.bitwise_or.at(out, odd >> 6, U64(1) << (odd & 63).astype(U64))
+    return out
+
+
+def bitmap_words(bands: Bands, band: int) -> int:
+    return -(-BITMAP_BITS * bands.tops[band] // 64)
+
+
+def maybe_similar(bitmaps: np.ndarray, sizes: np.ndarray, percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs whose bitmaps differ in no more places than similar sets do in shingles. left: only pairs of one with True and one with False."""
+    n, words = bitmaps.shape
+    found = []
+    step = max(1, (1 << 20) // max(1, n * words))
+    for lo in range(0, n, step):
+        apart = np.bitwise_count(bitmaps[lo : lo + step, None, :] ^ bitmaps[None, :, :]).sum(axis=2, dtype=np.int64)
+        total = sizes[lo : lo + step, None] + sizes[None, :]
+        ok = apart <= total - 2 * -(-percent * total // (100 + percent))
+        if left is not None:
+            ok &= left[lo : lo + step, None] != left[None, :]
+        i, j = np.nonzero(ok)
+        later = j > i + lo
+        found += list(zip((i[later] + lo).tolist(), j[later].tolist()))
+    return found
+
+
+def _compare(percent: int, exact: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         for (_, x, y), own in group.groupby(["root", "x", "y"], sort=False):
             own = own.drop_duplicates("c")
-            sets = [np.frombuffer(t, U64) for t in own["tokens"]]
             ids, left = own["c"].to_numpy(), (own["block"] == x).to_numpy() if x != y else None
-            out += [(int(ids[i]), int(ids[j])) for i, j in forest(len(ids), similar_pairs(sets, percent, left))]
+            if exact:
+                pairs = similar_pairs([np.frombuffer(t, U64) for t in own["payload"]], percent, left)
+            else:
+                pairs = maybe_similar(np.frombuffer(b"".join(own["payload"]), U64).reshape(len(own), -1), own["b"].to_numpy(), percent, left)
+            out += [(int(ids[i]), int(ids[j])) for i, j in forest(len(ids), pairs)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _token_batches(width: int):
+_PLACED = "c long, b long, root long, block int, blocks int, payload binary"
+
+
+def _payloads(width: int, percent: int, exact: bool):
+    """A row for each place of a document: its shingles, or a bitmap of them."""
+    bands = Bands(percent)
+
     def run(batches):
         for batch in batches:
-            rest = [(k, batch.column(k)) for k in batch.schema.names if k != "_text"]
-            for lo, part in kernel.slices(batch.column("_text")):
+            sets, places = batch.column("c"), batch.column("places").to_pylist()
+            for lo, part in kernel.slices(batch.column("_text"), SLICE):
                 tokens, offsets = kernel.shingle_sets(part, width)
-                raws = [tokens[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, len(part)) for _, c in rest), pa.array(raws, pa.binary())], [*(k for k, _ in rest), "tokens"])
+                at, rows = [], []
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    own = tokens[a:b]
+                    for p in places[lo + i]:
+                        at.append(lo + i)
+                        bands.segments(max(p["band"], 0))  # so that the band is known
+                        payload = own if exact else bitmap(own, bitmap_words(bands, p["band"]))
+                        rows.append((b - a, p["root"], p["block"], p["blocks"], payload.tobytes()))
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([sets.take(pa.array(at, pa.int64())), *columns], ["c", "b", "root", "block", "blocks", "payload"])
 
     return run
 
 
-def _verified(docs: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: true links, enough for the components. candidates: key (of a document with the set), b (its size), c, root (a set may have two)."""
+def _linked(docs: DataFrame, candidates: DataFrame, width: int, percent: int, exact: bool) -> DataFrame:
+    """a, b: links between sets of one root, enough for the components: true ones, or those that bitmaps don't rule out.
+
+    candidates: key (of a document with the set), b (its size), c, root, band (for bitmaps); a set may have several roots.
+    """
     spark = docs.sparkSession
     sums = candidates.groupBy("root").agg(F.count("*").alias("n"), F.sum("b").alias("t"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("t") / BLOCK_SHINGLES)).cast("int")
     sums = sums.select("root", blocks.alias("blocks"))
-    places = F.struct("root", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    spread = candidates.join(sums, "root").groupBy("key", "c").agg(F.max("b").alias("b"), F.collect_list(places).alias("places"))
+    places = F.struct("root", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), "blocks", "band")
+    spread = candidates.join(sums, "root").groupBy("key", "c").agg(F.max("b").alias("b"), F.collect_list(places).alias("places"))  # two places at most
     spread = common.stored(spread, "jaccard-candidates")
     total = spread.agg(F.sum("b"), F.count("*")).first()
     groups = max(4 * common.shuffle_partitions(spark), -(-int(total[0] or 0) // (BLOCK_SHINGLES // 4)))
     chosen = spread.drop("b")
-    found = (
+    placed = (
         docs.select("key", F.col("text").alias("_text"))
         .join(F.broadcast(chosen) if total[1] <= BROADCAST_ROWS else chosen, "key")
         .select("c", "places", "_text")
-        .mapInArrow(_token_batches(width), "c long, places array<struct<root:long,block:int,blocks:int>>, tokens binary")
+        .mapInArrow(_payloads(width, percent, exact), _PLACED)
     )
     # every block meets itself and all others; groups of one block share tasks
-    placed = found.select("c", "tokens", F.explode("places").alias("p")).select("c", "tokens", "p.root", "p.block", "p.blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = placed.withColumn("_other", other).select("root", "c", "block", "tokens", F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y"), "blocks")
+    paired = placed.withColumn("_other", other).select("root", "c", "b", "block", "payload", F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y"), "blocks")
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", "x", "y"))
-    return paired.withColumn("task", task).groupBy("task").applyInPandas(_compare(percent), "a long, b long")
+    return paired.withColumn("task", task).groupBy("task").applyInPandas(_compare(percent, exact), "a long, b long")
 
 
 # -------------------------------------------------------------------------------------- the join
@@ -447,8 +502,13 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     classes = sets.filter("b > 0").groupBy("c", "b").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
     own = _band(sets, percent)
     nodes = classes.withColumn("band", F.explode(F.array(own, own - 1))).withColumn("node", F.xxhash64("c", F.col("band").cast("int")))
-    candidates = common.stored(nodes.join(roots, "node").select("c", "b", "key", "root"), "jaccard-classes")
-    true_roots = components(_verified(docs, candidates, width, percent)) if not candidates.isEmpty() else roots
+    candidates = common.stored(nodes.join(roots, "node").select("c", "b", "key", "root", "band"), "jaccard-classes")
+    true_roots = roots.limit(0)
+    if not candidates.isEmpty():
+        left = components(_linked(docs, candidates, width, percent, exact=False)).select(F.col("node").alias("c"), "root")
+        rest = common.stored(classes.join(left, "c").select("c", "b", "key", "root", F.lit(0).alias("band")), "jaccard-rest")
+        if not rest.isEmpty():
+            true_roots = components(_linked(docs, rest, width, percent, exact=True))
     labelled = classes.join(true_roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").select("c", "doc_id", F.coalesce("label", "c").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labelled.join(least, "label").select("c", "component_id")
