@@ -78,11 +78,19 @@ def test_plan_is_optimal_on_small_cases():
         assert sum(t for _, t in plan) == (brute_bins(sizes, 20) if sizes else 0)
 
 
-def test_plan_never_beats_its_bound():
+def test_plan_lies_between_its_bound_and_best_fit():
     rng = np.random.default_rng(2)
-    counts = rng.integers(0, 50, 257)
-    counts[0] = 0
-    assert sum(t for _, t in packing.plan_bins(counts, 256)) - packing.lower_bound(counts, 256) <= 1
+    for capacity, most in ((256, 50), (100, 1000), (4096, 3)):
+        counts = rng.integers(0, most, capacity + 1)
+        counts[0] = 0
+        bins = sum(t for _, t in packing.plan_bins(counts, capacity))
+        assert packing.lower_bound(counts, capacity) <= bins <= sum(t for _, t in packing._best_fit(counts.copy(), capacity))
+
+
+def test_plan_of_short_documents_meets_the_bound():
+    rng = np.random.default_rng(3)
+    counts = np.bincount(np.minimum(4096, rng.lognormal(6, 1, 20_000).astype(int) + 1), minlength=4097)
+    assert sum(t for _, t in packing.plan_bins(counts)) == packing.lower_bound(counts, 4096)
 
 
 def check_packed(rows, texts, capacity):
