@@ -81,6 +81,7 @@ def _frame_batches(tokenizer: str, end_id: int, width: int, dictionary: bytes):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches):
+        kernel.release()
         enc, (coder, _) = encoder(tokenizer, True), _coders(dictionary, LEVEL)
         for batch in batches:
             frames, counts = [], []

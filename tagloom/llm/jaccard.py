@@ -46,7 +46,7 @@ from .components import components
 
 WIDTH, PERCENT = 3, 90
 #: Index entries that a task joins up before it writes them.
-HELD = 1_000_000
+HELD = 500_000
 #: Sets that a task remembers, to index copies once; what it forgets is indexed again.
 REMEMBERED = 200_000
 #: Bytes of text that are worked on at a time.
@@ -212,6 +212,7 @@ def _index(width: int, percent: int, changed: dict[int, np.ndarray] | None = Non
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.nulls(len(ids), pa.int64()) if heads is None else pa.array(heads)], ["a", "c", "head"])
 
     def run(batches):
+        memos.forget()
         keys, ids, held, seen = [], [], 0, set()
 
         def flush():
@@ -435,6 +436,7 @@ def _payloads(width: int, percent: int, exact: bool):
     bands = Bands(percent)
 
     def run(batches):
+        memos.forget()
         for batch in batches:
             sets, places = batch.column("c"), batch.column("places").to_pylist()
             for lo, part in kernel.slices(batch.column("_text"), SLICE):

@@ -5,6 +5,9 @@ A batch of texts is one long array of UTF-8 bytes with offsets, as Arrow holds i
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -142,3 +145,12 @@ def slices(texts: pa.Array, size: int = 1 << 21):
 def spaced(raw: np.ndarray) -> np.ndarray:
     """All ASCII white space as blanks."""
     return np.where((raw >= 9) & (raw <= 13), np.uint8(32), raw)
+
+
+def release() -> None:
+    """Gives memory that earlier tasks of this worker process have left unused back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common, kernel
-from .tokens import SLICE, encoder
+from .tokens import encoder
 
 CAPACITY = 4096
 #: Fillings tried for one largest document before the search falls back on its best.
 FILLINGS = 16
 #: Nodes of the search; beyond it the best packing so far stands.
 NODES = 20_000
+#: Pieces that a worker's tokenizer remembers (twice over), and bytes of text that it cuts up at a time.
+MEMO_ENTRIES, SLICE = 250_000, 4 << 20
 
 
 # ---------------------------------------------------------------------------------- the search
@@ -189,7 +191,8 @@ def _piece_batches(path: str, capacity: int, end_id: int, ids: bool):
     step = 4 * capacity
 
     def run(batches):
-        enc = encoder(path, False)
+        kernel.release()
+        enc = encoder(path, False, MEMO_ENTRIES)
         for batch in batches:
             keys = batch.column(0)
             rows, piece, start, length, crc, raws = [], [], [], [], [], []

@@ -47,14 +47,14 @@ class Encoder:
     spaced: white space belongs to tokens (byte-level vocabularies); otherwise it is dropped.
     """
 
-    def __init__(self, path: str, spaced: bool, encode_special: bool = True):
+    def __init__(self, path: str, spaced: bool, encode_special: bool = True, entries: int = MEMO_ENTRIES):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = encode_special
-        self.spaced = spaced
+        self.spaced, self.entries = spaced, entries
         self.mark = self.whole("\n") if spaced else b""
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -106,7 +106,7 @@ class Encoder:
             else:
                 memo[p] = self.whole(p if p[0] == "\n" else lead + p)
         self._words(list(new))
-        if len(tails) + len(split) > MEMO_ENTRIES:
+        if len(tails) + len(split) > self.entries:
             tails.clear()
         for p, base in split:
             tail = p[len(base) :]
@@ -136,7 +136,7 @@ class Encoder:
         ids = list(map(self.memo.get, names))
         odd: set[str] = set()
         if None in ids:
-            if len(self.memo) > MEMO_ENTRIES:
+            if len(self.memo) > self.entries:
                 self.old, self.memo = self.memo, {}
             memo = self.memo
             new = []
@@ -178,12 +178,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, entries: int = MEMO_ENTRIES) -> Encoder:
     """One for each worker process."""
-    return Encoder(path, spaced)
+    return Encoder(path, spaced, entries=entries)
 
 
 def forget() -> None:
     """Frees what this worker remembers: for tasks of other operators that follow in the same process."""
-    if encoder.cache_info().currsize:
-        encoder.cache_clear()
+    encoder.cache_clear()
+    kernel.release()

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tagloom.llm import binary, packing, tokens
+from tagloom.llm import binary, packing
 from tagloom.llm.tokens import Encoder
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -32,9 +32,8 @@ def test_encoder_equals_library(path, spaced):
             assert raw == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
-def test_memo_stays_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 20)
-    enc = Encoder(WORDS, False)
+def test_memo_stays_bounded():
+    enc = Encoder(WORDS, False, entries=20)
     for i in range(20):
         enc.encode([f"word{i} other{i} third{i}"])
     assert len(enc.memo) + len(enc.old) <= 60
