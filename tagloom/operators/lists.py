@@ -33,10 +33,14 @@ def visible_lists(lists: DataFrame, follows: DataFrame, viewer: int, with_owned:
 
 def list_contents(taggings: DataFrame, lists: DataFrame, pulled: DataFrame, viewer: int) -> DataFrame:
     """list_id, entity_type, entity_id, each once: taggings of a list's name tag by its owner or the viewer, and of its pulled-in tags by anyone."""
-    named = taggings.join(lists.select("list_id", "owner_id", F.col("name_tag").alias("tag")), "tag").filter((F.col("user_id") == F.col("owner_id")) | (F.col("user_id") == viewer))
-    drawn = taggings.join(pulled.join(lists.filter("pullin").select("list_id"), "list_id", "left_semi"), "tag")
     columns = ["list_id", "entity_type", "entity_id"]
-    return named.select(columns).unionByName(drawn.select(columns)).distinct()
+    named = lists.select("list_id", F.col("owner_id").alias("user_id"), F.col("name_tag").alias("tag"))
+    by_owner = taggings.join(named, ["tag", "user_id"])
+    by_viewer = taggings.filter(F.col("user_id") == viewer).join(named.drop("user_id"), "tag")
+    # who tagged doesn't matter to what is pulled in: each tagged entity once before the join multiplies it
+    tagged = taggings.select("tag", "entity_type", "entity_id").distinct()
+    drawn = tagged.join(pulled.join(lists.filter("pullin").select("list_id"), "list_id", "left_semi"), "tag")
+    return by_owner.select(columns).unionByName(by_viewer.select(columns)).unionByName(drawn.select(columns)).distinct()
 
 
 def first_claim(candidates: DataFrame, key: str, rank: str = "rank") -> DataFrame:
