@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard.query,
 }
 ORACLE_SQL = {
+    "op10_ngram_jaccard_join": jaccard.ORACLE,
     "op4_url_filters": urls.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_topk_search": knn.ORACLE,
