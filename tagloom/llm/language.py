@@ -95,6 +95,8 @@ def learn(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE)
     for i, lang in enumerate(languages):
         own = rows[rows["lang"] == lang]
         table[i, own["bucket"].to_numpy()] += own["n"].to_numpy()
+    del rows
+    kernel.release()
     logs = np.log(table / table.sum(axis=1, keepdims=True)) if len(languages) else table
     return Model(languages, logs.astype(np.float32))
 

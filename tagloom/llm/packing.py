@@ -156,30 +156,36 @@ def plan_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES)
         left[largest] += 1
         return [(w, {**f, largest: f.get(largest, 0) + 1}) for w, f in out]
 
-    # depth-first, with the options still open at each level
-    stack: list[tuple[np.ndarray, int, list, Iterator]] = [(counts, 0, [], iter(fillings(counts) if total else []))]
+    # depth-first: at each level the options still open, and the filling that led there; `left` follows the path
+    left = counts.copy()
+
+    def use(filling: dict[int, int], times: int) -> None:
+        for s, n in filling.items():
+            left[s] -= n * times
+
+    stack: list[tuple[Iterator, dict[int, int], int, int]] = [(iter(fillings(left) if total else []), {}, 0, 0)]
     while stack and bins > bound and left_nodes > 0:
-        left, waste, plan, options = stack[-1]
+        options, filling, times, waste = stack[-1]
         option = next(options, None)
         if option is None:
             stack.pop()
+            use(filling, -times)
             continue
         left_nodes -= 1
         w, filling = option
         times = min(int(left[s]) // n for s, n in filling.items())
-        if waste + w > (bins - 1) * capacity - total:  # even one use can't lead to a better packing
-            continue
         allowed = (bins - 1) * capacity - total - waste
+        if w > allowed:  # even one use can't lead to a better packing
+            continue
         if w and times * w > allowed:
             times = max(1, allowed // w)
-        now = left.copy()
-        for s, n in filling.items():
-            now[s] -= n * times
-        done = [*plan, (filling, times)]
-        if now.any():
-            stack.append((now, waste + w * times, done, iter(fillings(now))))
+        use(filling, times)
+        if left.any():
+            stack.append((iter(fillings(left)), filling, times, waste + w * times))
         else:
-            best, bins = done, sum(t for _, t in done)
+            best = [*((f, t) for _, f, t, _ in stack[1:]), (filling, times)]
+            bins = sum(t for _, t in best)
+            use(filling, -times)
     return best
 
 

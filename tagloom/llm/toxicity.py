@@ -171,12 +171,15 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
     design = sample.mapInArrow(rows_of, "toxic int, columns binary").toPandas()  # per_class rows a class
     lists = [np.frombuffer(x, np.int32) for x in design["columns"]]
     y = design["toxic"].to_numpy(float)
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     columns = np.concatenate(lists)
     balance = np.where(y > 0, len(y) / (2 * max(1, n_pos)), len(y) / (2 * max(1, n_neg)))
     w = fit_logistic(rows, columns, ratio[columns], y, len(buckets), balance)
     table = np.zeros(BUCKETS, np.float32)
     table[buckets] = (w[:-1] * ratio).astype(np.float32)
+    shared.unpersist()
+    del design, lists, rows, columns, index
+    kernel.release()
     return Model(table, float(w[-1] + np.log(shares[1] / shares[0])))
 
 
