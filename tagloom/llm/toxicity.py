@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common, kernel, tokens
 
 ORDERS = (3, 4, 5)
-BITS = 20
+BITS = 21
 BUCKETS = 1 << BITS
 #: Odd multipliers of the hash.
 _STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -31,9 +31,11 @@ _STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 SLICE = 1 << 17
 #: Documents of each class that are learned from.
 PER_CLASS = 3000
-#: Buckets that take part.
-FEATURES = 3000
+#: Buckets that take part; their numbers fit into 16 bits.
+FEATURES = 20_000
 SMOOTHING = 1.0
+#: Values of the design matrix that the fit works on at a time.
+FIT_SLICE = 1 << 18
 #: Strength of the pull of weights towards 0.
 RIDGE = 1.0
 
@@ -83,16 +85,32 @@ def _frequencies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(pos[part].astype(np.int64)), pa.array(neg[part].astype(np.int64))], ["bucket", "pos", "neg"])
 
 
-def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, n_columns: int, sample_weight: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton steps whose equations conjugate gradients solve."""
-    n = len(y)
+def fit_logistic(columns: np.ndarray, edges: np.ndarray, scale: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
+    """Weights and, last, the intercept, by Newton steps whose equations conjugate gradients solve.
+
+    Row i holds columns[edges[i] : edges[i + 1]], each valued by its column's scale. Rows are worked on
+    a slice at a time, so that the columns' numbers are all that is held of the matrix.
+    """
+    n, n_columns = len(y), len(scale)
     w = np.zeros(n_columns + 1)
+    parts, lo = [], 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + FIT_SLICE, side="right")) - 1)
+        parts.append((lo, hi))
+        lo = hi
 
     def forward(v):
-        return np.bincount(rows, weights=values * v[columns], minlength=n) + v[-1]
+        scaled, out = scale * v[:-1], np.full(n, v[-1])
+        for lo, hi in parts:
+            sums = np.append(0.0, np.cumsum(scaled[columns[edges[lo] : edges[hi]]]))
+            out[lo:hi] += np.diff(sums[edges[lo : hi + 1] - edges[lo]])
+        return out
 
     def backward(v):
-        return np.append(np.bincount(columns, weights=values * v[rows], minlength=n_columns), v.sum())
+        out = np.zeros(n_columns)
+        for lo, hi in parts:
+            out += np.bincount(columns[edges[lo] : edges[hi]], weights=np.repeat(v[lo:hi], np.diff(edges[lo : hi + 1])), minlength=n_columns)
+        return np.append(scale * out, v.sum())
 
     pull = np.append(np.full(n_columns, ridge), 1e-6)
     for _ in range(steps):
@@ -166,19 +184,22 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
                 doc, bucket = features(part, table)
                 column = shared.value[bucket]
                 edges = np.searchsorted(doc, np.arange(len(part) + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[lo : lo + len(part)]), pa.array([column[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])], pa.binary())], ["toxic", "columns"])
-
-    design = sample.mapInArrow(rows_of, "toxic int, columns binary").toPandas()  # per_class rows a class
-    lists = [np.frombuffer(x, np.int32) for x in design["columns"]]
-    y = design["toxic"].to_numpy(float)
-    rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    columns = np.concatenate(lists)
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[lo : lo + len(part)]), pa.array([column[i:j].astype("<u2").tobytes() for i, j in zip(edges[:-1], edges[1:])], pa.binary())], ["toxic", "columns"])
+
+    # per_class rows a class, which come one partition after another: the driver's JVM never holds them all
+    design = common.stored(sample.mapInArrow(rows_of, "toxic int, columns binary"), "toxicity-design")
+    held, lengths, toxic = bytearray(), [0], []
+    for r in design.toLocalIterator():
+        held += r["columns"]
+        lengths.append(len(r["columns"]) // 2)
+        toxic.append(r["toxic"])
+    y = np.array(toxic, float)
     balance = np.where(y > 0, len(y) / (2 * max(1, n_pos)), len(y) / (2 * max(1, n_neg)))
-    w = fit_logistic(rows, columns, ratio[columns], y, len(buckets), balance)
+    w = fit_logistic(np.frombuffer(held, "<u2"), np.cumsum(lengths), ratio, y, balance)
     table = np.zeros(BUCKETS, np.float32)
     table[buckets] = (w[:-1] * ratio).astype(np.float32)
     shared.unpersist()
-    del design, lists, rows, columns, index
+    del held, index
     kernel.release()
     return Model(table, float(w[-1] + np.log(shares[1] / shares[0])))
 
