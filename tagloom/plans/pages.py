@@ -69,7 +69,7 @@ def feed_ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = roles.table(spark, folder, "conversations").schema
     raw = spark.readStream.schema(schema).parquet(f"{folder}/conversations.parque*")
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.col("conv_id").cast("int"), F.col("turn").cast("int"))
-    stream = raw.select(F.col("conv_id").alias("feed_id"), F.col("turn").alias("guid"), F.substring("text", 1, 40).alias("title"), at.alias("published_at"))
+    stream = raw.select(F.col("conv_id").alias("feed_id"), F.col("turn").alias("guid"), F.col("text").alias("title"), at.alias("published_at"))
     target, checkpoint = files.shared_path(spark, "feed-entries"), files.shared_path(spark, "feed-checkpoint")
     feeds.ingest(stream, target, checkpoint, NOW).awaitTermination()
     return feeds.high_water(spark.read.schema(stream.schema).parquet(f"{target}/epoch=*"))

@@ -87,7 +87,7 @@ def page_refs(spark: SparkSession, folder: str) -> DataFrame:
 def feed_entries(spark: SparkSession, folder: str) -> DataFrame:
     """feed_id, guid, title, published_at: turns of conversations, one an hour from the feed's day on."""
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.col("conv_id").cast("int"), F.col("turn").cast("int"))
-    return table(spark, folder, "conversations").select(F.col("conv_id").alias("feed_id"), F.col("turn").alias("guid"), F.substring("text", 1, 40).alias("title"), at.alias("published_at"))
+    return table(spark, folder, "conversations").select(F.col("conv_id").alias("feed_id"), F.col("turn").alias("guid"), F.col("text").alias("title"), at.alias("published_at"))
 
 
 _NORMAL = "trim(regexp_replace(lower(replace(replace(replace({0}, '.', ''), ',', ''), '''', '')), '[^a-z0-9_-]+', '-', 'g'), '-')"

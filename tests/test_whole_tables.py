@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from tagloom import plans
+from tagloom.sources import roles
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +32,10 @@ def test_tag_sets_of_all_parts(spark, folder):
 
 def test_parents_of_all_suppliers(spark, folder):
     assert sorted(r["node"] for r in plans.QUERIES["concept_parents"](spark, folder).collect()) == ["nation:A", "nation:B"]
+
+
+def test_entries_hold_whole_texts(spark, tmp_path):
+    text = "x" * 60 + " ti"
+    spark.createDataFrame([(1, 0, text)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r["title"] for r in roles.feed_entries(spark, str(tmp_path)).collect()] == [text]
+    assert [r["title"] for r in plans.QUERIES["feed_menu"](spark, str(tmp_path)).collect()] == [text]
