@@ -137,7 +137,10 @@ def _blocks(rows: DataFrame, cells: dict[tuple[int, int], int], size: int) -> Da
 
 
 def needed(pivots: np.ndarray, queries: dict[int, tuple[int, float]], data: dict[int, tuple[int, float]], k: int) -> list[tuple[int, int]]:
-    """Pairs (query cell, candidate cell) that may hold a result; both sides: cell to (rows, radius)."""
+    """Pairs (query cell, candidate cell) that may hold a result; both sides: cell to (rows, radius).
+
+    Rows of candidate cells are those that any query can count on: without the rows of its own id.
+    """
     norm = np.sqrt((pivots * pivots).sum(1))
     cells = sorted(data)
     count = np.array([data[c][0] for c in cells])
@@ -148,7 +151,7 @@ def needed(pivots: np.ndarray, queries: dict[int, tuple[int, float]], data: dict
         slack = reach * norm[cells] + radius * norm[i] + reach * radius
         slack = slack * (1 + 1e-9) + 1e-6 * (1 + np.abs(middle))
         order = np.argsort(-(middle - slack))
-        enough = np.searchsorted(np.cumsum(count[order]), k + 1)  # one more, for a query may be among the candidates
+        enough = np.searchsorted(np.cumsum(count[order]), k)
         least = (middle - slack)[order[enough]] if enough < len(cells) else -np.inf
         found += [(i, cells[j]) for j in np.flatnonzero(middle + slack >= least)]
     return found
@@ -165,15 +168,22 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec
         pivots.setdefault(r["dim"], []).append(np.frombuffer(bytes(r["vec"]), "<f8"))
     pivots = {d: np.array(p) for d, p in pivots.items()}
     rows = common.stored(vectors.mapInArrow(_assign(pivots), "id long, dim int, vec binary, cell int, dist double").withColumn("is_query", is_query), "knn-cells")
-    sums = rows.groupBy("dim", "cell", "is_query").agg(F.count("*").alias("n"), F.max("dist").alias("r")).collect()  # 2 x PIVOTS rows a length
+    ids = rows.groupBy("dim", "cell", "is_query", "id").agg(F.count("*").alias("n"), F.max("dist").alias("r"))
+    # a query never meets rows of its own id, which may be all those of the most frequent one
+    sums = ids.groupBy("dim", "cell", "is_query").agg(F.sum("n").alias("n"), F.max("r").alias("r"), F.max("n").alias("most")).collect()  # 2 x PIVOTS rows a length
     data: dict[int, dict] = {}
     queries: dict[int, dict] = {}
+    others: dict[int, dict] = {}
     for s in sums:
         n, r = data.setdefault(s["dim"], {}).get(s["cell"], (0, 0.0))
         data[s["dim"]][s["cell"]] = (n + s["n"], max(r, s["r"]))
+        # ids of queries and of other rows differ, and only queries leave rows out
+        least = s["n"] - s["most"] if s["is_query"] else s["n"]
+        n, r = others.setdefault(s["dim"], {}).get(s["cell"], (0, 0.0))
+        others[s["dim"]][s["cell"]] = (n + least, max(r, s["r"]))
         if s["is_query"]:
             queries.setdefault(s["dim"], {})[s["cell"]] = (s["n"], s["r"])
-    pairs = [(d, i, j) for d in queries for i, j in needed(pivots[d], queries[d], data[d], k)]
+    pairs = [(d, i, j) for d in queries for i, j in needed(pivots[d], queries[d], others[d], k)]
     pairs = spark.createDataFrame(pairs, "dim int, q_cell int, cell int")
     blocks = _blocks(rows.select("id", "dim", "cell", "vec"), {(d, c): n for d in data for c, (n, _) in data[d].items()}, BLOCK_ROWS)
     asked = _blocks(rows.filter("is_query").select("id", "dim", "cell", "vec"), {(d, c): n for d in queries for c, (n, _) in queries[d].items()}, QUERY_ROWS)

@@ -191,3 +191,19 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block_rows):
     expected = sorted((q, n + 1, i, -s) for q, found in best.items() for n, (s, i) in enumerate(sorted(found)[:5]))
     assert [g for g in got if g[0] != 20] == [e for e in expected if e[0] != 20]
     assert knn.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_top_k_of_repeated_queries(spark):
+    rng = np.random.default_rng(2)
+    some = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)] + [(20, [0.25] * 6)]
+    # 25 rows of one id have a cell of their own, from which the id itself gets nothing
+    equal = [(20, [4.0, 0.0])] * 25 + [(i, [1.0, float(i % 7)]) for i in range(31, 37)]
+    for rows in (some, equal):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = sorted(map(tuple, knn.top_k(df, F.col("id") % 20 == 0, 5).collect()))
+        good = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+        best = {}
+        for q, v in good:
+            if q % 20 == 0:
+                best.setdefault(q, []).extend((-int(v @ w), i) for i, w in good if i != q)
+        assert got == sorted((q, n + 1, i, -s) for q, found in best.items() for n, (s, i) in enumerate(sorted(found)[:5]))
