@@ -8,7 +8,8 @@ lines, so that a short paragraph among long ones keeps their company, and lines
 headers, footers, sidebars, notices, adverts, forms and comments are recognised by their elements,
 roles and class or id words, and never count. A cluster stands for the whole region around it: all
 remaining lines of the article, or of the innermost division, that holds it are taken, so that
-headings and one-word paragraphs of an article aren't lost.
+headings and one-word paragraphs of an article aren't lost; without an article, so are all regions
+between the first and the last of these.
 
 Null and empty pages give the empty text, as do pages without text outside their furniture. Broken
 markup is read as far as the parser gets. Repeated rows stay; an empty table gives no rows.
@@ -33,6 +34,8 @@ THRESHOLD = 0.5
 
 # Elements by their meaning in HTML.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video map select textarea button datalist head title".split())
+#: Elements that a head may hold; any other ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 FURNITURE = frozenset("nav footer aside form menu dialog search".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -93,7 +96,16 @@ class Lines(HTMLParser):
             self.lines.append((text, self.tags, self.linked, None if furniture else region))
         self.text, self.tags, self.linked = [], 0, 0
 
+    def _end_head(self, tag: str) -> None:
+        """A head whose end tag is left out ends at the body, or at the first element that it can't hold."""
+        at = next((i for i, (t, _, _) in enumerate(self.stack) if t == "head"), None)
+        if at is not None and (tag == "body" or (at == len(self.stack) - 1 and tag not in IN_HEAD)):
+            while len(self.stack) > at:
+                self._pop()
+
     def handle_starttag(self, tag, attrs):
+        if self.dropped:
+            self._end_head(tag)
         if tag in BLOCKS:
             self._end_line()
             top = self.stack[-1][0] if self.stack else ""
@@ -140,12 +152,14 @@ class Lines(HTMLParser):
         depth = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
         if depth is None:
             return
-        if tag not in BLOCKS and any(t in BLOCKS for t, _, _ in self.stack[depth + 1 :]):
+        if tag not in BLOCKS and tag not in DROPPED and any(t in BLOCKS for t, _, _ in self.stack[depth + 1 :]):
             return  # an inline end tag doesn't close blocks
         while len(self.stack) > depth:
             self._pop()
 
     def handle_data(self, data):
+        if self.dropped and data.strip():
+            self._end_head("")
         if self.dropped:
             return
         self.text.append(data)
@@ -198,6 +212,9 @@ def extract(html: str | None) -> str:
             weight[home] = weight.get(home, 0) + max(0, len(text) - linked)
     articles = {h for h in weight if page.parents[h][1] in REGIONS}
     taken = articles or {h for h, w in weight.items() if w > 0} or set(weight)
+    if not articles:  # short regions among those of content are content too
+        at = [i for i, home in enumerate(homes) if home in taken]
+        return " ".join(line[0] for line in usable[at[0] : at[-1] + 1])
     return " ".join(line[0] for line, home in zip(usable, homes) if home in taken)
 
 
