@@ -8,7 +8,8 @@ token counts. Blocks are rows of a Parquet dataset (`blocks/`), so Spark's commi
 the files whole when executors are lost and any store that Spark reads will do; the dictionary is a
 row of `dictionary/`. Blocks ascend with doc_id: shard by shard, then by number.
 
-Null texts count as empty; an empty document has its end id alone. Rows with the same doc_id are
+Null texts count as empty; an empty document has its end id alone. Null ids are stored as 0 with a
+flag (`id_given`) that says so, come before all others and are never looked up. Rows with the same doc_id are
 kept, in any order among themselves. An empty table gives files without blocks and no rows.
 """
 
@@ -40,7 +41,7 @@ BLOCK_BYTES = 4 << 20
 
 BLOCK_SCHEMA = (
     "shard int, block int, dictionary_hash string, width int, n_documents int, first_doc_id long, last_doc_id long, n_tokens long, "
-    "doc_ids binary, offsets binary, token_counts binary, frames binary"
+    "doc_ids binary, id_given binary, offsets binary, token_counts binary, frames binary"
 )
 
 
@@ -103,8 +104,11 @@ def _block_batches(hashed: str, width: int):
 
         def block():
             offsets = np.cumsum([0, *map(len, frames)]).astype("<i8")
-            row = [shard, number, hashed, width, len(ids), ids[0], ids[-1], sum(counts), np.asarray(ids, "<i8").tobytes(), offsets.tobytes(), np.asarray(counts, "<i8").tobytes(), b"".join(frames)]
-            types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            known = [i for i in ids if i is not None]
+            given = np.asarray([i is not None for i in ids], bool)
+            first, last = (known[0], known[-1]) if known else (None, None)
+            row = [shard, number, hashed, width, len(ids), first, last, sum(counts), np.asarray([i or 0 for i in ids], "<i8").tobytes(), given.tobytes(), offsets.tobytes(), np.asarray(counts, "<i8").tobytes(), b"".join(frames)]
+            types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             names = [x.strip().split(" ")[0] for x in BLOCK_SCHEMA.split(",")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
@@ -170,7 +174,8 @@ def _decoded(dictionary: bytes, hashed: str, keep: bool):
                 if [len(r) // 4 for r in raws] != counts.tolist():
                     raise ValueError("a frame holds another number of ids than the index says")
                 before = np.cumsum(counts) - counts
-                columns = [pa.array(np.full(len(ids), row["shard"], np.int32)), pa.array(np.full(len(ids), row["block"], np.int32)), pa.array(ids), pa.array(before), pa.array(counts), pa.array([zlib.crc32(r) for r in raws], pa.int64())]
+                given = np.frombuffer(row["id_given"], bool)
+                columns = [pa.array(np.full(len(ids), row["shard"], np.int32)), pa.array(np.full(len(ids), row["block"], np.int32)), pa.array(ids, mask=~given), pa.array(before), pa.array(counts), pa.array([zlib.crc32(r) for r in raws], pa.int64())]
                 names = ["shard", "block", "doc_id", "_in_block", "n_tokens", "ids_crc32"]
                 if keep:
                     columns.append(pa.array(raws, pa.binary()))
@@ -226,7 +231,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, offsets = (np.frombuffer(row[c], "<i8") for c in ("doc_ids", "offsets"))
-                at = np.flatnonzero(np.isin(ids, wanted))
+                at = np.flatnonzero(np.isin(ids, wanted) & np.frombuffer(row["id_given"], bool))
                 frames = memoryview(row["frames"])
                 raws = [deserialise(decoder.decompress(frames[offsets[i] : offsets[i + 1]]), row["width"]) for i in at]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(raws, pa.binary())], ["doc_id", "ids"])

@@ -11,8 +11,9 @@ Targets: the share of all words that is to be taken is dealt to sources by weigh
 at `repeats` times its source's words, and the excess is dealt out again until none is above.
 
 The mix takes the largest set of documents, by ascending hash, that does not exceed the budget.
-Documents with the same hash (the same id, repeated) go together. Null texts have no words and null
-sources are a source of their own, last in order. An empty table gives no rows.
+Documents with the same hash (the same id, repeated) go together; null ids hash as NULL_ID, so all
+rows without an id go together too. Null texts have no words and null sources are a source of their
+own, last in order. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from . import common
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
+#: What a null id hashes as: the empty text, which no id is.
+NULL_ID = ""
 #: Bits of the hash, and of each round's histogram.
 HASH_BITS = 60
 ROUND_BITS = 12
@@ -36,8 +39,8 @@ BROADCAST_SOURCES = 50_000
 
 
 def hash60(key: Column) -> Column:
-    """The first 60 bits of the md5 of the key as text."""
-    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    """The first 60 bits of the md5 of the key as text (null: NULL_ID)."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(NULL_ID)).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def words(text: Column) -> Column:
