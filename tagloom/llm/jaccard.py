@@ -15,7 +15,8 @@ that isn't empty in both. The few sets with more index their empty segments too.
 
 Sets that meet are linked to the first of their meeting place only, so rows stay linear in the
 number of index entries however large a group is. Components of the meetings in one band's index
-hold all pairs that are similar by it. Within each, tasks compare blocks of bounded size with blocks,
+hold all pairs that are similar by it. In components of several blocks, sets are first compared with
+the heads that they meet most often, and what that links isn't compared again. Then, within each, tasks compare blocks of bounded size with blocks,
 twice: first by bitmaps of a few bits a shingle, in which two sets differ in no more places than
 shingles (so no similar pair is lost), then, in the much smaller components of what is left, by the
 shingles themselves. Either time a spanning forest of the pairs found is kept, which has the same
@@ -51,8 +52,8 @@ HELD = 500_000
 REMEMBERED = 200_000
 #: Bytes of text that are worked on at a time.
 SLICE = 1 << 20
-#: Documents and shingles of a block; two blocks are compared at a time.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
+#: Documents and shingles of a block (of bitmaps twice as many documents); two blocks are compared at a time.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Share of a band's sets that may have more empty segments than there are spare ones.
 MANY_EMPTY = 0.02
 #: What comparing two sets costs, against an index entry's 1.
@@ -325,22 +326,16 @@ def _changed(sets: DataFrame, meetings: DataFrame, percent: int) -> dict[int, np
 # ---------------------------------------------------------------------------------- verification
 
 
-def similar_pairs(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """All pairs of similar sets. left: only pairs of one with True and one with False."""
+def similar_pairs(sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None):
+    """All pairs of similar sets, as arrays (i, j). apart: which pairs (of a sets x sets table) are of interest."""
     sizes = np.array([len(s) for s in sets], np.int64)
     n = len(sets)
-
-    def enough(common_, a, b):
-        return (100 + percent) * common_ >= percent * (a + b)
-
-    if n <= 3:
-        found = []
-        for i in range(n):
-            for j in range(i + 1, n):
-                if (left is None or left[i] != left[j]) and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
-                    if enough(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), sizes[i], sizes[j]):
-                        found.append((i, j))
-        return found
+    if n == 2:  # most groups
+        total = int(sizes.sum())
+        close = 100 * sizes.min() >= percent * sizes.max() and (apart is None or apart[0, 1])
+        if close and (100 + percent) * len(np.intersect1d(sets[0], sets[1], assume_unique=True)) >= percent * total:
+            yield np.array([0]), np.array([1])
+        return
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(tokens, kind="stable")
@@ -350,35 +345,37 @@ def similar_pairs(sets: list[np.ndarray], percent: int, left: np.ndarray | None
     row, column = owner[order][shared], column[shared]
     column = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
     met = np.zeros((n, n), np.float32)
-    step = max(64, min(CHUNK, (1 << 24) // n))
+    step = max(64, min(CHUNK, (1 << 23) // n))
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         a, b = np.searchsorted(column, (lo, lo + step))
         block = np.zeros((n, step), np.float32)
         block[row[a:b], column[a:b] - lo] = 1
         met += block @ block.T
     ok = (100 + percent) * met.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :])
-    if left is not None:
-        ok &= left[:, None] != left[None, :]
-    i, j = np.nonzero(np.triu(ok, 1))
-    return list(zip(i.tolist(), j.tolist()))
+    if apart is not None:
+        ok &= apart
+    yield np.nonzero(np.triu(ok, 1))
 
 
-def forest(n: int, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pairs that join what earlier ones haven't joined yet."""
-    up = list(range(n))
+def forest(n: int, pairs) -> list[tuple[int, int]]:
+    """The pairs (arrays i, j at a time) that join what earlier ones haven't joined yet."""
+    up = np.arange(n)
+    kept = []
 
     def top(x):
         while up[x] != x:
-            up[x] = up[up[x]]
             x = up[x]
         return x
 
-    kept = []
     for i, j in pairs:
-        a, b = top(i), top(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            kept.append((i, j))
+        while (up != up[up]).any():
+            up = up[up]
+        _, first = np.unique(up[i] * n + up[j], return_index=True)  # of pairs between the same two trees one is enough
+        for k in np.sort(first).tolist():
+            a, b = top(i[k]), top(j[k])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                kept.append((int(i[k]), int(j[k])))
     return kept
 
 
@@ -395,21 +392,19 @@ def bitmap_words(bands: Bands, band: int) -> int:
     return -(-BITMAP_BITS * bands.tops[band] // 64)
 
 
-def maybe_similar(bitmaps: np.ndarray, sizes: np.ndarray, percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs whose bitmaps differ in no more places than similar sets do in shingles. left: only pairs of one with True and one with False."""
+def maybe_similar(bitmaps: np.ndarray, sizes: np.ndarray, percent: int, apart: np.ndarray | None = None):
+    """Pairs whose bitmaps differ in no more places than similar sets do in shingles, some arrays (i, j) at a time. apart: as above."""
     n, words = bitmaps.shape
-    found = []
     step = max(1, (1 << 20) // max(1, n * words))
     for lo in range(0, n, step):
-        apart = np.bitwise_count(bitmaps[lo : lo + step, None, :] ^ bitmaps[None, :, :]).sum(axis=2, dtype=np.int64)
-        total = sizes[lo : lo + step, None] + sizes[None, :]
-        ok = apart <= total - 2 * -(-percent * total // (100 + percent))
-        if left is not None:
-            ok &= left[lo : lo + step, None] != left[None, :]
+        differ = np.bitwise_count(bitmaps[lo : lo + step, None, :] ^ bitmaps[None, lo:, :]).sum(axis=2, dtype=np.int64)
+        total = sizes[lo : lo + step, None] + sizes[None, lo:]
+        ok = differ <= total - 2 * -(-percent * total // (100 + percent))
+        if apart is not None:
+            ok &= apart[lo : lo + step, lo:]
         i, j = np.nonzero(ok)
-        later = j > i + lo
-        found += list(zip((i[later] + lo).tolist(), j[later].tolist()))
-    return found
+        later = j > i
+        yield i[later] + lo, j[later] + lo
 
 
 def _compare(percent: int, exact: bool):
@@ -417,18 +412,24 @@ def _compare(percent: int, exact: bool):
         out: list[tuple[int, int]] = []
         for (_, x, y), own in group.groupby(["root", "x", "y"], sort=False):
             own = own.drop_duplicates("c")
-            ids, left = own["c"].to_numpy(), (own["block"] == x).to_numpy() if x != y else None
+            ids, label = own["c"].to_numpy(), own["label"].to_numpy()
+            apart = label[:, None] != label[None, :]  # the others are linked already
+            if x != y:
+                left = (own["block"] == x).to_numpy()
+                apart &= left[:, None] != left[None, :]
+            if not apart.any():
+                continue
             if exact:
-                pairs = similar_pairs([np.frombuffer(t, U64) for t in own["payload"]], percent, left)
+                pairs = similar_pairs([np.frombuffer(t, U64) for t in own["payload"]], percent, apart)
             else:
-                pairs = maybe_similar(np.frombuffer(b"".join(own["payload"]), U64).reshape(len(own), -1), own["b"].to_numpy(), percent, left)
+                pairs = maybe_similar(np.frombuffer(b"".join(own["payload"]), U64).reshape(len(own), -1), own["b"].to_numpy(), percent, apart)
             out += [(int(ids[i]), int(ids[j])) for i, j in forest(len(ids), pairs)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-_PLACED = "c long, b long, root long, block int, blocks int, payload binary"
+_PLACED = "c long, b long, root long, block int, upto int, single boolean, label long, payload binary"
 
 
 def _payloads(width: int, percent: int, exact: bool):
@@ -448,23 +449,43 @@ def _payloads(width: int, percent: int, exact: bool):
                         at.append(lo + i)
                         bands.segments(max(p["band"], 0))  # so that the band is known
                         payload = own if exact else bitmap(own, bitmap_words(bands, p["band"]))
-                        rows.append((b - a, p["root"], p["block"], p["blocks"], payload.tobytes()))
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([sets.take(pa.array(at, pa.int64())), *columns], ["c", "b", "root", "block", "blocks", "payload"])
+                        rows.append((b - a, p["root"], p["block"], p["upto"], p["single"], p["label"], payload.tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 7, kinds)]
+                yield pa.RecordBatch.from_arrays([sets.take(pa.array(at, pa.int64())), *columns], ["c", "b", "root", "block", "upto", "single", "label", "payload"])
+        kernel.release()
 
     return run
 
 
+def _blocks(n: Column, t: Column, exact: bool) -> Column:
+    """Blocks of n sets with t shingles together. A bitmap takes a sixteenth of the shingles' room."""
+    sets, shingles = (BLOCK_SETS, BLOCK_SHINGLES) if exact else (2 * BLOCK_SETS, 16 * BLOCK_SHINGLES)
+    return F.greatest(F.ceil(n / sets), F.ceil(t / shingles)).cast("int")
+
+
 def _linked(docs: DataFrame, candidates: DataFrame, width: int, percent: int, exact: bool) -> DataFrame:
     """a, b: links between sets of one root, enough for the components: true ones, or those that bitmaps don't rule out.
 
-    candidates: key (of a document with the set), b (its size), c, root, band (for bitmaps); a set may have several roots.
+    candidates: key (of a document with the set), b (its size), c, root, label, band (for bitmaps); a set may
+    have several roots. Sets with the same label are linked already and aren't compared: those of a
+    root's commonest label meet its other sets alone, so a large group of copies costs no pairs of blocks of its own.
     """
     spark = docs.sparkSession
-    sums = candidates.groupBy("root").agg(F.count("*").alias("n"), F.sum("b").alias("t"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("t") / BLOCK_SHINGLES)).cast("int")
-    sums = sums.select("root", blocks.alias("blocks"))
-    places = F.struct("root", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), "blocks", "band")
+    labels = candidates.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum("b").alias("t"))
+    sums = labels.groupBy("root").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.max(F.struct("n", "t", "label")).alias("most")).filter("n > most.n")
+    sums = sums.select(
+        "root",
+        F.col("most.label").alias("_most"),
+        (_blocks(F.col("n"), F.col("t"), exact) == 1).alias("single"),
+        _blocks(F.col("n") - F.col("most.n"), F.col("t") - F.col("most.t"), exact).alias("_others"),
+        _blocks(F.col("most.n"), F.col("most.t"), exact).alias("_crowd"),
+    )
+    crowd = F.col("label") == F.col("_most")
+    within = lambda n: F.pmod(F.xxhash64("c"), n).cast("int")
+    block = F.when(F.col("single"), 0).when(crowd, F.col("_others") + within(F.col("_crowd"))).otherwise(within(F.col("_others")))
+    upto = F.when(F.col("single"), 1).when(crowd, F.col("_others")).otherwise(F.col("_others") + F.col("_crowd"))
+    places = F.struct("root", block.cast("int").alias("block"), upto.cast("int").alias("upto"), "single", "label", "band")
     spread = candidates.join(sums, "root").groupBy("key", "c").agg(F.max("b").alias("b"), F.collect_list(places).alias("places"))  # two places at most
     spread = common.stored(spread, "jaccard-candidates")
     total = spread.agg(F.sum("b"), F.count("*")).first()
@@ -476,13 +497,55 @@ def _linked(docs: DataFrame, candidates: DataFrame, width: int, percent: int, ex
         .select("c", "places", "_text")
         .mapInArrow(_payloads(width, percent, exact), _PLACED)
     )
-    # every block meets itself and all others; groups of one block share tasks
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = placed.withColumn("_other", other).select("root", "c", "b", "block", "payload", F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y"), "blocks")
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", "x", "y"))
+    # every block of the others meets itself and all blocks; groups of one block share tasks
+    other = F.explode(F.sequence(F.lit(0), F.col("upto") - 1))
+    paired = placed.withColumn("_other", other).select("root", "c", "b", "block", "label", "payload", F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y"), "single")
+    task = F.when(F.col("single"), F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", "x", "y"))
     return paired.withColumn("task", task).groupBy("task").applyInPandas(_compare(percent, exact), "a long, b long")
 
 
+#: Heads that a set of a large root is compared with before blocks are: those that it meets in most segments.
+HEADS = 2
+
+
+def _heads(docs: DataFrame, meetings: DataFrame, roots: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """a, b: true links of sets with their commonest heads, in the roots of several blocks (None if there are none).
+
+    They join most of a large group of near copies by comparisons that grow with its sets, not their pairs.
+    """
+    sums = candidates.groupBy("root").agg(F.count("*").alias("n"), F.sum("b").alias("t"))
+    large = common.stored(sums.filter(_blocks(F.col("n"), F.col("t"), False) > 1).select("root"), "jaccard-large")
+    if large.isEmpty():
+        return None
+    band = F.shiftright("code", _SEGMENT_BITS).cast("int")
+    met = meetings.select("a", "b", F.xxhash64("a", band).alias("node")).join(roots, "node").join(large, "root", "left_semi")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("n"))
+    commonest = Window.partitionBy("a").orderBy(F.desc("n"), "b")
+    met = common.stored(met.withColumn("_n", F.row_number().over(commonest)).filter(F.col("_n") <= HEADS).select("a", "b"), "jaccard-heads")
+    sets = candidates.join(large, "root", "left_semi").select("c", "key").distinct()
+
+    def tokens(batches):
+        memos.forget()
+        for batch in batches:
+            for lo, part in kernel.slices(batch.column("text"), SLICE):
+                own, offsets = kernel.shingle_sets(part, width)
+                payload = [own[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("c").slice(lo, len(part)), pa.array(payload, pa.binary())], ["c", "payload"])
+
+    def verified(batches):
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                if (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (len(x) + len(y)):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    held = common.stored(docs.select("key", "text").join(sets, "key").select("c", "text").mapInArrow(tokens, "c long, payload binary"), "jaccard-held")
+    both = met.join(held.select(F.col("c").alias("a"), F.col("payload").alias("x")), "a").join(held.select(F.col("c").alias("b"), F.col("payload").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+
+
 # -------------------------------------------------------------------------------------- the join
 
 
@@ -507,10 +570,21 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     candidates = common.stored(nodes.join(roots, "node").select("c", "b", "key", "root", "band"), "jaccard-classes")
     true_roots = roots.limit(0)
     if not candidates.isEmpty():
-        left = components(_linked(docs, candidates, width, percent, exact=False)).select(F.col("node").alias("c"), "root")
-        rest = common.stored(classes.join(left, "c").select("c", "b", "key", "root", F.lit(0).alias("band")), "jaccard-rest")
+        links = _heads(docs, meetings, roots, candidates, width, percent)
+        if links is None:
+            labelled = candidates.withColumn("label", F.col("c"))
+        else:
+            links = common.stored(links, "jaccard-head-links")
+            known = components(links).select(F.col("node").alias("c"), F.col("root").alias("_label"))
+            labelled = common.stored(candidates.join(known, "c", "left").withColumn("label", F.coalesce("_label", "c")).drop("_label"), "jaccard-labelled")
+        left = components(_linked(docs, labelled, width, percent, exact=False)).select(F.col("node").alias("c"), "root")
+        own_label = labelled.select("c", "label").distinct()
+        rest = common.stored(classes.join(left, "c").join(own_label, "c").select("c", "b", "key", "root", "label", F.lit(0).alias("band")), "jaccard-rest")
         if not rest.isEmpty():
-            true_roots = components(_linked(docs, rest, width, percent, exact=True))
+            found = _linked(docs, rest, width, percent, exact=True)
+            links = found if links is None else links.unionByName(found)
+        if links is not None:
+            true_roots = components(links)
     labelled = classes.join(true_roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").select("c", "doc_id", F.coalesce("label", "c").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labelled.join(least, "label").select("c", "component_id")
