@@ -2,14 +2,18 @@
 
 The standard library's parser reports tags and text one after another; no tree is built. Every
 block-level tag ends a line, so a line is the text of one block. A line's ratio is its characters
-of text (those of links left out) to its tags; ratios are smoothed by a Gaussian over neighbouring
-lines, so that a short paragraph among long ones keeps their company, and lines above a threshold
-(a fraction of the standard deviation of the page's ratios) form clusters of content. Menus,
-headers, footers, sidebars, notices, adverts, forms and comments are recognised by their elements,
-roles and class or id words, and never count. A cluster stands for the whole region around it: all
-remaining lines of the article, or of the innermost division, that holds it are taken, so that
-headings and one-word paragraphs of an article aren't lost; without an article, so are all regions
-between the first and the last of these.
+of text (those of links left out) to its tags. Structure weighs it: lines of elements and roles that
+are furniture by their meaning (menus, footers, asides, forms, ...) weigh nothing, those of elements
+whose class or id speaks of adverts, notices or comments weigh WEAK. Weighed ratios are smoothed by a
+Gaussian over neighbouring lines and compared with a threshold, a fraction of their standard
+deviation.
+
+Neighbouring lines of one kind (text, mostly links, weak) form runs, and the threshold decides run by
+run: a run of text is content if any line of it reaches the threshold; a run of links, or of weak
+lines, if its mean does. So a link in a sentence's place stays, a list of links goes, wherever it is.
+Content clusters tell the page's content regions: the articles that hold any, or else all from the
+first division that does to the last. Text of a content region stays even where it is short
+(headings, one-word paragraphs); its links and weak lines stay if their runs are content.
 
 Null and empty pages give the empty text, as do pages without text outside their furniture. Broken
 markup is read as far as the parser gets. Repeated rows stay; an empty table gives no rows.
@@ -44,13 +48,14 @@ BLOCKS = frozenset(
 REGIONS = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of class and id attributes that mark furniture.
-FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adbox adslot adsense banner sponsor sponsored promo promotion "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside rail widget widgets "
-    "comment comments commentlist disqus reply replies respond notice notices cookie cookies consent gdpr alert popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar".split()
+#: Words of class and id attributes that make a line weak, and those that take that back.
+WEAK_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion "
+    "comment comments reply replies disqus notice notices alert cookie cookies consent newsletter subscribe popup modal sidebar widget breadcrumb breadcrumbs".split()
 )
+CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+#: What a weak line's ratio counts.
+WEAK = 0.1
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 #: Elements that an opening block closes if they are still open (their end tags may be left out).
@@ -62,38 +67,41 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool
     if tag in FURNITURE or (tag == "header" and not in_article):
         return True
     for name, value in attrs:
-        if not value:
-            continue
-        if name == "role" and value.strip().lower() in ROLES:
+        value = (value or "").lower()
+        if name == "hidden" or (name == "role" and value.strip() in ROLES) or (name == "aria-hidden" and value.strip() == "true"):
             return True
-        if name == "hidden":
+        if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article", "p") and not tag.startswith("h"):
-            if any(w in FURNITURE_WORDS for w in _WORDS.findall(value.lower())):
-                return True
     return False
 
 
+def is_weak(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    if tag in ("html", "body", "main", "article"):
+        return False
+    words = {w for name, value in attrs if value and name in ("class", "id") for w in _WORDS.findall(value.lower())}
+    return not words.isdisjoint(WEAK_WORDS) and words.isdisjoint(CONTENT_WORDS)
+
+
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, characters in links, and the region that holds them (None: furniture)."""
+    """Lines of a page: text, tags, characters in links, weight (0: furniture), and the region that holds them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int | None, bool]] = []  # tag, region, furniture
-        self.lines: list[tuple[str, int, int, int | None]] = []
+        self.stack: list[tuple[str, int, float]] = []  # tag, region, weight
+        self.lines: list[tuple[str, int, int, float, int]] = []
         self.parents: dict[int, tuple[int | None, str]] = {0: (None, "body")}
         self.regions = 0
         self.text: list[str] = []
         self.tags = self.linked = self.links = self.dropped = 0
 
-    def _state(self) -> tuple[int | None, bool]:
-        return self.stack[-1][1:] if self.stack else (0, False)
+    def _state(self) -> tuple[int, float]:
+        return self.stack[-1][1:] if self.stack else (0, 1.0)
 
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
-        if text or self.tags:
-            region, furniture = self._state()
-            self.lines.append((text, self.tags, self.linked, None if furniture else region))
+        if text:
+            region, weight = self._state()
+            self.lines.append((text, self.tags, self.linked, weight, region))
         self.text, self.tags, self.linked = [], 0, 0
 
     def _end_head(self, tag: str) -> None:
@@ -116,8 +124,11 @@ class Lines(HTMLParser):
             if tag == "br":
                 self.text.append(" ")
             return
-        region, furniture = self._state()
-        furniture = furniture or is_furniture(tag, attrs, any(t in REGIONS for t, _, _ in self.stack))
+        region, weight = self._state()
+        if weight and is_furniture(tag, attrs, any(t in REGIONS for t, _, _ in self.stack)):
+            weight = 0.0
+        elif attrs and is_weak(tag, attrs):
+            weight = min(weight, WEAK)
         if tag in REGIONS or tag in ("div", "section", "td"):
             self.regions += 1
             self.parents[self.regions] = (region, tag)
@@ -126,7 +137,7 @@ class Lines(HTMLParser):
             self.dropped += 1
         elif tag == "a":
             self.links += 1
-        self.stack.append((tag, region, furniture))
+        self.stack.append((tag, region, weight))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag not in BLOCKS:
@@ -174,26 +185,43 @@ class Lines(HTMLParser):
 
 
 def smooth(ratios: np.ndarray) -> np.ndarray:
+    """Each line's mean of its neighbours, weighed by a Gaussian; beyond the page there is nothing."""
     kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
     padded = np.pad(ratios, REACH)
     weight = np.convolve(np.pad(np.ones(len(ratios)), REACH), kernel, "valid")
     return np.convolve(padded, kernel, "valid") / weight
 
 
+def content_lines(lines: list[tuple[str, int, int, float, int]]) -> np.ndarray:
+    """Whether each line (text, tags, linked characters, weight, region) lies in a run that is content."""
+    linked = np.array([x[2] for x in lines], float)
+    length = np.array([len(x[0]) for x in lines], float)
+    tags = np.array([max(1, x[1]) for x in lines], float)
+    weight = np.array([x[3] for x in lines], float)
+    ratios = weight * np.maximum(0, length - linked) / tags
+    smoothed = smooth(ratios)
+    threshold = min(THRESHOLD * ratios.std(), smoothed.max())
+    kind = np.where(weight == 0, 3, np.where(weight < 1, 2, (2 * linked > length).astype(int)))
+    found = np.zeros(len(lines), bool)
+    at = np.flatnonzero(kind < 3)  # furniture doesn't part a run
+    for run in np.split(at, np.flatnonzero(np.diff(kind[at])) + 1):
+        if not len(run):
+            continue
+        reached = smoothed[run].max() if kind[run[0]] == 0 else (smoothed[run] * weight[run]).mean()
+        found[run] = reached >= threshold
+    return found
+
+
 def extract(html: str | None) -> str:
     if not html:
         return ""
     page = Lines()
     page.feed(html)
     page.close()
-    usable = [line for line in page.lines if line[3] is not None and line[0]]
-    if not usable:
+    lines = page.lines
+    if not any(x[3] for x in lines):
         return ""
-    ratios = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _ in usable])
-    smoothed = smooth(ratios)
-    content = smoothed >= THRESHOLD * ratios.std()
-    if not content.any():
-        content = smoothed >= smoothed.max()
+    content = content_lines(lines)
 
     def region_of(r: int) -> int:
         """The article or main element around a region; else the region itself."""
@@ -205,17 +233,16 @@ def extract(html: str | None) -> str:
             at = parent
         return r if outer is None else outer
 
-    homes = [region_of(line[3]) for line in usable]
-    weight: dict[int, float] = {}
-    for home, yes, (text, _, linked, _) in zip(homes, content, usable):
-        if yes:
-            weight[home] = weight.get(home, 0) + max(0, len(text) - linked)
-    articles = {h for h in weight if page.parents[h][1] in REGIONS}
-    taken = articles or {h for h, w in weight.items() if w > 0} or set(weight)
-    if not articles:  # short regions among those of content are content too
-        at = [i for i, home in enumerate(homes) if home in taken]
-        return " ".join(line[0] for line in usable[at[0] : at[-1] + 1])
-    return " ".join(line[0] for line, home in zip(usable, homes) if home in taken)
+    homes = [region_of(x[4]) for x in lines]
+    taken = {home for home, yes in zip(homes, content) if yes}
+    articles = {h for h in taken if page.parents[h][1] in REGIONS}
+    if articles:
+        inside = [home in articles for home in homes]
+    else:  # short regions among those of content are content too
+        at = [i for i, (home, x) in enumerate(zip(homes, lines)) if home in taken and x[3]]
+        inside = [at[0] <= i <= at[-1] for i in range(len(lines))] if at else [False] * len(lines)
+    # text stays even where it is short; links and weak lines stay if the ratios say so
+    return " ".join(x[0] for x, here, yes in zip(lines, inside, content) if here and x[3] and (yes or (x[3] == 1 and 2 * x[2] <= len(x[0]))))
 
 
 def _extract_batches(batches):
