@@ -3,9 +3,10 @@
 Each language has a distribution of byte trigrams (blanks around words included), learned from
 labelled documents. A word's likelihood under a language is the product of its trigrams'; a document
 is a mixture of languages over its words, and expectation-maximisation estimates the proportions.
-Sets of one, two, ... languages (those of the largest proportions) are compared by their likelihood
-less a penalty per language; the best set's largest language is the prediction, its proportion the
-score.
+Sets are compared by their likelihood less a penalty per language. Each single language is tried;
+then sets grow from the best one by the language that takes the most words off it, as long as any
+text's set gains by that, and shrink again by their least language if that gains. The best set's
+largest language is the prediction, its proportion the score.
 
 Learning reads a bounded sample: PER_LANGUAGE whole documents of each language, those with the least
 hashes. Texts that are null or hold no letter get `und` and score 0, as do all texts when nothing
@@ -30,9 +31,8 @@ BUCKETS = 1 << 16
 SMOOTHING = 0.5
 ITERATIONS = 8
 #: Bytes of text that are worked on at a time.
-SLICE = 1 << 19
-#: Most languages of a set, and what a further one must gain, times the log of the number of words.
-MOST_LANGUAGES = 3
+SLICE = 1 << 18
+#: What a further language of a set must gain, times the log of the number of words.
 PENALTY = 4.0
 
 
@@ -71,6 +71,7 @@ def _counts(batches):
     for lang, total in totals.items():
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
+    kernel.release()
 
 
 class Model:
@@ -122,30 +123,41 @@ def mixtures(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.add.reduceat(x, edges, axis=0)
 
     def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions and log-likelihood (apart from the words' own maxima) with the allowed languages of each text."""
+        """Proportions and penalised log-likelihood (apart from the words' own maxima) of each text's set of languages."""
         pi = allowed / allowed.sum(axis=1, keepdims=True)
         for _ in range(ITERATIONS):
             part = like * pi[doc]
             part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
             pi = sums(part) / size[:, None]
-        return pi, sums(np.log(np.maximum((like * pi[doc]).sum(axis=1), 1e-300)))
+        found = sums(np.log(np.maximum((like * pi[doc]).sum(axis=1), 1e-300)))
+        return pi, found - PENALTY * (allowed.sum(axis=1) - 1) * np.log(size + 1)
 
-    pi, _ = fit(np.ones((len(full), many)))
-    order = np.argsort(-pi, axis=1, kind="stable")
     single = sums(logs - top)  # log-likelihoods of one language alone
-    winner = single.argmax(axis=1)
-    value = single.max(axis=1)
-    proportion = np.ones(len(full))
-    for k in range(2, min(MOST_LANGUAGES, many) + 1):
-        allowed = np.zeros((len(full), many))
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        shares, likelihood = fit(allowed)
-        penalised = likelihood - PENALTY * (k - 1) * np.log(size + 1)
-        better = penalised > value
-        value = np.where(better, penalised, value)
-        winner = np.where(better, shares.argmax(axis=1), winner)
-        proportion = np.where(better, shares.max(axis=1), proportion)
-    best[full], share[full] = winner, proportion
+    here = np.arange(len(full))
+    value, chosen = single.max(axis=1), np.zeros((len(full), many))
+    chosen[here, single.argmax(axis=1)] = 1.0
+    shares = chosen.copy()
+    growing = np.full(len(full), many > 1)
+    while growing.any():
+        # the language that words of the texts like better than their set, most of all
+        set_like = np.maximum((like * shares[doc]).sum(axis=1), 1e-300)
+        gain = sums(np.maximum(0.0, np.log(np.maximum(like, 1e-300)) - np.log(set_like)[:, None]))
+        gain[chosen > 0] = -1.0
+        allowed = chosen.copy()
+        allowed[here, gain.argmax(axis=1)] = 1.0
+        tried, penalised = fit(allowed)
+        if many > 2:
+            # a language that the new one makes superfluous
+            fewer = allowed.copy()
+            fewer[here, np.where(allowed > 0, tried, np.inf).argmin(axis=1)] = 0.0
+            fewer_tried, fewer_value = fit(fewer)
+            swap = fewer_value > penalised
+            allowed, tried, penalised = np.where(swap[:, None], fewer, allowed), np.where(swap[:, None], fewer_tried, tried), np.where(swap, fewer_value, penalised)
+        growing &= (penalised > value + 1e-9) & (gain.max(axis=1) > 0)
+        value = np.where(growing, penalised, value)
+        chosen, shares = np.where(growing[:, None], allowed, chosen), np.where(growing[:, None], tried, shares)
+        growing &= chosen.sum(axis=1) < many
+    best[full], share[full] = shares.argmax(axis=1), shares.max(axis=1)
     return best, share
 
 
@@ -168,6 +180,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: bool = True
             unknown = (best < 0) | ~letters
             best[unknown], share[unknown] = len(names) - 1, 0.0
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), names.take(pa.array(best)), pa.array(np.clip(share, 0, 1))], [*out, "lang_pred", "score"])
+        kernel.release()
 
     chosen = kept.withColumn(text, F.col(text).cast("string")).withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     return chosen.mapInArrow(run, common.schema_with(chosen.select(*out), "lang_pred string, score double"))
