@@ -10,7 +10,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,21 +79,40 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: Bits of the hash by which samples are cut, and of each of the two histograms that find where.
+_CUT_BITS, _ROUND_BITS = 24, 12
+
+
 def least_hashed(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    """The n rows of each group whose keys have the least hashes (fewer if it has fewer); groups must be few.
+    """About n rows of each group (all, if it has fewer): those whose keys have the least hashes. Groups must be few.
 
-    Rows are thinned by a hash threshold to about 4 n a group before they are ranked, so no task ranks
-    a whole group.
+    Two histograms by group and bits of the hash find the greatest hash up to which a group has n rows at
+    most, so no task ranks a group. Rows whose keys have the same hash stay or go together; the first ones always stay.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("n")).collect()  # one row a group
-    share = F.lit(1.0)
-    for r in counts:
-        if r["n"] > 4 * n:
-            share = F.when(F.col(group) == r[group], F.lit(4.0 * n / r["n"])).otherwise(share)
-    spread = F.xxhash64(F.lit(1), F.col(key))
-    thin = rows.filter(F.pmod(spread, F.lit(1 << 30)) < share * (1 << 30))
-    order = Window.partitionBy(group).orderBy(spread, key)
-    return thin.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+    hashed = rows.withColumn("_h", F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(1 << _CUT_BITS)))
+    limits: dict = {}
+
+    def cut(part: DataFrame, shift: int, before: dict) -> dict:
+        """Per group: the bucket in which its n-th row lies (None: it has no more than n), and the rows before it."""
+        found: dict = {}
+        for g, b, count in sorted(part.groupBy(group, F.shiftright("_h", shift).alias("_b")).count().collect(), key=lambda r: r[1]):  # a row for each group and bucket
+            at, total = found.setdefault(g, (None, before.get(g, 0)))
+            if at is None:
+                found[g] = (b, total) if total + count > n else (None, total + count)
+        return found
+
+    first = cut(hashed, _CUT_BITS - _ROUND_BITS, {})
+    full = {g: x for g, x in first.items() if x[0] is not None}
+    if not full:
+        return rows
+    spark = rows.sparkSession
+    kind = rows.schema[group].dataType.simpleString()
+    bounds = spark.createDataFrame([(g, int(b)) for g, (b, _) in full.items()], f"{group} {kind}, _first long")
+    inside = hashed.join(F.broadcast(bounds), group).filter(F.shiftright("_h", _CUT_BITS - _ROUND_BITS) == F.col("_first"))
+    for g, (b, total) in cut(inside, 0, {g: x[1] for g, x in full.items()}).items():
+        limits[g] = b if total == 0 else b - 1  # never an empty sample
+    limits = spark.createDataFrame([(g, int(x)) for g, x in limits.items()], f"{group} {kind}, _limit long")
+    return hashed.join(F.broadcast(limits), group, "left").filter(F.col("_limit").isNull() | (F.col("_h") <= F.col("_limit"))).select(*rows.columns)
 
 
 #: Cut points that are taken from the data; finer ranges divide the room between two of them evenly.

@@ -1,24 +1,27 @@
 """Toxicity by a linear classifier of character n-grams, scaled by naive Bayes log-count ratios.
 
-A document's features are the n-grams (of bytes, lower-cased) that it holds, each counted once and
-valued by the log of its frequency among toxic over its frequency among other labelled documents; a
-logistic regression weighs them. N-grams fall into hash buckets; those whose frequencies differ
-most (by chi-square) take part.
+A document's features are the n-grams of characters (lower-cased, white space as blanks) that it
+holds, each counted once and valued by the log of its frequency among toxic over its frequency among
+other labelled documents; a logistic regression weighs them. N-grams fall into BUCKETS hash buckets,
+all of which take part.
 
 The classifier is fitted on a bounded sample: PER_CLASS whole labelled documents of each class,
-those with the least hashes; its threshold is then moved to the classes' true shares. Scoring reads
-whole texts. Null and empty texts have no n-gram and get the score of none. Documents without a
-label are scored but never learned from; a document labelled twice counts as toxic if any label says
-so. With one class or none to learn from, every score is that class's smoothed share. Repeated rows
-get the same score each; an empty table gives no rows.
+those with the least hashes, of CLASS_CHARS characters together at most; its threshold is then moved to
+the classes' true shares. Scoring reads whole texts. Null and empty texts have no n-gram and get the
+score of none. Documents without a label are scored but never learned from; a document labelled
+twice counts as toxic if any label says so, and of rows that repeat an id one text is learned from.
+With one class or none to learn from, every score is that class's smoothed share. Repeated rows get
+the same score each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common, kernel, tokens
 
@@ -29,63 +32,66 @@ BUCKETS = 1 << BITS
 _STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 #: Bytes that are worked on at a time: their arrays stay in a processor's cache.
 SLICE = 1 << 17
-#: Documents of each class that are learned from.
-PER_CLASS = 3000
-#: Buckets that take part; their numbers fit into 16 bits.
-FEATURES = 20_000
+#: Documents of each class that are learned from, and characters of them.
+PER_CLASS = 2000
+CLASS_CHARS = 6_000_000
 SMOOTHING = 1.0
 #: Values of the design matrix that the fit works on at a time.
-FIT_SLICE = 1 << 18
+FIT_SLICE = 1 << 20
 #: Strength of the pull of weights towards 0.
 RIDGE = 1.0
 
 
-def ngrams(raw: np.ndarray, offsets: np.ndarray):
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, lower-cased, white space as blanks, and where each text begins; nulls count as empty."""
+    lower = pc.utf8_lower(pc.fill_null(texts, ""))
+    ends = np.cumsum(np.asarray(pc.utf8_length(lower), dtype=np.int64))
+    raw, _ = kernel.bytes_of(lower)
+    return np.frombuffer(kernel.spaced(raw).tobytes().decode("utf-8").encode("utf-32-le"), "<u4"), np.append(0, ends)
+
+
+def ngrams(points: np.ndarray, offsets: np.ndarray):
     """For each order: the buckets of all n-grams, and the places where one would leave its text."""
-    packed = raw.astype(np.uint32)
-    wide = packed.copy()
+    packed = points.copy()
     for n in range(2, max(ORDERS) + 1):
-        if len(raw) < n:
+        if len(points) < n:
             return
-        packed = packed[:-1] * _STEP + wide[n - 1 :]
+        packed = packed[:-1] * _STEP + points[n - 1 :]
         if n in ORDERS:
             ends = (offsets[1:, None] - np.arange(1, n)).ravel()
             yield ((packed + np.uint32(n)) * _SPREAD) >> np.uint32(32 - BITS), ends[(ends >= 0) & (ends < len(packed))]
 
 
-def features(texts: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every n-gram that a text holds and that lies in a used bucket, each pair once."""
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of every n-gram that a text holds, each pair once, in ascending order."""
     found = []
     for lo, part in kernel.slices(texts, SLICE):
-        raw, offsets = kernel.bytes_of(part)
-        raw = kernel.spaced(kernel.lowered(raw))
-        for buckets, out in ngrams(raw, offsets):
-            inside = used[buckets]
+        points, offsets = characters(part)
+        own = []
+        for buckets, out in ngrams(points, offsets):
+            inside = np.ones(len(buckets), bool)
             inside[out] = False
             at = np.flatnonzero(inside)
-            found.append((lo + np.searchsorted(offsets, at, side="right") - 1) << BITS | buckets[at].astype(np.int64))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            own.append((lo + np.searchsorted(offsets, at, side="right") - 1) << BITS | buckets[at].astype(np.int64))
+        if own:
+            found.append(np.unique(np.concatenate(own)))
+    pairs = np.concatenate(found) if found else np.zeros(0, np.int64)
     return pairs >> BITS, pairs & (BUCKETS - 1)
 
 
-def _frequencies(batches):
-    """bucket, pos, neg: documents of a task that hold it."""
-    pos, neg = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    every = np.ones(BUCKETS, bool)
+def _rows(batches):
+    """Each document's class and its buckets, as little-endian unsigned 32-bit integers."""
     for batch in batches:
-        toxic = np.asarray(batch.column("toxic"))
-        for lo, part in kernel.slices(batch.column("text")):
-            doc, bucket = features(part, every)
-            yes = toxic[lo + doc] > 0
-            pos += np.bincount(bucket[yes], minlength=BUCKETS).astype(np.int32)
-            neg += np.bincount(bucket[~yes], minlength=BUCKETS).astype(np.int32)
-    at = np.flatnonzero(pos + neg)
-    for lo in range(0, len(at), 100_000):
-        part = at[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(pos[part].astype(np.int64)), pa.array(neg[part].astype(np.int64))], ["bucket", "pos", "neg"])
-
-
-def fit_logistic(columns: np.ndarray, edges: np.ndarray, scale: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
+        toxic = batch.column("toxic")
+        for lo, part in kernel.slices(batch.column("text"), SLICE):
+            doc, bucket = features(part)
+            edges = np.searchsorted(doc, np.arange(len(part) + 1))
+            rows = [bucket[i:j].astype("<u4").tobytes() for i, j in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([toxic.slice(lo, len(part)), pa.array(rows, pa.binary())], ["toxic", "columns"])
+    kernel.release()
+
+
+def fit_logistic(columns: np.ndarray, edges: np.ndarray, scale: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, ridge: float = RIDGE, steps: int = 6) -> np.ndarray:
     """Weights and, last, the intercept, by Newton steps whose equations conjugate gradients solve.
 
     Row i holds columns[edges[i] : edges[i + 1]], each valued by its column's scale. Rows are worked on
@@ -100,9 +106,9 @@ def fit_logistic(columns: np.ndarray, edges: np.ndarray, scale: np.ndarray, y: n
         lo = hi
 
     def forward(v):
-        scaled, out = scale * v[:-1], np.full(n, v[-1])
+        scaled, out = (scale * v[:-1]).astype(np.float32), np.full(n, v[-1])
         for lo, hi in parts:
-            sums = np.append(0.0, np.cumsum(scaled[columns[edges[lo] : edges[hi]]]))
+            sums = np.append(0.0, np.cumsum(scaled[columns[edges[lo] : edges[hi]]], dtype=np.float64))
             out[lo:hi] += np.diff(sums[edges[lo : hi + 1] - edges[lo]])
         return out
 
@@ -119,8 +125,8 @@ def fit_logistic(columns: np.ndarray, edges: np.ndarray, scale: np.ndarray, y: n
         curve = sample_weight * np.maximum(p * (1 - p), 1e-6)
         x, r = np.zeros_like(w), -gradient
         d, rr = r.copy(), float(r @ r)
-        stop = 1e-4 * rr
-        for _ in range(25):
+        stop = 1e-2 * rr
+        for _ in range(10):
             if rr <= stop or rr < 1e-18:
                 break
             h = backward(curve * forward(d)) + pull * d
@@ -131,7 +137,7 @@ def fit_logistic(columns: np.ndarray, edges: np.ndarray, scale: np.ndarray, y: n
             d, rr = r + (new / rr) * d, new
         size = np.abs(x).max()
         w += x * min(1.0, 5.0 / max(size, 1e-12))
-        if size < 1e-3:
+        if size < 1e-2:
             break
     return w
 
@@ -140,14 +146,35 @@ class Model:
     """table: the weight of each bucket; bias: the score of a text without n-grams, as a logit."""
 
     def __init__(self, table: np.ndarray, bias: float):
-        self.table, self.used, self.bias = table, table != 0, bias
+        self.table, self.bias = table, bias
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        doc, bucket = features(texts, self.used)
+        doc, bucket = features(texts)
         z = self.bias + np.bincount(doc, weights=self.table[bucket], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def fitted(columns: np.ndarray, edges: np.ndarray, y: np.ndarray, shares: dict[int, int]) -> Model:
+    """The model of documents with these buckets (row by row) and classes; shares: labelled documents of each class."""
+    seen = np.zeros(BUCKETS, bool)
+    for lo in range(0, len(columns), FIT_SLICE):
+        seen[columns[lo : lo + FIT_SLICE]] = True
+    used, index = np.flatnonzero(seen), np.zeros(BUCKETS, np.uint32)
+    index[used] = np.arange(len(used), dtype=np.uint32)
+    columns = index[columns]
+    n_pos = int(y.sum())
+    n_neg = len(y) - n_pos
+    each = np.zeros((2, len(used)))
+    for i, label in enumerate(y):
+        each[int(label), columns[edges[i] : edges[i + 1]]] += 1
+    ratio = np.log((each[1] + SMOOTHING) / (n_pos + 2 * SMOOTHING)) - np.log((each[0] + SMOOTHING) / (n_neg + 2 * SMOOTHING))
+    balance = np.where(y > 0, len(y) / (2 * max(1, n_pos)), len(y) / (2 * max(1, n_neg)))
+    w = fit_logistic(columns, edges, ratio, y, balance)
+    table = np.zeros(BUCKETS, np.float32)
+    table[used] = w[:-1] * ratio
+    return Model(table, float(w[-1] + np.log(shares[1] / shares[0])))
+
+
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int = PER_CLASS) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic. learn_from: a condition on doc_id."""
     spark = docs.sparkSession
@@ -155,53 +182,28 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
     known = labels.filter(learn_from & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = common.stored(known, "toxicity-labels")
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    p = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1)
+    one_class = Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
     if len(shares) < 2:
-        p = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1)
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
+        return one_class
     chosen = common.least_hashed(known, "toxic", "doc_id", per_class)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # per_class rows a class
-    sample = common.stored(sample, "toxicity-sample")
-    counts = sample.mapInArrow(_frequencies, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
-    a, b, c, d = F.col("pos"), F.col("neg"), n_pos - F.col("pos"), n_neg - F.col("neg")
-    chi = (n_pos + n_neg) * F.pow((a * d - b * c).cast("double"), 2) / F.greatest(F.lit(1.0), (a + b) * (c + d) * float(max(n_pos, 1)) * float(max(n_neg, 1)))
-    top = counts.filter(a + b >= 3).withColumn("chi", chi).orderBy(F.desc("chi"), "bucket").limit(FEATURES).toPandas()
-    buckets = top["bucket"].to_numpy()
-    if not len(buckets):
-        p = (shares[1] + 0.5) / (shares[0] + shares[1] + 1)
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    ratio = np.log((top["pos"].to_numpy() + SMOOTHING) / (n_pos + 2 * SMOOTHING)) - np.log((top["neg"].to_numpy() + SMOOTHING) / (n_neg + 2 * SMOOTHING))
-    index = np.full(BUCKETS, -1, np.int32)
-    index[buckets] = np.arange(len(buckets), dtype=np.int32)
-    shared = spark.sparkContext.broadcast(index)
-
-    def rows_of(batches):
-        table = shared.value >= 0
-        for batch in batches:
-            toxic = np.asarray(batch.column("toxic"))
-            for lo, part in kernel.slices(batch.column("text")):
-                doc, bucket = features(part, table)
-                column = shared.value[bucket]
-                edges = np.searchsorted(doc, np.arange(len(part) + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[lo : lo + len(part)]), pa.array([column[i:j].astype("<u2").tobytes() for i, j in zip(edges[:-1], edges[1:])], pa.binary())], ["toxic", "columns"])
-
-    # per_class rows a class, which come one partition after another: the driver's JVM never holds them all
-    design = common.stored(sample.mapInArrow(rows_of, "toxic int, columns binary"), "toxicity-design")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about per_class rows a class
+    sample = common.stored(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the sample alone
+    some = sample.select("doc_id", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(upto).alias("_upto")).filter(F.col("_upto") <= CLASS_CHARS).select("doc_id")
+    design = common.stored(sample.join(F.broadcast(some), "doc_id").select("toxic", "text").mapInArrow(_rows, "toxic int, columns binary"), "toxicity-design")
+    # one partition after another: the driver's JVM never holds them all
     held, lengths, toxic = bytearray(), [0], []
     for r in design.toLocalIterator():
         held += r["columns"]
-        lengths.append(len(r["columns"]) // 2)
+        lengths.append(len(r["columns"]) // 4)
         toxic.append(r["toxic"])
-    y = np.array(toxic, float)
-    balance = np.where(y > 0, len(y) / (2 * max(1, n_pos)), len(y) / (2 * max(1, n_neg)))
-    w = fit_logistic(np.frombuffer(held, "<u2"), np.cumsum(lengths), ratio, y, balance)
-    table = np.zeros(BUCKETS, np.float32)
-    table[buckets] = (w[:-1] * ratio).astype(np.float32)
-    shared.unpersist()
-    del held, index
+    if len(set(toxic)) < 2:
+        return one_class
+    model = fitted(np.frombuffer(held, "<u4"), np.cumsum(lengths), np.array(toxic, float), shares)
+    del held
     kernel.release()
-    return Model(table, float(w[-1] + np.log(shares[1] / shares[0])))
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: bool = True) -> DataFrame:
@@ -216,9 +218,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: bool = True)
         tokens.forget()
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for lo, part in kernel.slices(batch.column(text)):
+            for lo, part in kernel.slices(batch.column(text), SLICE):
                 out[lo : lo + len(part)] = shared.value.scores(part)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+        kernel.release()
 
     chosen = kept.withColumn(text, F.col(text).cast("string"))
     return chosen.mapInArrow(run, common.schema_with(chosen.select(*names), "score double, predicted int"))
