@@ -280,17 +280,17 @@ def plan_bins(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS)
 # ------------------------------------------------------------------------------ pieces of documents
 
 
-def _piece_batches(path: str, capacity: int, end_id: int, ids: bool):
+def _piece_batches(path: str, capacity: int, end_id: int, ids: bool, memo: int = MEMO_ENTRIES):
     end = np.asarray([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
 
     def run(batches):
         kernel.release()
-        enc = encoder(path, False, MEMO_ENTRIES)
+        enc = encoder(path, False, memo)
         for batch in batches:
             keys = batch.column(0)
             rows, piece, start, length, crc, raws = [], [], [], [], [], []
-            for lo, part in kernel.slices(batch.column(1), SLICE):
+            for lo, part in kernel.slices(batch.column(1), SLICE if memo == MEMO_ENTRIES else SLICE // 4):
                 for i, raw in enumerate(enc.encode_array(part), lo):
                     raw += end
                     for k, a in enumerate(range(0, len(raw), step)):
@@ -308,15 +308,19 @@ def _piece_batches(path: str, capacity: int, end_id: int, ids: bool):
                 columns.append(pa.array(raws, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        kernel.release()
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, ids: bool = False) -> DataFrame:
-    """Every document's ids with the end id, cut after each `capacity` ids. ids: keep them, as little-endian bytes."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, ids: bool = False, memo: int = MEMO_ENTRIES) -> DataFrame:
+    """Every document's ids with the end id, cut after each `capacity` ids. ids: keep them, as little-endian bytes.
+
+    memo: pieces of text that a worker's tokenizer remembers; fewer take less memory and more time.
+    """
     common.on_workers(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_piece_batches(tokenizer, capacity, end_id, ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_piece_batches(tokenizer, capacity, end_id, ids, memo), schema)
 
 
 # ------------------------------------------------------------------------------- places of pieces
@@ -383,9 +387,9 @@ def place(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, ids: bool = False, memo: int = MEMO_ENTRIES) -> DataFrame:
     """Pieces of all documents with the sequence and the offset that they get."""
-    cut = pieces(docs, tokenizer, capacity, end_id, ids).withColumn("_row", F.monotonically_increasing_id())
+    cut = pieces(docs, tokenizer, capacity, end_id, ids, memo).withColumn("_row", F.monotonically_increasing_id())
     return place(common.stored(cut, "packing-pieces"), capacity)
 
 

@@ -1,12 +1,13 @@
 """Token ids of whole texts, by the tokenizers library, with a memo of the pieces it has seen.
 
-Byte-pair tokenizers that split on white space give a text the same ids as its pieces between
+Byte-pair tokenizers of the two kinds that `known` recognises split on white space and give a text the same ids as its pieces between
 white space, one after another. So each distinct piece is encoded once per worker and remembered:
 natural text repeats its words, and encoding is by far the dearest step. A piece that is a Latin
 word with signs behind it is put together from the ids of both, and new words go to the library
 many at a time. Texts in
 which white space could join pieces (several in a row, or of a kind other than blanks and line
-ends) go to the library as they are.
+ends) go to the library as they are, and so do all texts with any other tokenizer. Special tokens that
+a text spells out are what the library makes of them.
 """
 
 from __future__ import annotations
@@ -41,28 +42,56 @@ _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u024f]
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha() and chr(c) != "'")
 
 
+# What the two kinds of tokenizer files say of themselves.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+WORD_LEVEL = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "pre_tokenizer": ["Split", "ByteLevel"],
+}
+
+
+def known(file: dict, spaced: bool) -> bool:
+    """Whether texts may be cut at white space: the file's patterns are those of its kind, and no added token fits a word with signs behind it."""
+    for token in file.get("added_tokens") or []:
+        if token["lstrip"] or token["rstrip"] or token["single_word"] or not re.search(r"[^A-Za-z\s][^\s]*[A-Za-z]", token["content"]):
+            return False
+    if file["model"]["type"] != "BPE" or file.get("post_processor"):
+        return False
+    if spaced:
+        return file["normalizer"] is None and file["pre_tokenizer"] == BYTE_LEVEL
+    normalizer, before = file["normalizer"] or {}, file["pre_tokenizer"] or {}
+    steps = before.get("pretokenizers") or [{}]
+    return (
+        [x["type"] for x in normalizer.get("normalizers", [])] == WORD_LEVEL["normalizer"]
+        and [x.get("type") for x in steps] == WORD_LEVEL["pre_tokenizer"]
+        and steps[0].get("pattern") == {"Regex": WORD_LEVEL["pattern"]}
+    )
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers.
 
     spaced: white space belongs to tokens (byte-level vocabularies); otherwise it is dropped.
     """
 
-    def __init__(self, path: str, spaced: bool, encode_special: bool = True, entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, spaced: bool, entries: int = MEMO_ENTRIES):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = encode_special
         self.spaced, self.entries = spaced, entries
+        with open(path, encoding="utf-8") as file:
+            whole = json.load(file)
+        self.known = known(whole, spaced)
         self.mark = self.whole("\n") if spaced else b""
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.long: list[str] = []  # words too long to keep
         # the same merges for words that need no further splitting; no cache, for each is encoded once
-        with open(path, encoding="utf-8") as file:
-            own = json.load(file)["model"]
+        own = whole["model"] if self.known else {"vocab": {}, "merges": []}
         kept = {k: own[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk") if own.get(k) is not None}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in own["merges"]]
         self.model = Tokenizer(BPE(own["vocab"], merges, cache_capacity=0, **kept))
@@ -126,7 +155,8 @@ class Encoder:
         """Ids of each text (null: empty)."""
         out: list[bytes] = []
         for _, part in kernel.slices(texts, SLICE):
-            out += self._encode(pc.fill_null(part, "").cast(pa.large_string()))
+            part = pc.fill_null(part, "").cast(pa.large_string())
+            out += self._encode(part) if self.known else [self.whole(t) for t in part.to_pylist()]
         return out
 
     def _encode(self, texts: pa.Array) -> list[bytes]:
@@ -180,7 +210,7 @@ class Encoder:
 @lru_cache(maxsize=4)
 def encoder(path: str, spaced: bool, entries: int = MEMO_ENTRIES) -> Encoder:
     """One for each worker process."""
-    return Encoder(path, spaced, entries=entries)
+    return Encoder(path, spaced, entries)
 
 
 def forget() -> None:
