@@ -18,6 +18,8 @@ from tagloom.llm import common, jaccard, language, mixing, packing, toxicity
 
 #: Least share of a document's largest language.
 LEAST_SHARE = 0.5
+#: Pieces that the tokenizer of the last stage remembers: workers have other stages' memory to bear, too.
+MEMO_ENTRIES = 40_000
 
 
 def _aside(docs: DataFrame, *more: str) -> DataFrame:
@@ -57,7 +59,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO_ENTRIES)
 
 
 STAGES = [
