@@ -207,3 +207,20 @@ def test_top_k_of_repeated_queries(spark):
             if q % 20 == 0:
                 best.setdefault(q, []).extend((-int(v @ w), i) for i, w in good if i != q)
         assert got == sorted((q, n + 1, i, -s) for q, found in best.items() for n, (s, i) in enumerate(sorted(found)[:5]))
+
+
+@pytest.mark.parametrize("sent", [0, 64 << 20])
+def test_top_k_of_clusters_replicates_few_queries(spark, monkeypatch, sent):
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", sent)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 20
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=8)]) for i in range(2400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    _, asked, parts = knn.replicated(df, F.col("id") % 20 == 0, 5, "vec_id", "embedding", 64.0)
+    assert asked.count() < 0.5 * 120 * parts.count()  # every query in every cell would be 1
+    got = sorted(map(tuple, knn.top_k(df, F.col("id") % 20 == 0, 5).collect()))
+    good = np.floor(64 * np.array([v for _, v in rows])).astype(int)
+    score = good[::20] @ good.T
+    score[np.arange(120), np.arange(0, 2400, 20)] = -(1 << 60)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :5]
+    assert got == [(20 * q, n + 1, int(i), int(score[q, i])) for q in range(120) for n, i in enumerate(order[q])]
