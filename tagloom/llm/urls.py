@@ -9,7 +9,7 @@ listed, for every key of the corpus, without a join and without an error.
 Rules are pairs of a host and a path prefix. The keys of a url are its host's suffixes joined with
 its path's prefixes, of those lengths alone that rules have; the longest key that is listed gives
 the rule. Urls that are null or hold no `://` have an empty host and path and fit no rule; urls
-without a rule are allowed. Repeated rows stay; an empty table gives no rows.
+without a rule are allowed. Columns of the caller that are named like results are replaced. Repeated rows stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,8 +85,8 @@ def _bits(keys: DataFrame, level: int, bits: int, hashes: int) -> bytes:
 
     words = keys.select("h1", "h2").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     table = np.zeros(-(-bits // 64), np.int64)
-    for r in words.toLocalIterator():  # at most MOST_BITS / 64 rows
-        table[r["word"]] = r["bits"]
+    found = words.toArrow()  # at most MOST_BITS / 64 rows
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return table.tobytes()
 
 
@@ -140,10 +140,15 @@ def member(spark: SparkSession, cascade: Cascade, key: Column) -> Column:
 
 
 def listed(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """df with a column `listed`: whether its key is among `keys` (a column `key`). By a cascade, or a join if the list is too long for one."""
-    keys = keys.filter("key IS NOT NULL").distinct()
+    """df with a column `listed` (in place of one of that name): whether its key is among `keys` (a column `key`).
+
+    By a cascade; a list whose first level would be longer than MOST_BITS is joined.
+    """
+    keys = keys.select("key").filter("key IS NOT NULL").distinct()
+    df = df.select(*[c for c in df.columns if c != "listed" or c == key])
     if keys.count() * FIRST_BITS > MOST_BITS:
-        return df.join(keys.withColumn("_listed", F.lit(True)), df[key] == keys["key"], "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed", keys["key"])
+        found = keys.select(F.col("key").alias("_listed_key"))
+        return df.join(found, df[key] == found["_listed_key"], "left").withColumn("listed", F.col("_listed_key").isNotNull()).drop("_listed_key")
     universe = df.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct()
     return df.withColumn("listed", member(df.sparkSession, build(keys, universe), F.col(key)))
 
@@ -172,27 +177,38 @@ def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> lis
 
 
 def judge(pages: DataFrame, block: list[tuple[str, str]], allow: list[tuple[str, str]]) -> DataFrame:
-    """pages with host, path, rule and verdict. Rules: (host, path prefix)."""
+    """pages with host, path, rule and verdict, which take the place of columns of these names. Rules: (host, path prefix)."""
     spark = pages.sparkSession
     common.on_workers(spark)
     shapes = sorted({(len(h), len(p)) for h, p in [*block, *allow]}, key=lambda s: (-sum(s), -s[0]))
-    parsed = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    keys = candidates(F.col("host"), F.col("path"), shapes)
-    universe = parsed.select(F.explode(F.array(*[k for _, k in keys])).alias("key")).filter("key IS NOT NULL").distinct()
+    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    parsed = pages.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    keys = [k for _, k in candidates(F.col("host"), F.col("path"), shapes)]
+    universe = parsed.select(F.explode(F.array(*keys)).alias("key")).filter("key IS NOT NULL").distinct()
     universe = common.stored(universe, "url-keys")
     lists = {v: spark.createDataFrame([(h + p,) for h, p in rules] or [], "key string").distinct() for v, rules in (("block", block), ("allow", allow))}
-    cascades = {v: build(keys_, universe) for v, keys_ in lists.items()}
-    # keys repeat from url to url, and few are tested per url: one test for each shape and list, longest first
+    shared = spark.sparkContext.broadcast([build(lists[v], universe) for v in ("block", "allow")])
+
+    @F.pandas_udf("int")
+    def first_rule(*columns: pd.Series) -> pd.Series:
+        """The first shape whose key is listed, times two, and one more if it is allowed; -1 if none is."""
+        found = np.full(len(columns[0]), -1, np.int32)
+        for i in range(len(columns) // 3):
+            there, h1, h2 = (c.to_numpy() for c in columns[3 * i : 3 * i + 3])
+            for j, cascade in enumerate(shared.value):
+                at = np.flatnonzero((found < 0) & there.astype(bool))
+                if len(at):
+                    at = at[cascade.contains(h1[at], h2[at])]
+                    found[at] = 2 * i + j
+        return pd.Series(found)
+
+    asked = [x for k in keys for x in (k.isNotNull(), *_hashes(k))]
+    judged = parsed.withColumn("_first", first_rule(*asked) if keys else F.lit(-1))
     rule, verdict = F.lit(None).cast("string"), F.lit("allow")
-    tested = parsed
-    for i, (_, key) in enumerate(keys):
-        for v in ("block", "allow"):
-            tested = tested.withColumn(f"_{v}{i}", member(spark, cascades[v], key))
-    for i, (_, key) in reversed(list(enumerate(keys))):
-        for v in ("block", "allow"):
-            rule = F.when(F.col(f"_{v}{i}"), key).otherwise(rule)
-            verdict = F.when(F.col(f"_{v}{i}"), F.lit(v)).otherwise(verdict)
-    return tested.select(*pages.columns, "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    for i, key in enumerate(keys):
+        rule = F.when(F.floor(F.col("_first") / 2) == i, key).otherwise(rule)
+    verdict = F.when((F.col("_first") >= 0) & (F.col("_first") % 2 == 0), F.lit("block")).otherwise(verdict)
+    return judged.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)], "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
 #: The rules of the query: host and path prefix.
