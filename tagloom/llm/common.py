@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session has none (tests)."""
+    """The folder that all executors share: the session's checkpoint folder. Only a local session, which has one machine, gets one here."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
-        found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = found or tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
     return found
