@@ -72,7 +72,7 @@ def feed_ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
     stream = raw.select(F.col("conv_id").alias("feed_id"), F.col("turn").alias("guid"), F.col("text").alias("title"), at.alias("published_at"))
     target, checkpoint = files.shared_path(spark, "feed-entries"), files.shared_path(spark, "feed-checkpoint")
     feeds.ingest(stream, target, checkpoint, NOW).awaitTermination()
-    return feeds.high_water(spark.read.schema(stream.schema).parquet(f"{target}/epoch=*"))
+    return feeds.high_water(feeds.ingested(spark, stream.schema, target))
 
 
 def settings_merge(spark: SparkSession, folder: str) -> DataFrame:

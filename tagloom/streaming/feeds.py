@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -31,14 +34,27 @@ def entries_since(entries: DataFrame, marks: DataFrame) -> DataFrame:
     return entries.join(marks, "feed_id", "left").filter(F.col("last_post").isNull() | (F.col("published_at") > F.col("last_post"))).drop("last_post")
 
 
+def ingested(spark: SparkSession, schema: StructType | str, target: str) -> DataFrame:
+    """The table that `ingest` writes: the entries' columns, and run and epoch of the batch that added them."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.read.schema(StructType([*schema.fields, *StructType.fromDDL("run string, epoch bigint").fields])).parquet(target)
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str, now: str) -> StreamingQuery:
-    """Appends a stream's new entries to a table in files; what it holds already is left out, however old."""
+    """Appends a stream's new entries to a table in files; what it holds already is left out, however old.
+
+    A batch's folder bears the checkpoint's name and the batch's number: run again after a failure, a
+    batch finds what all others have added and writes its own folder anew, and another checkpoint adds to the table.
+    """
     spark = stream.sparkSession
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def add(batch: DataFrame, epoch: int) -> None:
-        # a batch that is run again after a failure overwrites its own folder
-        done = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(target) if epoch else None
-        timed(fresh(batch, done), F.lit(now).cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        known = None
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # of all entries the keys alone are read
+            known = ingested(spark, batch.schema, target).filter((F.col("run") != run) | (F.col("epoch") != epoch))
+        timed(fresh(batch, known), F.lit(now).cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{target}/run={run}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -31,7 +31,7 @@ def test_stream_equals_batch(spark, tmp_path):
         stream = spark.readStream.schema(SCHEMA).parquet(str(source))
         feeds.ingest(stream, target, str(tmp_path / "checkpoint"), NOW).awaitTermination()
         assert n < 2
-    got = spark.read.schema(SCHEMA).parquet(f"{target}/epoch=*")
+    got = feeds.ingested(spark, SCHEMA, target).drop("run", "epoch")
     first = feeds.fresh(spark.createDataFrame(FIRST, SCHEMA), None)
     now = F.lit(NOW).cast("timestamp_ntz")
     want = feeds.timed(first, now).unionByName(feeds.timed(feeds.fresh(spark.createDataFrame(SECOND, SCHEMA), first), now))
@@ -41,6 +41,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert marks == {1: 4, 2: 2}
 
 
+def keys_of(spark, target):
+    return sorted((r["feed_id"], r["guid"]) for r in feeds.ingested(spark, SCHEMA, target).collect())
+
+
+def test_a_batch_run_again_loses_nothing(spark, tmp_path):
+    source, target, checkpoint = tmp_path / "in", str(tmp_path / "out"), tmp_path / "checkpoint"
+    for rows in (FIRST, SECOND):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        feeds.ingest(spark.readStream.schema(SCHEMA).parquet(str(source)), target, str(checkpoint), NOW).awaitTermination()
+    before = keys_of(spark, target)
+    for commit in ("1", ".1.crc"):  # as if the driver had died before the last batch was committed
+        (checkpoint / "commits" / commit).unlink(missing_ok=True)
+    feeds.ingest(spark.readStream.schema(SCHEMA).parquet(str(source)), target, str(checkpoint), NOW).awaitTermination()
+    assert keys_of(spark, target) == before and len(before) == 6
+
+
+def test_a_new_checkpoint_adds_to_an_old_table(spark, tmp_path):
+    target = str(tmp_path / "out")
+    for n, rows in enumerate((FIRST, SECOND)):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        feeds.ingest(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / f"in{n}")), target, str(tmp_path / f"checkpoint{n}"), NOW).awaitTermination()
+    assert keys_of(spark, target) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2)]
+
+
 def test_entries_since(spark):
     rows = spark.createDataFrame(entries((1, 1, 0), (1, 2, 2), (2, 1, 0)), SCHEMA)
     marks = spark.createDataFrame([(1, AT + dt.timedelta(days=1))], "feed_id long, last_post timestamp_ntz")
