@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from ..operators import cohorts
 from ..sources import roles
 
-WEEKS = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"]
+#: Intervals of a report, besides all time before and all time.
+COLUMNS = 3
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return cohorts.weekly(roles.table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value"))
+    """Events with what invitations are about: one with an even key shares something, an answer is to the event that many and one before it."""
+    e = roles.table(spark, folder, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return cohorts.with_cold_signups(e.select("event_id", "ts", "user_id", "kind", (F.col("k") % 2 == 0).alias("shared"), (F.col("event_id") - F.col("k") - 1).alias("of_event")))
+
+
+def _weekly(spark: SparkSession, folder: str) -> DataFrame:
+    found = cohorts.metrics(_events(spark, folder).withColumn("bucket", cohorts.week_number(F.col("ts"))), _users(spark, folder))
+    return found.withColumn("week", cohorts.week_start(F.col("bucket")))
 
 
 def _users(spark: SparkSession, folder: str) -> int:
@@ -20,31 +28,31 @@ def _users(spark: SparkSession, folder: str) -> int:
 
 
 def cohort_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """COH-1..9: all metrics of every week."""
-    return cohorts.metrics(_events(spark, folder), _users(spark, folder))
+    """COH-1..11: all metrics of every week."""
+    return _weekly(spark, folder).select("week", *cohorts.METRICS)
 
 
 def cohort_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """COH-13: metrics by week."""
-    found = cohorts.matrix(_events(spark, folder), _users(spark, folder), WEEKS)
-    return found.select("metric", *[F.round(F.col(w), 9).alias(f"w{i}") for i, w in enumerate(WEEKS)])
+    """COH-12, COH-13: metrics by column: all time before, the last weeks of the data, all time."""
+    found = cohorts.matrix(cohorts.in_columns(_events(spark, folder), cohorts.week_number(F.col("ts")), COLUMNS), _users(spark, folder), COLUMNS)
+    return found.select("metric", *[F.round(F.col(c), 9).alias(c) for c in found.columns[1:]])
 
 
 def cohort_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """COH-10, COH-11: of the invitations of a week, how many users took one up in that week."""
-    e = _events(spark, folder)
-    issued = e.filter(F.col("event_type") == cohorts.ISSUED).select("week", "user_id").distinct()
-    taken = e.filter(F.col("event_type") == cohorts.CONVERTED).select("week", "user_id").distinct().withColumn("taken", F.lit(True))
-    return issued.join(taken, ["week", "user_id"], "left").groupBy("week").agg(F.count("*").alias("invited"), F.count_if("taken").alias("responded"))
+    """COH-10, COH-11: shares issued in a week, their answers by the shares' event ids, and the rates."""
+    return _weekly(spark, folder).select("week", *cohorts.SHARES)
 
 
 def calendar(spark: SparkSession, folder: str) -> DataFrame:
-    """COH-12, DT-1: monthly intervals and what they hold, with one for all time."""
-    months = cohorts.intervals(spark, "2023-12-01", "2024-02-01")
-    e = roles.table(spark, folder, "events").select("event_id", F.date_trunc("month", "ts").cast("date").alias("start"))
-    counts = e.groupBy("start").agg(F.count("*").alias("events"))
-    whole = e.agg(F.count("*").alias("events")).withColumn("label", F.lit("All Time"))
-    return months.join(counts, "start", "left").select("label", F.coalesce("events", F.lit(0)).alias("events")).unionByName(whole.select("label", "events"))
+    """COH-12, DT-1: the last months of the data and what they hold, with what comes before and all time."""
+    e = roles.table(spark, folder, "events").select("event_id", "ts")
+    month = cohorts.month_number(F.col("ts"))
+    last = e.agg(F.max(month).alias("last"))
+    counts = cohorts.in_columns(e, month, COLUMNS).groupBy("bucket").agg(F.count("*").alias("events"))
+    places = last.select("last", F.explode(F.array(*[F.lit(i) for i in (*range(-1, COLUMNS), cohorts.ALL_TIME)])).alias("bucket"))
+    own = cohorts.month_label(F.col("last") - COLUMNS + 1 + F.greatest("bucket", F.lit(0)))
+    label = F.when(F.col("bucket") == cohorts.ALL_TIME, "All Time").when(F.col("bucket") < 0, F.concat(F.lit("< "), own)).otherwise(own)
+    return places.join(counts, "bucket", "left").select(label.alias("label"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
 def sliding_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,24 +89,47 @@ def backoff(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (cohort_metrics, cohort_matrix, cohort_shares, calendar, sliding_windows, sessions, error_tally, backoff)}
 
-_WEEKLY = """e AS (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS week FROM events),
-active AS (SELECT DISTINCT week, user_id FROM e WHERE event_type = 'view'),
-gone AS (SELECT a.week + 7 AS week, count(*) AS dropouts FROM active a WHERE NOT EXISTS (SELECT 1 FROM active b WHERE b.week = a.week + 7 AND b.user_id = a.user_id) GROUP BY 1),
-per AS (SELECT week, count(DISTINCT user_id) FILTER (event_type = 'view') AS active_users, count(*) FILTER (event_type = 'view') AS logins, count(*) FILTER (event_type = 'signup') AS accepted_invitations,
-  count(*) FILTER (event_type = 'click') AS issued, count(*) FILTER (event_type = 'purchase') AS converted, count(*) FILTER (event_type = 'error') AS diverted FROM e GROUP BY week),
-d AS (SELECT p.week, CASE WHEN EXISTS (SELECT 1 FROM active a WHERE a.week + 7 = p.week) AND EXISTS (SELECT 1 FROM active a WHERE a.week = p.week) THEN coalesce(g.dropouts, 0) END AS dropouts
-  FROM per p LEFT JOIN gone g ON p.week = g.week),
-m AS (SELECT week, active_users, logins, logins / nullif(active_users, 0) AS sessions_per_active_user, dropouts, accepted_invitations, accepted_invitations - coalesce(dropouts, 0) AS net_new_users,
-  accepted_invitations / (SELECT count(*) FROM customer) AS viral_coefficient, issued, converted, diverted, converted / nullif(issued, 0) AS conversion_rate FROM per JOIN d USING (week))"""
-_LONG = " UNION ALL ".join(f"SELECT week, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM m" for m in cohorts.METRICS)
+
+def _rate(a: str, b: str) -> str:
+    return f"{a} / nullif({b}, 0)"
+
+
+_EVENTS = """ev AS (SELECT event_id, ts, user_id, event_type AS kind, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
+cold AS (SELECT user_id, min(ts) AS ts FROM ev GROUP BY user_id HAVING NOT bool_or(kind = 'signup')),
+al AS (SELECT event_id, ts, user_id, kind, k % 2 = 0 AS shared, event_id - k - 1 AS of_event FROM ev UNION ALL SELECT NULL, ts, user_id, 'cold', NULL, NULL FROM cold),
+numbered AS (SELECT *, CAST(floor(date_diff('day', DATE '1970-01-04', CAST(ts AS DATE)) / 7) AS INTEGER) AS w FROM al)"""
+
+
+def _metrics_sql(buckets: str, first: str) -> str:
+    """Common table expressions up to m: all metrics by bucket. buckets: a query of the numbered events with their bucket."""
+    kinds = {"accepted_invitations": "signup", "cold_signups": "cold", "invitations_issued": "click", "invitations_clicked": "purchase", "invitations_diverted": "error"}
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS {n}" for n, k in kinds.items())
+    answers = ", ".join(f"count(*) FILTER (a.kind = '{k}') AS {n}" for n, k in (("sc", "purchase"), ("sv", "signup"), ("sd", "error")))
+    return f"""{_EVENTS}, e AS ({buckets}),
+active AS (SELECT DISTINCT bucket, user_id FROM e WHERE kind = 'view' AND bucket < {cohorts.ALL_TIME}),
+gone AS (SELECT a.bucket + 1 AS bucket, count(*) AS n FROM active a WHERE NOT EXISTS (SELECT 1 FROM active b WHERE b.bucket = a.bucket + 1 AND b.user_id = a.user_id) GROUP BY 1),
+answered AS (SELECT s.bucket, {answers} FROM e s JOIN e a ON a.of_event = s.event_id AND a.bucket = s.bucket WHERE s.kind = 'click' AND s.shared GROUP BY s.bucket),
+per AS (SELECT bucket, count(DISTINCT user_id) FILTER (kind = 'view') AS active_users, count(*) FILTER (kind = 'view') AS logins, {counts}, count(*) FILTER (kind = 'click' AND shared) AS shares_issued FROM e GROUP BY bucket),
+plain AS (SELECT per.*, CASE WHEN bucket > {first} AND bucket < {cohorts.ALL_TIME} THEN coalesce(gone.n, 0) END AS dropouts, accepted_invitations + cold_signups AS new_users, accepted_invitations AS invitations_converted,
+  coalesce(sc, 0) AS shares_clicked, coalesce(sv, 0) AS shares_converted, coalesce(sd, 0) AS shares_diverted FROM per LEFT JOIN gone USING (bucket) LEFT JOIN answered USING (bucket)),
+m AS (SELECT *, {_rate("logins", "active_users")} AS sessions_per_active_user, new_users - dropouts AS net_new_users, accepted_invitations / (SELECT count(*) FROM customer) AS viral_coefficient,
+  {_rate("invitations_clicked", "invitations_issued")} AS invitation_click_rate, {_rate("invitations_converted", "invitations_issued")} AS invitation_conversion_rate,
+  {_rate("invitations_converted", "invitations_clicked")} AS invitation_response_conversion_rate, {_rate("shares_clicked", "shares_issued")} AS share_click_rate,
+  {_rate("shares_converted", "shares_issued")} AS share_conversion_rate, {_rate("shares_converted", "shares_clicked")} AS share_response_conversion_rate FROM plain)"""
+
+
+_WEEKLY_SQL = f"WITH {_metrics_sql('SELECT *, w AS bucket FROM numbered', '(SELECT min(bucket) FROM per)')}, d AS (SELECT *, DATE '1970-01-04' + 7 * bucket AS week FROM m)"
+_PLACES = f"SELECT *, unnest([greatest(-1, w - (SELECT max(w) FROM numbered) + {COLUMNS - 1}), {cohorts.ALL_TIME}]) AS bucket FROM numbered"
+_LONG = " UNION ALL ".join(f"SELECT bucket, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM m" for m in cohorts.METRICS)
+_NAMES = {-1: "before", **{i: f"i{i}" for i in range(COLUMNS)}, cohorts.ALL_TIME: "all_time"}
 ORACLE_SQL = {
-    "cohort_metrics": f"WITH {_WEEKLY} SELECT week, {', '.join(cohorts.METRICS)} FROM m",
-    "cohort_matrix": f"WITH {_WEEKLY}, l AS ({_LONG}) SELECT metric, " + ", ".join(f"round(max(value) FILTER (week = DATE '{w}'), 9) AS w{i}" for i, w in enumerate(WEEKS)) + " FROM l GROUP BY metric",
-    "cohort_shares": """WITH e AS (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS week FROM events), i AS (SELECT DISTINCT week, user_id FROM e WHERE event_type = 'click'),
-t AS (SELECT DISTINCT week, user_id, true AS taken FROM e WHERE event_type = 'purchase')
-SELECT week, count(*) AS invited, count(*) FILTER (taken) AS responded FROM i LEFT JOIN t USING (week, user_id) GROUP BY week""",
-    "calendar": """SELECT strftime(m, '%Y-%m-%d') AS label, count(event_id) AS events FROM (VALUES (DATE '2023-12-01'), (DATE '2024-01-01'), (DATE '2024-02-01')) t(m)
-  LEFT JOIN events ON date_trunc('month', ts) = m GROUP BY m UNION ALL SELECT 'All Time', count(*) FROM events""",
+    "cohort_metrics": f"{_WEEKLY_SQL} SELECT week, {', '.join(cohorts.METRICS)} FROM d",
+    "cohort_matrix": f"WITH {_metrics_sql(_PLACES, '-1')}, l AS ({_LONG}) SELECT metric, " + ", ".join(f"round(max(value) FILTER (bucket = {b}), 9) AS {n}" for b, n in _NAMES.items()) + " FROM l GROUP BY metric",
+    "cohort_shares": f"{_WEEKLY_SQL} SELECT week, {', '.join(cohorts.SHARES)} FROM d",
+    "calendar": f"""WITH e AS (SELECT year(ts) * 12 + month(ts) - 1 AS m FROM events), z AS (SELECT max(m) AS last FROM e),
+n AS (SELECT last, unnest(range(last - {COLUMNS - 1}, last + 1)) AS m FROM z), l AS (SELECT n.m, last, CAST(n.m % 12 + 1 AS VARCHAR) || '/' || substr(CAST(n.m // 12 AS VARCHAR), 3, 2) AS label FROM n)
+SELECT label, (SELECT count(*) FROM e WHERE e.m = l.m) AS events FROM l
+UNION ALL SELECT '< ' || label, (SELECT count(*) FROM e WHERE e.m < l.m) FROM l WHERE l.m = last - {COLUMNS - 1} UNION ALL SELECT 'All Time', count(*) FROM events""",
     "sliding_windows": """SELECT s AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (
   SELECT event_type, value, unnest([time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOURS]) AS s FROM events) GROUP BY s, event_type""",
     "sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3 HOURS THEN 0 ELSE 1 END AS new FROM events),

@@ -125,12 +125,27 @@ def test_merges(spark):
     assert sorted((r["k"], r["v"]) for r in changed.collect()) == [(1, "c"), (2, "b"), (3, "e")]
 
 
-def test_dropouts(spark):
+def test_cohort_metrics(spark):
     day = lambda n: dt.datetime(2024, 1, n)
-    events = [(1, day(1), "view"), (2, day(2), "view"), (1, day(9), "view"), (3, day(9), "click"), (4, day(16), "view")]
-    df = cohorts.weekly(spark.createDataFrame(events, "user_id int, ts timestamp_ntz, event_type string"))
-    found = {r["week"].day: (r["active_users"], r["dropouts"], r["conversion_rate"]) for r in cohorts.metrics(df, 10).collect()}
-    assert found == {1: (2, None, None), 8: (1, 1, 0.0), 15: (1, 1, None)}
+    # 12 answers share 11 in its week, 13 answers it a week later, 14 answers an invitation that isn't a share
+    events = [(1, 1, day(1), "view", None, None), (2, 2, day(2), "view", None, None), (3, 1, day(9), "view", None, None), (11, 3, day(9), "click", True, None), (12, 4, day(10), "signup", None, 11),
+              (13, 5, day(16), "purchase", None, 11), (15, 3, day(16), "click", False, None), (14, 5, day(16), "error", None, 15), (16, 4, day(16), "view", None, None)]
+    rows = spark.createDataFrame(events, "event_id long, user_id int, ts timestamp_ntz, kind string, shared boolean, of_event long")
+    df = cohorts.with_cold_signups(rows)
+    found = {cohorts_week(r["bucket"]): r for r in cohorts.metrics(df.withColumn("bucket", cohorts.week_number(F.col("ts"))), 10).collect()}
+    names = ("active_users", "dropouts", "cold_signups", "new_users", "net_new_users", "invitation_conversion_rate", "shares_issued", "shares_converted", "shares_clicked", "share_conversion_rate")
+    assert {w: tuple(r[n] for n in names) for w, r in found.items()} == {
+        "2023-12-31": (2, None, 2, 2, None, None, 0, 0, 0, None),
+        "2024-01-07": (1, 1, 1, 2, 1, 1.0, 1, 1, 0, 1.0),
+        "2024-01-14": (1, 1, 1, 1, 0, 0.0, 0, 0, 0, None),
+    }
+    table = {r["metric"]: r for r in cohorts.matrix(cohorts.in_columns(df, cohorts.week_number(F.col("ts")), 2), 10, 2).collect()}
+    assert len(table) == 22 and tuple(table["active_users"])[1:] == (2, 1, 1, 3) and tuple(table["dropouts"])[1:] == (None, 1, 1, None)
+    assert tuple(table["shares_clicked"])[1:] == (0, 0, 0, 1)
+
+
+def cohorts_week(number):
+    return (dt.date(1970, 1, 4) + dt.timedelta(weeks=number)).isoformat()
 
 
 UNITS = [("cup", "cup"), ("cloves", "clove"), ("small head", "head"), ("head", "head"), ("pound", "pound"), ("lb", "lb")]
