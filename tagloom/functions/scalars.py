@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import html
 import json
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters and what they become in a normalised name.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+# Letters that aren't a plain one with marks, and what they become in a normalised name.
+SPELLED = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"}
+#: Lower-case Latin letters with marks, and the same without.
+ACCENTED = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c.islower() and unicodedata.normalize("NFD", c)[0] in "abcdefghijklmnopqrstuvwxyz")
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
@@ -25,7 +28,9 @@ def tidy_name(s: Column) -> Column:
 
 def normalize_name(s: Column) -> Column:
     """Punctuation of abbreviations goes, letters lose case and accents, everything else becomes hyphens."""
-    bare = F.translate(F.lower(F.regexp_replace(s, "[.,'\"‘’“”]", "")), ACCENTED, PLAIN)
+    bare = F.translate(F.lower(F.regexp_replace(s, "[.,'\"‘’“”\u0300-\u036f]", "")), ACCENTED, PLAIN)
+    for letter, spelled in SPELLED.items():
+        bare = F.replace(bare, F.lit(letter), F.lit(spelled))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9_-]+", "-"), "-{2,}", "-"), "^-+|-+$", "")
 
 
@@ -82,14 +87,15 @@ def normalize_urls(urls: Column, strip: bool = False) -> Column:
 
 
 def cleanpath(url: Column) -> Column:
-    """Host and path without slashes around it, query or fragment."""
-    return F.regexp_replace(F.regexp_replace(strip_protocol(url), "[?#].*$", ""), "/+$", "")
+    """Host (without user and port) and path without closing slashes, query or fragment; null without a host."""
+    host = host_of(url)
+    return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", "")))
 
 
 def subpaths(url: Column) -> Column:
-    """The host, then host and path, one step longer each time."""
+    """The host, then host and path, one step longer each time; empty without a host."""
     steps = F.split(cleanpath(url), "/+")
-    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+    return F.coalesce(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/")), F.array().cast("array<string>"))
 
 
 def indexing_url(url: Column) -> Column:

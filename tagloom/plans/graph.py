@@ -106,7 +106,7 @@ _FIRST_SUPPLIER = "(SELECT 'supplier:' || min(s_name) FROM supplier)"
 ORACLE_SQL = {
     "tag_synonyms": _R("expressions", query="SELECT DISTINCT tag FROM expressions WHERE referent IN (SELECT referent FROM expressions WHERE tag = '3:small') AND tag <> '3:small'"),
     "concept_children": _R("relations", query="SELECT DISTINCT child AS node FROM relations WHERE parent = (SELECT min(parent) FROM relations WHERE parent LIKE 'region:%')"),
-    "concept_parents": _R("relations", query="SELECT DISTINCT parent AS node FROM relations WHERE child IN (SELECT 'supplier:' || s_name FROM supplier WHERE s_suppkey % 10 = 1)"),
+    "concept_parents": _R("relations", query="SELECT DISTINCT parent AS node FROM relations WHERE child IN (SELECT 'supplier:' || s_name FROM supplier)"),
     "concept_siblings": _R("relations", query=f"SELECT DISTINCT child AS node FROM relations WHERE parent IN (SELECT parent FROM relations WHERE child = {_FIRST_SUPPLIER})"),
     "concept_neighbourhood": _R("relations", recursive=True, then="""near AS (SELECT max(parent) AS node, 1.0::DOUBLE AS weight FROM relations WHERE parent LIKE 'region:%'
   UNION ALL SELECT child, weight / 2 FROM near JOIN relations ON node = parent WHERE weight / 2 >= 0.2)""", query="SELECT node, max(weight) AS weight FROM near GROUP BY node"),

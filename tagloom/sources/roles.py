@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import domain_from_url, indexing_url, normalize_name
+from ..functions.scalars import SPELLED, domain_from_url, indexing_url, normalize_name
 
 BRAND, KIND, WORD = 1, 2, 3
 
@@ -90,7 +90,10 @@ def feed_entries(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select(F.col("conv_id").alias("feed_id"), F.col("turn").alias("guid"), F.col("text").alias("title"), at.alias("published_at"))
 
 
-_NORMAL = "trim(regexp_replace(lower(replace(replace(replace({0}, '.', ''), ',', ''), '''', '')), '[^a-z0-9_-]+', '-', 'g'), '-')"
+_SPELLED = "strip_accents(lower(replace(replace(replace({0}, '.', ''), ',', ''), '''', '')))"
+for _letter, _plain in SPELLED.items():
+    _SPELLED = f"replace({_SPELLED}, '{_letter}', '{_plain}')"
+_NORMAL = f"trim(regexp_replace({_SPELLED}, '[^a-z0-9_-]+', '-', 'g'), '-')"
 
 SQL = {
     "users": "SELECT c_custkey AS user_id, c_name AS username, c_mktsegment AS about FROM customer",
@@ -107,7 +110,7 @@ SQL = {
         SELECT 'nation:' || n_name, 'supplier:' || s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "page_refs": r"""SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '/(\?|$)', '\1'), '/$', '') AS alias,
         regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^www\.', ''), '[/?#:].*$', '') AS domain FROM pages""",
-    "feed_entries": "SELECT conv_id AS feed_id, turn AS guid, substr(text, 1, 40) AS title, TIMESTAMP '2024-01-01' + to_days(CAST(conv_id AS INTEGER)) + to_hours(CAST(turn AS INTEGER)) AS published_at FROM conversations",
+    "feed_entries": "SELECT conv_id AS feed_id, turn AS guid, text AS title, TIMESTAMP '2024-01-01' + to_days(CAST(conv_id AS INTEGER)) + to_hours(CAST(turn AS INTEGER)) AS published_at FROM conversations",
 }
 _NEEDS = {"tags": ["part_tags"], "taggings": ["pointers", "part_tags"]}
 
