@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_name
 
-ORGS = ("relevance", "newest", "oldest", "alphabetic", "popularity")
+#: Orderings: the column of found entities that each goes by, and whether its greatest come first.
+ORGS = {
+    "relevance": ("score", True),
+    "newest": ("created_at", True),
+    "oldest": ("created_at", False),
+    "updated": ("updated_at", True),
+    "alphabetic": ("title", False),
+    "popularity": ("popularity", True),
+    "viewed": ("viewed_at", True),
+    "random": ("chance", False),
+}
 
 
 def like(column: Column, text: str) -> Column:
@@ -61,6 +71,50 @@ def any_of(contributions: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [c.select("entity_id", F.col("score").cast("int").alias("score")) for c in contributions]).groupBy("entity_id").agg(F.sum("score").cast("int").alias("score"))
 
 
+def found(entities: DataFrame, scopes: list[list[str]], pointers: DataFrame, tagged: DataFrame, tags: DataFrame, expressions: DataFrame, words: list[str], viewer: int | None = None) -> DataFrame:
+    """Entities that every word has found: entities' columns, score, and what orderings go by.
+
+    Each word scores as text_scores, tagging_scores and comment_scores say; all words are looked for in one pass over each table.
+    tagged: entity_id and tag of entities that count as tagged if any user points to them. viewed_at is the viewer's own.
+    """
+    n = range(len(words))
+    names = [normalize_name(F.lit(w)) for w in words]
+    # tags that are a word, hold it, or are synonyms of one that is it
+    exact = tags.select("tag", *[(F.col("normalized_name") == names[i]).alias(f"exact{i}") for i in n], *[F.contains("normalized_name", names[i]).alias(f"fuzzy{i}") for i in n])
+    expressed = expressions.select("tag", "referent").distinct().join(exact, "tag", "left")
+    meant = expressed.groupBy("referent").agg(*[F.bool_or(F.coalesce(f"exact{i}", F.lit(False))).alias(f"meant{i}") for i in n]).filter(reduce(Column.__or__, [F.col(f"meant{i}") for i in n]))
+    similar = expressed.select("tag", "referent").join(meant, "referent").groupBy("tag").agg(*[F.bool_or(f"meant{i}").alias(f"similar{i}") for i in n])
+    flags = exact.join(similar, "tag", "full")
+    kinds = {f"{k}{i}": F.coalesce(F.col(f"{k}{i}"), F.lit(False)) for k in ("exact", "fuzzy") for i in n}
+    kinds |= {f"similar{i}": F.coalesce(F.col(f"similar{i}") & ~kinds[f"exact{i}"], F.lit(False)) for i in n}
+    flags = flags.select("tag", *[c.alias(k) for k, c in kinds.items()]).filter(reduce(Column.__or__, [F.col(k) for k in kinds]))
+    by_tag = tagged.join(flags, "tag").groupBy("entity_id").agg(*[F.bool_or(k).alias(k) for k in kinds])
+    pointed = pointers.groupBy("entity_id").agg(
+        *[F.bool_or(like(F.col("comment"), w)).alias(f"comment{i}") for i, w in enumerate(words)],
+        F.min("created_at").alias("created_at"),
+        F.max("updated_at").alias("updated_at"),
+        F.count_if("in_collection").alias("popularity"),
+        F.max(F.when(F.col("user_id") == (viewer if viewer is not None else F.lit(None)), F.col("updated_at"))).alias("viewed_at"),
+    )
+    rows = entities.join(pointed.join(by_tag, "entity_id", "left"), "entity_id", "left")
+    scores = []
+    for i, w in enumerate(words):
+        texts = [reduce(Column.__or__, [like(F.col(c), w) for c in scope]) for scope in scopes]
+        texts += [reduce(Column.__or__, [F.coalesce(F.lower(c) == w.lower(), F.lit(False)) for c in scope]) for scope in scopes]
+        hits = [*texts, *[F.coalesce(F.col(f"{k}{i}"), F.lit(False)) for k in ("exact", "fuzzy", "similar", "comment")]]
+        scores.append(reduce(Column.__add__, [h.cast("int") for h in hits]))
+    rows = rows.withColumns({f"_s{i}": x for i, x in enumerate(scores)}).filter(reduce(Column.__and__, [F.col(f"_s{i}") > 0 for i in n]))
+    rows = rows.withColumn("score", reduce(Column.__add__, [F.col(f"_s{i}") for i in n])).withColumn("popularity", F.coalesce("popularity", F.lit(0)))
+    return rows.select(*entities.columns, "score", "created_at", "updated_at", "popularity", "viewed_at", F.md5(F.col("entity_id").cast("string")).alias("chance"))
+
+
+def order_of(asked: Search) -> list[Column]:
+    """The ordering that a search asks for; what it goes by comes last where it is missing, and ties go to the smaller id."""
+    name, greatest_first = ORGS[asked.org]
+    down = greatest_first == asked.descending
+    return [F.desc_nulls_last(name) if down else F.asc_nulls_last(name), F.asc("entity_id")]
+
+
 def page(ranked: DataFrame, order: list[Column], offset: int = 0, limit: int = 10) -> DataFrame:
     """A window of the ordered rows, with their ranks from 1 on."""
     from pyspark.sql.window import Window
@@ -82,7 +136,10 @@ def parse_tokens(text: str) -> list[int | str]:
 
 @dataclass(frozen=True)
 class Search:
-    """What is asked for; equal searches have equal keys, under which results can be kept."""
+    """What is asked for; equal searches have equal keys, under which results can be kept.
+
+    descending: the ordering as it is named; otherwise the other way round. viewer: whose views `viewed` goes by.
+    """
 
     tags: tuple[str, ...] = ()
     org: str = "relevance"

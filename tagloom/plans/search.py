@@ -2,35 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import normalize_name
 from ..operators import search
-from ..sources import roles
+from ..sources import files, roles
 
 SCOPES = [["title", "description"]]
+#: Whose views the ordering by views goes by.
+VIEWER = 7
+
 
+def _found(spark: SparkSession, folder: str, words: list[str], viewer: int | None = None) -> DataFrame:
+    tagged = roles.part_tags(spark, folder).select("entity_id", F.concat_ws(":", "tagtype", normalize_name(F.col("name"))).alias("tag")).distinct()
+    tags, expressions = roles.tags(spark, folder), roles.expressions(spark, folder)
+    return search.found(roles.parts(spark, folder), SCOPES, roles.pointers(spark, folder), tagged, tags, expressions, words, viewer)
 
-def _found(spark: SparkSession, folder: str, words: list[str]) -> DataFrame:
-    parts, pointers = roles.parts(spark, folder), roles.pointers(spark, folder)
-    taggings, tags, expressions = roles.taggings(spark, folder), roles.tags(spark, folder), roles.expressions(spark, folder)
-    per_word = [
-        search.any_of([search.text_scores(parts, SCOPES, w), search.tagging_scores(taggings, tags, expressions, w), search.comment_scores(pointers, w)]) for w in words
-    ]
-    return search.all_of(per_word).join(parts, "entity_id")
+
+def _asked(spark: SparkSession, folder: str, asked: search.Search) -> DataFrame:
+    return search.page(_found(spark, folder, list(asked.tags), asked.viewer), search.order_of(asked), asked.offset, asked.limit)
 
 
 def search_parts(spark: SparkSession, folder: str) -> DataFrame:
     """SRCH-5..9, STR-1, SET-4, SORT-8, TOPK-1: two tags, the ten best."""
-    return search.page(_found(spark, folder, ["small", "ring"]), [F.desc("score"), F.asc("entity_id")]).select("rank", "entity_id", "title", "score")
+    return _asked(spark, folder, search.Search(("small", "ring"))).select("rank", "entity_id", "title", "score")
 
 
 def search_parts_next(spark: SparkSession, folder: str) -> DataFrame:
     """SRCH-1..3, WIN-2, WIN-3: the second window of a search that was parsed from text."""
-    asked = search.Search.parse("'red', 5-LOW", offset=5, limit=5)
-    return search.page(_found(spark, folder, list(asked.tags)), [F.desc("score"), F.asc("entity_id")], asked.offset, asked.limit).select("rank", "entity_id", "title", "score")
+    return _asked(spark, folder, search.Search.parse("'red', 5-LOW", offset=5, limit=5)).select("rank", "entity_id", "title", "score")
+
+
+def search_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """SORT-1, SORT-2, SORT-4, SORT-5, SORT-11: what two tags find, the first five by each ordering, and by one the other way round."""
+    found = common_rows(_found(spark, folder, ["small", "ring"], VIEWER))
+    asked = [search.Search(("small", "ring"), org=org, limit=5, viewer=VIEWER) for org in search.ORGS]
+    asked.append(search.Search(("small", "ring"), org="alphabetic", descending=False, limit=5))
+    names = [*search.ORGS, "alphabetic, reversed"]
+    pages = [search.page(found, search.order_of(a), a.offset, a.limit).select(F.lit(n).alias("org"), "rank", "entity_id") for a, n in zip(asked, names)]
+    return reduce(DataFrame.unionByName, pages)
+
+
+def common_rows(found: DataFrame) -> DataFrame:
+    """found, stored in the shared folder: several windows are cut from the same result."""
+    path = files.shared_path(found.sparkSession, "found")
+    found.write.parquet(path)
+    return found.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def search_no_tags(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,10 +127,10 @@ def normalised_audit(spark: SparkSession, folder: str) -> DataFrame:
     return roles.tags(spark, folder).filter(normalize_name(F.col("name")) != F.col("name")).select("tag", "name", "normalized_name")
 
 
-QUERIES = {f.__name__: f for f in (search_parts, search_parts_next, search_no_tags, search_scopes, tag_match, tag_clashes, filters, report_sorted, score_bands, normalised_audit)}
+QUERIES = {f.__name__: f for f in (search_parts, search_parts_next, search_orders, search_no_tags, search_scopes, tag_match, tag_clashes, filters, report_sorted, score_bands, normalised_audit)}
 
 
-def _search_sql(words: list[str], offset: int, limit: int) -> str:
+def _found_sql(words: list[str]) -> tuple[str, str]:
     parts = []
     for i, w in enumerate(words):
         n = w.lower()
@@ -128,14 +149,28 @@ hits{i} AS (
 found{i} AS (SELECT entity_id, sum(score) AS score FROM hits{i} GROUP BY entity_id)""")
     total = " + ".join(f"found{i}.score" for i in range(len(words)))
     joins = "".join(f" JOIN found{i} USING (entity_id)" for i in range(1, len(words)))
-    query = f"""SELECT CAST(row_number() OVER (ORDER BY {total} DESC, entity_id) AS INTEGER) AS rank, entity_id, title, CAST({total} AS INTEGER) AS score
-FROM found0{joins} JOIN parts USING (entity_id) ORDER BY score DESC, entity_id LIMIT {limit} OFFSET {offset}"""
-    return roles.with_roles("parts", "pointers", "taggings", "tags", "expressions", then=",".join(parts), query=query)
+    return ",".join(parts), f"SELECT entity_id, title, CAST({total} AS INTEGER) AS score FROM found0{joins} JOIN parts USING (entity_id)"
+
+
+def _search_sql(words: list[str], offset: int, limit: int) -> str:
+    parts, query = _found_sql(words)
+    ranked = f"SELECT CAST(row_number() OVER (ORDER BY score DESC, entity_id) AS INTEGER) AS rank, * FROM ({query}) ORDER BY rank LIMIT {limit} OFFSET {offset}"
+    return roles.with_roles("parts", "pointers", "taggings", "tags", "expressions", then=parts, query=ranked)
+
+
+def _orders_sql(words: list[str], limit: int) -> str:
+    parts, query = _found_sql(words)
+    stats = f"""stats AS (SELECT entity_id, min(created_at) AS created_at, max(updated_at) AS updated_at, count(*) FILTER (in_collection) AS popularity, max(updated_at) FILTER (user_id = {VIEWER}) AS viewed_at FROM pointers GROUP BY entity_id),
+hit AS (SELECT f.*, created_at, updated_at, coalesce(popularity, 0) AS popularity, viewed_at, md5(CAST(f.entity_id AS VARCHAR)) AS chance FROM ({query}) f LEFT JOIN stats USING (entity_id))"""
+    orders = [(n, c, "DESC" if down else "ASC") for n, (c, down) in search.ORGS.items()] + [("alphabetic, reversed", "title", "DESC")]
+    pages = [f"SELECT * FROM (SELECT '{n}' AS org, CAST(row_number() OVER (ORDER BY {c} {way} NULLS LAST, entity_id) AS INTEGER) AS rank, entity_id FROM hit) WHERE rank <= {limit}" for n, c, way in orders]
+    return roles.with_roles("parts", "pointers", "taggings", "tags", "expressions", then=f"{parts}, {stats}", query=" UNION ALL ".join(pages))
 
 
 ORACLE_SQL = {
     "search_parts": _search_sql(["small", "ring"], 0, 10),
     "search_parts_next": _search_sql(["red", "5-LOW"], 5, 5),
+    "search_orders": _orders_sql(["small", "ring"], 5),
     "search_no_tags": "SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 20",
     "search_scopes": roles.with_roles("parts", "users", "feed_entries", query="""SELECT 'Part' AS entity_type, entity_id,
   CAST(title ILIKE '%red%' AS INTEGER) + CAST(lower(title) = 'red' AS INTEGER) + CAST(description ILIKE '%red%' AS INTEGER) + CAST(lower(description) = 'red' AS INTEGER) AS score
