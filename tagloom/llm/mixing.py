@@ -4,8 +4,8 @@ Every document has a hash of its id. A source that gives fewer words than it has
 documents with hashes up to a threshold; one that gives more takes all of them, and those up to the
 threshold once more. The threshold is found without sorting: words are summed by source and hash
 bucket, the bucket in which the budget ends is split into finer buckets by the next bits of the
-hash, and so on until the hash has no more bits. Only the boundary bucket's rows take part in a
-refinement, so all rounds together read little more than one.
+hash, and so on until the hash has no more bits. The rows of the boundary buckets are stored after the
+first round, and later rounds read these alone: all rows' sizes are read twice, whatever the number of rounds.
 
 Targets: the share of all words that is to be taken is dealt to sources by weight; a target stops
 at `repeats` times its source's words, and the excess is dealt out again until none is above.
@@ -100,6 +100,11 @@ def thresholds(sized: DataFrame, repeats: int = REPEATS, share: float = SHARE, w
                 x["room"] -= n
             else:
                 x["done"] = True
+        split = [(s, x["prefix"]) for s, x in state.items() if not x["done"]]
+        if bits == step and split and bits < HASH_BITS:
+            kept = spark.createDataFrame(split, "_source string, _prefix long")
+            kept = F.broadcast(kept) if len(split) <= BROADCAST_SOURCES else kept
+            sized = common.stored(sized.join(kept, sized["source"].eqNullSafe(kept["_source"]) & (bucket == F.col("_prefix"))).select("source", "size", "_hash"), "mixing-boundary")
     rows = [(s, sums[s], float(goal[s]), x["whole"], x.get("limit", -1)) for s, x in state.items()]
     return spark.createDataFrame(rows, "_source string, source_size long, target double, _whole int, _limit long")
 

@@ -138,6 +138,14 @@ def test_extract_cases(spark, sf_dir):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count() and all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
 
 
+def test_judge_replaces_clashing_columns(spark):
+    url = "http://a.com/en/x"
+    pages = spark.createDataFrame([(1, url, "own", "own"), (1, url, "own", "own"), (2, None, "own", "own"), (3, "http://" + "x." * 30_000 + "org/es/", "own", "own")], "page_id long, url string, host string, verdict string")
+    found = urls.judge(pages, urls.BLOCK, urls.ALLOW)
+    assert found.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert sorted((r["page_id"], r["host"][-3:], r["rule"], r["verdict"]) for r in found.collect()) == [(1, "com", "com/en/", "block"), (1, "com", "com/en/", "block"), (2, "", None, "allow"), (3, "org", "org/es/", "block")]
+
+
 def test_cascade_is_exact(spark):
     keys = [f"k{i}" for i in range(6000)]
     listed = {k for i, k in enumerate(keys) if i % 7 == 0} | {"elsewhere"}
