@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import FRACTIONS, WORDS, normalize_name, number_value
 
-#: Words of the longest phrase that is looked for.
-LONGEST = 4
 _TOKEN = r"(\d+/\d+|\d+[½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅐⅛⅜⅝⅞]|[\p{L}\p{N}_'’-]+\.?|[^\p{L}\p{N}_\s])"
 
 
@@ -29,7 +27,7 @@ def lexicon(names: DataFrame, name: str = "name", tag: str = "tag") -> DataFrame
     return names.select(phrase.alias("phrase"), F.size(F.split(phrase, "-")).alias("words"), F.col(tag).alias("tag")).filter("phrase <> ''").distinct()
 
 
-def ngrams(found: DataFrame, key: str, longest: int = LONGEST) -> DataFrame:
+def ngrams(found: DataFrame, key: str, longest: int) -> DataFrame:
     """key, pos, words, phrase of every run of up to `longest` tokens that are words (a hyphen joins their normal forms)."""
     named = found.withColumn("normal", normalize_name(F.col("token")))
     gathered = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "normal"))).alias("t"))  # one document's tokens
@@ -44,8 +42,10 @@ def ngrams(found: DataFrame, key: str, longest: int = LONGEST) -> DataFrame:
     return each.filter(~F.array_contains("r.run", "")).select(key, "r.pos", "r.words", F.array_join("r.run", "-").alias("phrase"))
 
 
-def phrases(found: DataFrame, key: str, words: DataFrame, longest: int = LONGEST) -> DataFrame:
+def phrases(found: DataFrame, key: str, words: DataFrame, longest: int | None = None) -> DataFrame:
     """key, pos, words, tags: the longest phrase of the lexicon at each place that no earlier phrase covers."""
+    if longest is None:
+        longest = words.agg(F.max("words")).first()[0] or 1  # one number: words of the longest phrase
     hits = ngrams(found, key, longest).join(words.select("phrase", "tag"), "phrase").groupBy(key, "pos", "words").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     by_place = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("words")).alias("less"), "tags"))).alias("hits"))
     start = F.struct(F.array().cast("array<struct<pos:int,words:int,tags:array<string>>>").alias("kept"), F.lit(0).alias("free"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Steps beyond which walks are refused (ValueError) rather than cut short.
 DEPTH = 32
 
 
@@ -56,9 +57,9 @@ def best_first(edges: DataFrame, start: DataFrame, cutoff: float, depth: int = D
     for _ in range(depth):
         level = level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node"), (F.col("value") * F.col("weight")).alias("value")).filter(F.col("value") >= cutoff)
         if level.isEmpty():
-            break
+            return found.orderBy(F.desc("value"), "node")
         found = found.unionByName(level)
-    return found.orderBy(F.desc("value"), "node")
+    raise ValueError(f"there are paths of {depth} steps whose values aren't below {cutoff} yet")
 
 
 def aggregate_members(members: DataFrame, limit: int, share: float = 0.05) -> DataFrame:
@@ -78,7 +79,7 @@ def paths(relations: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFra
         if level.isEmpty():
             return found
         found = found.unionByName(level)
-    return found
+    raise ValueError(f"there are paths of more than {depth} steps")
 
 
 def path_between(relations: DataFrame, low: str, high: str, depth: int = DEPTH) -> DataFrame:
@@ -90,7 +91,7 @@ def path_between(relations: DataFrame, low: str, high: str, depth: int = DEPTH)
 
 
 def cycles(relations: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Nodes that lie on a cycle of at most `depth` steps."""
+    """Nodes that lie on a cycle; ValueError if there are paths of more than `depth` steps."""
     nodes = relations.select(F.col("parent").alias("node")).distinct()
     return paths(relations, nodes, depth).filter(F.col("cycle") & (F.col("node") == F.get("path", F.lit(0)))).select("node").distinct()
 

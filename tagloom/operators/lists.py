@@ -17,6 +17,11 @@ def collection(pointers: DataFrame, user: int, viewer: int | None = None, collec
     return found if viewer == user else found.filter("NOT private")
 
 
+def collect(pointers: DataFrame, now: Column) -> DataFrame:
+    """The pointers, all collected; the collection time of those that weren't is now."""
+    return pointers.withColumn("created_at", F.when(F.col("in_collection"), F.col("created_at")).otherwise(now)).withColumn("in_collection", F.lit(True))
+
+
 def followees(follows: DataFrame, user: int) -> DataFrame:
     return follows.filter(F.col("follower") == user).select(F.col("followee").alias("user_id")).distinct()
 

@@ -74,3 +74,8 @@ def launched(status: Column, force: bool = False) -> Column:
 
 def landed(status: Column, error: Column) -> Column:
     return F.when(status != PROCESSING, status).when(error.isNull(), F.lit(GOOD)).otherwise(F.lit(BAD))
+
+
+def tri_state(state: Column, wanted: bool | None) -> Column:
+    """Whether a state is the wanted one; None wants it unknown."""
+    return state.isNull() if wanted is None else F.coalesce(state == wanted, F.lit(False))

@@ -124,7 +124,7 @@ def tags_by_type(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dashboard(spark: SparkSession, folder: str) -> DataFrame:
-    """AGG-15..17, AGG-20, COH-1: per user the size of the collection, tags, tags per part, edits, latest addition."""
+    """AGG-15..17: per user the size of the collection, tags, tags per part, edits, latest addition."""
     p = roles.pointers(spark, folder).groupBy("user_id").agg(F.count_if("in_collection").alias("collected"), F.count("*").alias("touched"), F.sum("edit_count").alias("edits"), F.max("created_at").alias("latest"))
     t = roles.taggings(spark, folder).groupBy("user_id").agg(F.count_distinct("tag").alias("tags"))
     return (
@@ -177,7 +177,7 @@ def counters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feed_menu(spark: SparkSession, folder: str) -> DataFrame:
-    """COL-26..28, SORT-3, TOPK-6: the sixteen feeds with the latest posts, and their newest entry's title."""
+    """SORT-3, TOPK-6: the sixteen feeds with the latest posts, and their newest entry's title."""
     latest = roles.feed_entries(spark, folder).groupBy("feed_id").agg(F.max("published_at").alias("last_post"), F.max_by("title", F.struct("published_at", "guid")).alias("title"))
     return latest.orderBy(F.desc_nulls_last("last_post"), "feed_id").limit(16)
 

@@ -144,14 +144,13 @@ def type_audit(spark: SparkSession, folder: str) -> DataFrame:
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """COL-29: the first question that a user hasn't answered, else the first of all. Event types stand for questions."""
     e = roles.table(spark, folder, "events").select("user_id", "event_type")
-    types = sorted(r[0] for r in e.select("event_type").distinct().collect())  # a handful of event types
-    asked = F.array(*[F.lit(t) for t in types])
-    answered = F.collect_set(F.when(F.col("event_type") != "view", F.col("event_type")))
-    return e.groupBy("user_id").agg(F.coalesce(F.array_min(F.array_except(asked, answered)), F.array_min(asked)).alias("question"))
+    types = e.agg(F.collect_set("event_type").alias("asked"))  # one row
+    answered = e.groupBy("user_id").agg(F.collect_set(F.when(F.col("event_type") != "view", F.col("event_type"))).alias("answered"))
+    return answered.crossJoin(F.broadcast(types)).select("user_id", F.coalesce(F.array_min(F.array_except("asked", "answered")), F.array_min("asked")).alias("question"))
 
 
 def jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """STM-6, FLT-23, FLT-24: what a launch and a landing make of jobs' states."""
+    """STM-6: what a launch and a landing make of jobs' states."""
     status = F.when(F.col("event_type") == "view", scopes.VIRGIN).when(F.col("event_type") == "click", scopes.PROCESSING).when(F.col("event_type") == "error", scopes.BAD).otherwise(scopes.GOOD)
     error = F.when(F.col("value") > 20, "failed")
     e = roles.table(spark, folder, "events")

@@ -39,7 +39,7 @@ def _lexicon(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def phrase_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """LEX-1..4, TOK-1..4, PRS-8: the longest phrases of the lexicon in texts made of part names."""
+    """LEX-1..3, TOK-1, TOK-2, PRS-8: the longest phrases of the lexicon in texts made of part names."""
     part = roles.table(spark, folder, "part")
     found = annotate.tokens(part, "p_partkey", F.concat(F.lit("a "), "p_name", F.lit(", and more")))
     return annotate.phrases(found, "p_partkey", _lexicon(spark, folder)).select("p_partkey", "pos", "words", F.array_join("tags", ",").alias("tags"))

@@ -90,7 +90,7 @@ def tag_clashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filters(spark: SparkSession, folder: str) -> DataFrame:
-    """FLT-1..4, FLT-8, FLT-15, FLT-23..25: predicates of the scopes on one table, as counts."""
+    """FLT-1..4, FLT-8, FLT-25: predicates of the scopes on one table, as counts."""
     o = roles.table(spark, folder, "orders")
     approved = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)  # null: pending
     tests = {

@@ -34,6 +34,11 @@ def entries_since(entries: DataFrame, marks: DataFrame) -> DataFrame:
     return entries.join(marks, "feed_id", "left").filter(F.col("last_post").isNull() | (F.col("published_at") > F.col("last_post"))).drop("last_post")
 
 
+def stale(marks: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Feeds whose last post is older than so many days, or that have none."""
+    return marks.filter(F.col("last_post").isNull() | (F.col("last_post") < now - F.make_dt_interval(F.lit(days))))
+
+
 def ingested(spark: SparkSession, schema: StructType | str, target: str) -> DataFrame:
     """The table that `ingest` writes: the entries' columns, and run and epoch of the batch that added them."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
