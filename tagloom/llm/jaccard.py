@@ -518,32 +518,60 @@ def _heads(docs: DataFrame, meetings: DataFrame, roots: DataFrame, candidates: D
     if large.isEmpty():
         return None
     band = F.shiftright("code", _SEGMENT_BITS).cast("int")
-    met = meetings.select("a", "b", F.xxhash64("a", band).alias("node")).join(roots, "node").join(large, "root", "left_semi")
-    met = met.groupBy("a", "b").agg(F.count("*").alias("n"))
-    commonest = Window.partitionBy("a").orderBy(F.desc("n"), "b")
-    met = common.stored(met.withColumn("_n", F.row_number().over(commonest)).filter(F.col("_n") <= HEADS).select("a", "b"), "jaccard-heads")
-    sets = candidates.join(large, "root", "left_semi").select("c", "key").distinct()
-
-    def tokens(batches):
-        memos.forget()
-        for batch in batches:
-            for lo, part in kernel.slices(batch.column("text"), SLICE):
-                own, offsets = kernel.shingle_sets(part, width)
-                payload = [own[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("c").slice(lo, len(part)), pa.array(payload, pa.binary())], ["c", "payload"])
-
-    def verified(batches):
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                if (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (len(x) + len(y)):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    held = common.stored(docs.select("key", "text").join(sets, "key").select("c", "text").mapInArrow(tokens, "c long, payload binary"), "jaccard-held")
-    both = met.join(held.select(F.col("c").alias("a"), F.col("payload").alias("x")), "a").join(held.select(F.col("c").alias("b"), F.col("payload").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    met = meetings.select("a", "b", band.alias("band")).withColumn("node", F.xxhash64("a", "band")).join(roots, "node").join(large, "root", "left_semi")
+    met = met.groupBy("a", "b", "band").agg(F.count("*").alias("n"))
+    commonest = Window.partitionBy("a").orderBy(F.desc("n"), "b", "band")
+    met = common.stored(met.withColumn("_n", F.row_number().over(commonest)).filter(F.col("_n") <= HEADS).select("a", "b", "band"), "jaccard-heads")
+    sets = common.stored(candidates.join(large, "root", "left_semi").select("c", "key", "band").distinct(), "jaccard-large-sets")
+    limits = Bands(percent)
+
+    def held(exact: bool):
+        """c, band, b and the shingles, or a bitmap of them."""
+
+        def run(batches):
+            memos.forget()
+            for batch in batches:
+                bands = batch.column("band").to_pylist()
+                for lo, part in kernel.slices(batch.column("text"), SLICE):
+                    own, offsets = kernel.shingle_sets(part, width)
+                    parts = [own[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                    for at in bands[lo : lo + len(part)]:
+                        limits.segments(at)  # so that the band is known
+                    payload = [(x if exact else bitmap(x, bitmap_words(limits, at))).tobytes() for x, at in zip(parts, bands[lo:])]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, len(part)) for c in ("c", "band")), pa.array(np.diff(offsets)), pa.array(payload, pa.binary())], ["c", "band", "b", "payload"])
+            kernel.release()
+
+        return run
+
+    def tested(exact: bool):
+        def run(batches):
+            for batch in batches:
+                keep = []
+                rows = zip(*(batch.column(c).to_pylist() for c in ("m", "n", "x", "y")))
+                for i, (m, n, x, y) in enumerate(rows):
+                    x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                    if exact:
+                        ok = (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (m + n)
+                    else:
+                        ok = int(np.bitwise_count(x ^ y).sum()) <= differing(m + n, percent)
+                    if ok:
+                        keep.append(i)
+                yield batch.select(["a", "b", "band"]).take(pa.array(keep, pa.int64()))
+
+        return run
+
+    def those(pairs: DataFrame, exact: bool) -> DataFrame:
+        """The pairs that are similar, or that bitmaps don't rule out."""
+        asked = pairs.select(F.col("a").alias("c"), "band").unionByName(pairs.select(F.col("b").alias("c"), "band")).distinct()
+        texts = docs.select("key", "text").join(sets.join(asked, ["c", "band"]), "key").select("c", "band", "text")
+        rows = texts.mapInArrow(held(exact), "c long, band int, b long, payload binary")
+        rows = common.stored(rows.dropDuplicates(["c", "band"]), "jaccard-held")  # rows may repeat id and text
+        left = rows.select(F.col("c").alias("a"), "band", F.col("b").alias("m"), F.col("payload").alias("x"))
+        right = rows.select(F.col("c").alias("b"), "band", F.col("b").alias("n"), F.col("payload").alias("y"))
+        return pairs.join(left, ["a", "band"]).join(right, ["b", "band"]).select("a", "b", "band", "m", "n", "x", "y").mapInArrow(tested(exact), "a long, b long, band int")
+
+    maybe = common.stored(those(met, False), "jaccard-maybe")
+    return those(maybe, True).select("a", "b")
 
 
 # -------------------------------------------------------------------------------------- the join
