@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc.getCheckpointDir()
     if not found:
         found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local["):
+        if not found and sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = found or tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(found)

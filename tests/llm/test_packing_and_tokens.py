@@ -231,6 +231,14 @@ def test_binary_cases(spark, tmp_path):
     assert binary.read(spark, nothing).count() == 0
 
 
+def test_binary_of_clashing_columns_and_very_long_texts(spark, tmp_path):
+    path, long = str(tmp_path / "files"), "word and word " * 60_000
+    docs = [(1, long, 7, "x"), (None, "a b", 7, "x"), (2, "", 7, "x")]
+    binary.write(spark.createDataFrame(docs, SCHEMA + ", n_tokens int, ids string"), path, BYTES)
+    rows = binary.read(spark, path, ids=True).collect()
+    assert sorted(((r["doc_id"], bytes(r["ids"])) for r in rows), key=repr) == sorted(((d, ids_of(BYTES, t, 0)) for d, t, _, _ in docs), key=repr)
+
+
 def test_dictionary_is_shared_and_hashed(spark, sf_dir, tmp_path):
     path = str(tmp_path / "files")
     binary.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, BYTES)
