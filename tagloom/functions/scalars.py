@@ -80,6 +80,14 @@ def normalize_url(url: Column) -> Column:
     return F.when(is_valid_link(sane), F.concat(host_url(sane), F.when(path == "", F.lit("/")).otherwise(path), rest))
 
 
+def repair_fragment(url: Column) -> Column:
+    """A url whose fragment holds characters that must not stand in one, these encoded; other urls as they are."""
+    safe = r"^[A-Za-z0-9_.!~*'();/?:@&=+$,\[\]%-]$"
+    letters = F.split(F.regexp_extract(url, "#([^#]*)$", 1), "")
+    coded = F.transform(letters, lambda c: F.when((c == "") | c.rlike(safe), c).when(c == " ", "%20").otherwise(F.url_encode(c)))
+    return F.when(F.contains(url, F.lit("#")), F.concat(F.regexp_replace(url, "#[^#]*$", "#"), F.array_join(coded, ""))).otherwise(url)
+
+
 def normalize_urls(urls: Column, strip: bool = False) -> Column:
     """Those of an array that are links, normalised, each once; without protocol if `strip`."""
     found = F.filter(F.transform(urls, normalize_url), lambda u: u.isNotNull())

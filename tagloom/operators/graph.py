@@ -82,6 +82,12 @@ def paths(relations: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFra
     raise ValueError(f"there are paths of more than {depth} steps")
 
 
+def tree(relations: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """place, line: the tree below the roots as indented lines, in order of their places; a node that leads back says so and ends its branch."""
+    line = F.concat(F.repeat(F.lit("    "), F.size("path") - 1), F.when(F.col("cycle"), "!!Loop back to ").otherwise(""), F.col("node"))
+    return paths(relations, roots, depth).select(F.array_join("path", "/").alias("place"), line.alias("line"))
+
+
 def path_between(relations: DataFrame, low: str, high: str, depth: int = DEPTH) -> DataFrame:
     """The shortest way up from one node to another, as an array; no row if there is none."""
     up = relations.select(F.col("child").alias("parent"), F.col("parent").alias("child"))

@@ -53,6 +53,14 @@ def url_sites(spark: SparkSession, folder: str) -> DataFrame:
     return steps.join(sites, "root").groupBy("page_id").agg(F.max_by("root", F.length("root")).alias("site"))
 
 
+def url_fragments(spark: SparkSession, folder: str) -> DataFrame:
+    """URL-2, URL-5: fragments repaired; of a url, the same and one that is none, the normal forms without protocol."""
+    url = F.regexp_replace("url", "#.*$", "")
+    pages = roles.table(spark, folder, "pages")
+    several = F.array(url, url, F.lit("no link"))
+    return pages.select("page_id", s.repair_fragment(F.concat(url, F.lit("#é b"))).alias("repaired"), s.repair_fragment(url).alias("same"), F.size(s.normalize_urls(several, strip=True)).alias("links"))
+
+
 def url_contained(spark: SparkSession, folder: str) -> DataFrame:
     """JOIN-17, FLT-6: pages under a domain and its subdomains, by suffix steps instead of a containment test."""
     pages = roles.page_refs(spark, folder)
@@ -115,7 +123,7 @@ def numbers_and_flags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (url_parts, url_queries, url_sites, url_contained, text_functions, text_tokens, numbers_and_flags)}
+QUERIES = {f.__name__: f for f in (url_parts, url_queries, url_fragments, url_sites, url_contained, text_functions, text_tokens, numbers_and_flags)}
 
 _BARE = "regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
 _CLEAN = f"regexp_replace(regexp_replace({_BARE}, '[?#].*$', ''), '/+$', '')"
@@ -133,6 +141,7 @@ SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page,
   base AS request, root || '/x/y' AS rooted, root || CASE WHEN base = root THEN '/' ELSE regexp_replace(base[length(root) + 1:], '[^/]*$', '') END || 'next' AS relative,
   regexp_extract(url, '^[a-z]+:') || '//cdn.example/z' AS schemeless, true AS same,
   regexp_extract(url, '://([^/?#]*)', 1) IN ('spam-farm.example.org', 'm.thth.example.net') AS forbidden, url || '%20a%3Cb%3E' AS sanitized FROM p""",
+    "url_fragments": "SELECT page_id, regexp_replace(url, '#.*$', '') || '#%C3%A9%20b' AS repaired, regexp_replace(url, '#.*$', '') AS same, CAST(1 AS INTEGER) AS links FROM pages",
     "url_sites": roles.with_roles("page_refs", then=f"""cut AS (SELECT page_id, string_split({_CLEAN}, '/') AS s, string_split(regexp_replace({_CLEAN}, '^www\\.', ''), '/') AS b, domain FROM page_refs),
   sites AS (SELECT DISTINCT domain AS root FROM page_refs UNION SELECT s[1] || '/' || s[2] FROM cut WHERE len(s) > 1),
   steps AS (SELECT page_id, array_to_string(b[1:i], '/') AS root FROM cut, (SELECT unnest(range(1, 12)) AS i) WHERE i <= len(b))""",

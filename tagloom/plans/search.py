@@ -82,6 +82,24 @@ def tag_match(spark: SparkSession, folder: str) -> DataFrame:
     return folded.orderBy(F.desc(first), "normalized_name").limit(75).select("tag", "normalized_name", first.alias("is_prefix"), "alternatives")
 
 
+def tag_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """SRCH-10: tags by their own names: one for holding a text, one more for being it."""
+    name = F.col("normalized_name")
+    score = F.contains(name, F.lit("red")).cast("int") + (name == "red").cast("int")
+    return roles.tags(spark, folder).select("tag", score.alias("score")).filter("score > 0")
+
+
+def stored_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """SNK-1, TOPK-3: ranked hits of two types stored as type, id and score; a window of them, loaded type by type, in the stored order."""
+    parts, users = roles.parts(spark, folder), roles.users(spark, folder).select(F.col("user_id").alias("entity_id"), "username", "about")
+    hits = search.text_scores(parts, [["title"]], "small").select(F.lit("Part").alias("entity_type"), "entity_id", "score")
+    hits = hits.unionByName(search.text_scores(users, [["about"]], "BUILD").select(F.lit("User").alias("entity_type"), "entity_id", "score"))
+    order = [F.desc("score"), F.asc("entity_id"), F.asc("entity_type")]
+    shown = search.page(common_rows(hits.orderBy(*order)), order, 5, 10)
+    loaded = [shown.filter(F.col("entity_type") == t).join(rows, "entity_id").select("rank", "entity_type", "entity_id", "name") for t, rows in (("Part", parts.withColumnRenamed("title", "name")), ("User", users.withColumnRenamed("username", "name")))]
+    return reduce(DataFrame.unionByName, loaded).orderBy("rank")
+
+
 def tag_clashes(spark: SparkSession, folder: str) -> DataFrame:
     """FLT-12, GRF-16, TAG-14: tags of equal names and different types."""
     a = roles.tags(spark, folder).select("normalized_name", "tagtype", "tag")
@@ -127,7 +145,7 @@ def normalised_audit(spark: SparkSession, folder: str) -> DataFrame:
     return roles.tags(spark, folder).filter(normalize_name(F.col("name")) != F.col("name")).select("tag", "name", "normalized_name")
 
 
-QUERIES = {f.__name__: f for f in (search_parts, search_parts_next, search_orders, search_no_tags, search_scopes, tag_match, tag_clashes, filters, report_sorted, score_bands, normalised_audit)}
+QUERIES = {f.__name__: f for f in (tag_scores, stored_hits, search_parts, search_parts_next, search_orders, search_no_tags, search_scopes, tag_match, tag_clashes, filters, report_sorted, score_bands, normalised_audit)}
 
 
 def _found_sql(words: list[str]) -> tuple[str, str]:
@@ -168,6 +186,10 @@ hit AS (SELECT f.*, created_at, updated_at, coalesce(popularity, 0) AS popularit
 
 
 ORACLE_SQL = {
+    "tag_scores": roles.with_roles("tags", query="SELECT tag, CAST(contains(normalized_name, 'red') AS INTEGER) + CAST(normalized_name = 'red' AS INTEGER) AS score FROM tags WHERE contains(normalized_name, 'red')"),
+    "stored_hits": roles.with_roles("parts", "users", query="""SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY score DESC, entity_id, entity_type) AS INTEGER) AS rank, entity_type, entity_id, name FROM (
+  SELECT 'Part' AS entity_type, entity_id, title AS name, 1 + CAST(lower(title) = 'small' AS INTEGER) AS score FROM parts WHERE title ILIKE '%small%'
+  UNION ALL SELECT 'User', user_id, username, 1 + CAST(lower(about) = 'build' AS INTEGER) FROM users WHERE about ILIKE '%build%')) WHERE rank BETWEEN 6 AND 15"""),
     "search_parts": _search_sql(["small", "ring"], 0, 10),
     "search_parts_next": _search_sql(["red", "5-LOW"], 5, 5),
     "search_orders": _orders_sql(["small", "ring"], 5),

@@ -13,7 +13,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names. Only a local session, which has one machine, gets a folder here."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="tagloom-shared-")
         spark.sparkContext.setCheckpointDir(folder)
