@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .search import like
 
@@ -79,3 +80,17 @@ def landed(status: Column, error: Column) -> Column:
 def tri_state(state: Column, wanted: bool | None) -> Column:
     """Whether a state is the wanted one; None wants it unknown."""
     return state.isNull() if wanted is None else F.coalesce(state == wanted, F.lit(False))
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], path: str, name: str = "rank") -> DataFrame:
+    """rows with their rank (from 0) in each group: few groups of any size, for no task orders a whole one.
+
+    Rows are dealt out by ranges of groups and order and stored below `path`; ranks are those within a range, and the rows of the group in ranges before.
+    """
+    dealt = rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    dealt = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    counts = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = Window.partitionBy(*by, "_range").orderBy(*order)
+    return dealt.withColumn("_own", F.row_number().over(own) - 1).join(counts, [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import ratio
-from ..operators import lists
-from ..sources import roles
+from ..operators import lists, scopes
+from ..sources import files, roles
 
 USER, VIEWER = 7, 11
 
@@ -184,8 +183,8 @@ def feed_menu(spark: SparkSession, folder: str) -> DataFrame:
 
 def paged_users(spark: SparkSession, folder: str) -> DataFrame:
     """SORT-6, WIN-7, TOPK-2: users by name in pages of a hundred, first and last of each page."""
-    n = F.row_number().over(Window.partitionBy("about").orderBy("username", "user_id")) - 1
-    paged = roles.users(spark, folder).withColumn("page", F.floor(n / 100).cast("int"))
+    ranked = scopes.ranked(roles.users(spark, folder), ["about"], ["username", "user_id"], files.shared_path(spark, "ranked"))
+    paged = ranked.withColumn("page", F.floor(F.col("rank") / 100).cast("int"))
     return paged.groupBy("about", "page").agg(F.count("*").alias("users"), F.min("username").alias("first"), F.max("username").alias("last"))
 
 

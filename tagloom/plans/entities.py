@@ -6,12 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as s
 from ..operators import lists, scopes
 from ..operators.scopes import Match
-from ..sources import roles
+from ..sources import files, roles
 from . import collections as c
 
 
@@ -160,8 +159,8 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 def newsletter(spark: SparkSession, folder: str) -> DataFrame:
     """STM-11, AGG-10: letters to users behind the edition of their segment, five seconds apart in each."""
     behind = roles.users(spark, folder).filter("user_id % 4 <> 0")
-    n = F.row_number().over(Window.partitionBy("about", F.col("user_id") % 16).orderBy("user_id")) - 1
-    return behind.select("user_id", (n * 5).cast("int").alias("delay"))
+    ranked = scopes.ranked(behind.withColumn("lane", F.col("user_id") % 16), ["about", "lane"], ["user_id"], files.shared_path(spark, "ranked"))
+    return ranked.select("user_id", (F.col("rank") * 5).cast("int").alias("delay"))
 
 
 def entity_decode(spark: SparkSession, folder: str) -> DataFrame:
