@@ -563,7 +563,8 @@ def _heads(docs: DataFrame, meetings: DataFrame, roots: DataFrame, candidates: D
     def those(pairs: DataFrame, exact: bool) -> DataFrame:
         """The pairs that are similar, or that bitmaps don't rule out."""
         asked = pairs.select(F.col("a").alias("c"), "band").unionByName(pairs.select(F.col("b").alias("c"), "band")).distinct()
-        texts = docs.select("key", "text").join(sets.join(asked, ["c", "band"]), "key").select("c", "band", "text")
+        chosen = common.stored(sets.join(asked, ["c", "band"]), "jaccard-asked")
+        texts = docs.select("key", "text").join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, "key").select("c", "band", "text")
         rows = texts.mapInArrow(held(exact), "c long, band int, b long, payload binary")
         rows = common.stored(rows.dropDuplicates(["c", "band"]), "jaccard-held")  # rows may repeat id and text
         left = rows.select(F.col("c").alias("a"), "band", F.col("b").alias("m"), F.col("payload").alias("x"))
