@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, fingerprints, html_text, jaccard, knn, language, mixing, packing, toxicity, urls
+from . import binary, centroids, fingerprints, html_text, jaccard, knn, language, mixing, packing, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_language_id": language.query,
     "op9_fingerprints": fingerprints.query,
     "op10_ngram_jaccard_join": jaccard.query,
+    "op11_centroids": centroids.query,
 }
 ORACLE_SQL = {
     "op10_ngram_jaccard_join": jaccard.ORACLE,
+    "op11_centroids": centroids.ORACLE,
     "op4_url_filters": urls.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_topk_search": knn.ORACLE,
