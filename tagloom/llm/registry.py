@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, centroids, fingerprints, html_text, jaccard, knn, language, mixing, packing, toxicity, urls
+from . import binary, centroids, fingerprints, html_text, jaccard, knn, language, lines, mixing, packing, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_fingerprints": fingerprints.query,
     "op10_ngram_jaccard_join": jaccard.query,
     "op11_centroids": centroids.query,
+    "op12_line_dedup": lines.query,
 }
 ORACLE_SQL = {
     "op10_ngram_jaccard_join": jaccard.ORACLE,
     "op11_centroids": centroids.ORACLE,
+    "op12_line_dedup": lines.ORACLE,
     "op4_url_filters": urls.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_topk_search": knn.ORACLE,
