@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, centroids, fingerprints, html_text, jaccard, knn, language, lines, mixing, packing, toxicity, urls
+from . import binary, centroids, fingerprints, html_text, jaccard, knn, language, lines, mixing, packing, runs, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard.query,
     "op11_centroids": centroids.query,
     "op12_line_dedup": lines.query,
+    "op13_periodic_runs": runs.query,
 }
 ORACLE_SQL = {
     "op10_ngram_jaccard_join": jaccard.ORACLE,
