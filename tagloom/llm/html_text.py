@@ -4,7 +4,8 @@ The standard library's parser reports tags and text one after another; no tree i
 block-level tag ends a line, so a line is the text of one block. A line's ratio is its characters
 of text (those of links left out) to its tags. Structure weighs it: lines of elements and roles that
 are furniture by their meaning (menus, footers, asides, forms, ...) weigh nothing, those of elements
-whose class or id speaks of adverts, notices or comments weigh WEAK. Weighed ratios are smoothed by a
+whose class or id speaks of comments, adverts or notices, or outside articles of menus, headers and
+footers, weigh WEAK. Weighed ratios are smoothed by a
 Gaussian over neighbouring lines and compared with a threshold, a fraction of their standard
 deviation.
 
@@ -16,7 +17,8 @@ first division that does to the last. Text of a content region stays even where
 (headings, one-word paragraphs); its links and weak lines stay if their runs are content.
 
 Null and empty pages give the empty text, as do pages without text outside their furniture. Broken
-markup is read as far as the parser gets. Repeated rows stay; an empty table gives no rows.
+markup is read as far as the parser gets. Repeated rows and rows without an id stay; an empty table
+gives no rows. Other columns are kept, but the html and a column named `text`, which the result replaces.
 """
 
 from __future__ import annotations
@@ -49,14 +51,17 @@ REGIONS = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words of class and id attributes that make a line weak, and those that take that back.
+COMMENT_WORDS = frozenset("comment comments commentlist commenter reply replies respond disqus".split())
 WEAK_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion "
-    "comment comments reply replies disqus notice notices alert cookie cookies consent newsletter subscribe popup modal sidebar widget breadcrumb breadcrumbs".split()
+    "notice notices alert cookie cookies consent newsletter subscribe popup modal sidebar widget breadcrumb breadcrumbs".split()
 )
+#: Words of furniture that an article may have for parts of its own.
+PAGE_WORDS = frozenset("menu menus nav navbar navigation header footer masthead topbar toolbar copyright social share sharing related login signup search".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 #: What a weak line's ratio counts.
 WEAK = 0.1
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 #: Elements that an opening block closes if they are still open (their end tags may be left out).
 CLOSED_BY_BLOCK = frozenset(["p"])
@@ -75,11 +80,13 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool
     return False
 
 
-def is_weak(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def is_weak(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
     if tag in ("html", "body", "main", "article"):
         return False
-    words = {w for name, value in attrs if value and name in ("class", "id") for w in _WORDS.findall(value.lower())}
-    return not words.isdisjoint(WEAK_WORDS) and words.isdisjoint(CONTENT_WORDS)
+    words = {w.lower() for name, value in attrs if value and name in ("class", "id") for w in _WORDS.findall(value)}
+    if not words.isdisjoint(COMMENT_WORDS):
+        return True
+    return words.isdisjoint(CONTENT_WORDS) and not (words.isdisjoint(WEAK_WORDS) and (in_article or words.isdisjoint(PAGE_WORDS)))
 
 
 class Lines(HTMLParser):
@@ -125,9 +132,10 @@ class Lines(HTMLParser):
                 self.text.append(" ")
             return
         region, weight = self._state()
-        if weight and is_furniture(tag, attrs, any(t in REGIONS for t, _, _ in self.stack)):
+        in_article = any(t in REGIONS for t, _, _ in self.stack)
+        if weight and is_furniture(tag, attrs, in_article):
             weight = 0.0
-        elif attrs and is_weak(tag, attrs):
+        elif attrs and is_weak(tag, attrs, in_article):
             weight = min(weight, WEAK)
         if tag in REGIONS or tag in ("div", "section", "td"):
             self.regions += 1
