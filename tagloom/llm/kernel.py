@@ -16,16 +16,6 @@ U64 = np.uint64
 #: Odd multipliers of the hashes; any would do, but all runs must use the same.
 BASE = U64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-#: Powers of BASE are kept up to this length of a word; longer words repeat them with another factor.
-POWERS = 1 << 12
-
-
-def _powers() -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(POWERS, BASE), dtype=U64)
-
-
-_POWER = _powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,7 +71,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes: each byte is mixed with its place before the sum, so no regular pattern of bytes cancels out."""
     if not len(starts):
         return np.zeros(0, U64)
     lengths = ends - starts
@@ -89,9 +79,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         # position of every byte in its word, for the bytes that are in words
         at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         where = at + np.repeat(starts, lengths)
-        value = (raw[where].astype(U64) + U64(1)) * _POWER[at & (POWERS - 1)]
-        if len(lengths) and int(lengths.max()) > POWERS:
-            value *= (at >> 12).astype(U64) * U64(2) + U64(1)
+        value = mix((at.astype(U64) << U64(8) | raw[where]) + BASE)
         sums = np.add.reduceat(value, np.cumsum(lengths) - lengths)
         return mix(sums ^ (lengths.astype(U64) * MIX_B))
 

@@ -5,9 +5,10 @@ import re
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tagloom.llm import components, fingerprints, jaccard
+from tagloom.llm import components, fingerprints, jaccard, kernel
 
 SCHEMA = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -190,3 +191,19 @@ def test_fingerprint_cases(spark):
 def test_fingerprints_run_no_python(spark, sf_dir):
     plan = fingerprints.query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("bits", [6, 10, 11, 12])
+def test_regular_words_have_different_hashes(bits):
+    """Words of two letters by the parity of the ones in each place's number have equal sums under any power of a base."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1 << bits))
+    words = [word, word.translate(str.maketrans("ab", "ba")), word[::-1], word + word, word + word[::-1], "a" * (1 << bits), "b" * (1 << bits)]
+    raw, offsets = kernel.bytes_of(pa.array([" ".join(dict.fromkeys(words))]))
+    assert len(np.unique(kernel.word_hashes(raw, *kernel.words_of(raw, offsets)[:2]))) == len(set(words))
+
+
+def test_documents_of_regular_words_are_not_linked(spark):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    found = jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 2), (3, 1)]
