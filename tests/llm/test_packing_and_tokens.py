@@ -245,3 +245,12 @@ def test_dictionary_is_shared_and_hashed(spark, sf_dir, tmp_path):
     [stored] = spark.read.parquet(f"{path}/dictionary").collect()
     assert stored["hash"] == binary.dictionary_hash(bytes(stored["data"])) and len(stored["data"]) > 0
     assert {r[0] for r in spark.read.parquet(f"{path}/blocks").select("dictionary_hash").collect()} == {stored["hash"]}
+
+
+def test_dictionary_of_few_short_among_many_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(binary, "SAMPLE_CHARS", 2000)
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=60))) for i in range(100)] + [(1000 + i, "long text " * 300) for i in range(6000)]
+    sample = binary._sample(spark.createDataFrame(rows, "doc_id long, text string"), BYTES, 0, 2)
+    assert len(sample) == 100 and len(binary.train(sample)) > 1000
