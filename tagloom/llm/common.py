@@ -84,8 +84,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def fold(key: Column, modulus: int) -> Column:
-    """crc32 of the key as text, modulo `modulus`."""
-    return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
+    """crc32 of the key as text, modulo `modulus`; a null key's is that of the empty text (0)."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
 #: Bits of the hash by which samples are cut, and of each of the two histograms that find where.

@@ -10,7 +10,8 @@ largest language is the prediction, its proportion the score.
 
 Learning reads a bounded sample: PER_LANGUAGE whole documents of each language, those with the least
 hashes. Texts that are null or hold no letter get `und` and score 0, as do all texts when nothing
-could be learned. Repeated rows get the same result each; an empty table gives no rows.
+could be learned. Repeated rows get the same result each; an empty table gives no rows. A null id's fold is
+that of the empty text, 0: such rows are learned from. Columns of the table named like new ones are replaced.
 """
 
 from __future__ import annotations

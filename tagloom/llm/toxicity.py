@@ -6,12 +6,14 @@ other labelled documents; a logistic regression weighs them. N-grams fall into B
 all of which take part.
 
 The classifier is fitted on a bounded sample: PER_CLASS whole labelled documents of each class,
-those with the least hashes, of CLASS_CHARS characters together at most; its threshold is then moved to
+those with the least hashes, of CLASS_CHARS characters together at most (a document with which they would be more is
+skipped; if all are longer than that, the shortest one alone is learned from); its threshold is then moved to
 the classes' true shares. Scoring reads whole texts. Null and empty texts have no n-gram and get the
 score of none. Documents without a label are scored but never learned from; a document labelled
 twice counts as toxic if any label says so, and of rows that repeat an id one text is learned from.
 With one class or none to learn from, every score is that class's smoothed share. Repeated rows get
-the same score each; an empty table gives no rows.
+the same score each; an empty table gives no rows. Null ids are never learned from and count as held out (their
+fold is that of the empty text, 0). Columns of the table named like new ones are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common, kernel, tokens
 
@@ -175,6 +176,13 @@ def fitted(columns: np.ndarray, edges: np.ndarray, y: np.ndarray, shares: dict[i
     return Model(table, float(w[-1] + np.log(shares[1] / shares[0])))
 
 
+def _fitting(rows: list, most: int = CLASS_CHARS) -> list:
+    """Ids of (class, characters, id) that fit into `most` characters a class, in the order given; the shortest of a class of which none fits."""
+    used: dict = {}
+    chosen = [r[2] for r in rows if (n := used.get(r[0], 0) + r[1]) <= most and not used.update({r[0]: n})]
+    return chosen + [min(own)[1] for c in {r[0] for r in rows} - used.keys() if (own := [(r[1], r[2]) for r in rows if r[0] == c])]
+
+
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int = PER_CLASS) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic. learn_from: a condition on doc_id."""
     spark = docs.sparkSession
@@ -189,8 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
     chosen = common.least_hashed(known, "toxic", "doc_id", per_class)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about per_class rows a class
     sample = common.stored(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
-    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the sample alone
-    some = sample.select("doc_id", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(upto).alias("_upto")).filter(F.col("_upto") <= CLASS_CHARS).select("doc_id")
+    some = spark.createDataFrame([(d,) for d in _fitting(sample.select("toxic", F.coalesce(F.length("text"), F.lit(0)), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect())], sample.select("doc_id").schema)  # per_class rows a class
     design = common.stored(sample.join(F.broadcast(some), "doc_id").select("toxic", "text").mapInArrow(_rows, "toxic int, columns binary"), "toxicity-design")
     # one partition after another: the driver's JVM never holds them all
     held, lengths, toxic = bytearray(), [0], []

@@ -139,6 +139,28 @@ def test_main_text():
         assert html_text.extract(page) == ""
 
 
+STORY = "<p>The main story runs over several sentences, as articles do, and says what there is to say.</p><p>It goes on in a second paragraph.</p>"
+TOLD = "The main story runs over several sentences, as articles do, and says what there is to say. It goes on in a second paragraph."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class=menu>Home About Contact</div><div id=main>{STORY}</div>",
+        f"<div class=nav>Home About Contact</div><div>{STORY}</div><div class=footer>All rights reserved by us</div>",
+        f"<div class=site-header>The Daily Site</div>{STORY}",
+        f"<div class=header>The Daily Site</div><div class=post-body>{STORY}</div><div class='siteFooter'>Imprint</div>",
+        f"<article>{STORY}<div class=comment-body><p>I liked this story, and I want to say so at length.</p></div></article>",
+        f"<article>{STORY}</article><ul class=comments><li class=comment-content>Me too, I liked it very much indeed.</li></ul>",
+        f"<article><div class=article-header>{STORY}</div></article>",
+        f"<div class=x1><ul>{'<li><a href=1>Some page</a>' * 6}</ul></div><div class=x2>{STORY * 2}</div><div class=x3>{'<div><a href=3>Other</a></div>' * 5}</div>",
+        f"<DIV CLASS='navbar main-nav'><ul><li>One<li>Two</ul></DIV><main>{STORY}</main><div id=copyright>c</div>",
+    ],
+)
+def test_furniture_by_class(page):
+    assert html_text.extract(page) == " ".join([TOLD] * (page.count(STORY)))
+
+
 def test_extract_cases(spark, sf_dir):
     pages = spark.createDataFrame([(1, None, "own"), (2, "", "own"), (3, PAGE, "own"), (3, PAGE, "own")], "page_id long, html string, text string")
     found = html_text.extract_text(pages).collect()

@@ -85,3 +85,32 @@ def test_mixture_equals_plain_version():
         [k], [share] = language.mixtures(model, pa.array([text]))
         same += k == pi.argmax() and abs(share - pi.max()) < 1e-3
     assert same >= 54  # sets grow step by step, which may miss the best of these texts in random languages
+
+
+def test_one_long_text_leaves_the_class_its_sample(spark, monkeypatch):
+    """A document that alone is longer than a class's characters is skipped, whichever class it is in and whatever its hash."""
+    rng = np.random.default_rng(3)
+    words = {0: ["plain", "kind", "calm", "water"], 1: ["vile", "scum", "filth", "stupid"]}
+    rows = [(i, " ".join(rng.choice(words[i % 2], 20).tolist()), i % 2) for i in range(200)]
+    monkeypatch.setattr(toxicity, "CLASS_CHARS", 20_000)
+    for long in (0, 1, 2, 3):
+        own = [(i, t + " x" * 11_000 if i == long else t, c) for i, t, c in rows]
+        docs = spark.createDataFrame([(i, t) for i, t, _ in own], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, c) for i, _, c in own], "doc_id long, toxic int")
+        found = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
+        assert all(found[i]["predicted"] == c for i, _, c in own if i != long)
+
+
+def test_samples_of_classes():
+    rows = [(0, 50, "a"), (0, 200, "b"), (0, 40, "c"), (1, 300, "d"), (1, 150, "e"), (0, 20, "f")]
+    assert toxicity._fitting(rows, 100) == ["a", "c", "e"]
+    assert toxicity._fitting(rows, 1000) == ["a", "b", "c", "d", "e", "f"]
+    assert toxicity._fitting([], 5) == []
+
+
+def test_null_ids_are_held_out_and_scored(spark):
+    docs = spark.createDataFrame([(None, "good words"), (1, "bad words"), (2, "good words"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    found = toxicity.classify(docs, labels).collect()
+    assert len(found) == 4 and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in found)
+    assert all(r["held_out"] for r in found if r["doc_id"] is None)
