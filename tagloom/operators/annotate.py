@@ -1,7 +1,8 @@
-"""Phrases, numbers and amounts in texts, found by joins: tokens and n-grams against a lexicon.
+"""Phrases, numbers and amounts in texts, found by joins of tokens with a lexicon.
 
-Tokens are rows, so long texts and large lexicons meet in Spark's joins; a document's matches come
-together again only to settle overlaps, from left to right.
+Tokens are rows and a lexicon is a prefix tree in a table, walked level by level, so long texts and large lexicons meet in Spark's
+joins and nothing is built for words that the lexicon doesn't have. A document's matches come together again only to settle
+overlaps, from left to right.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import FRACTIONS, WORDS, normalize_name, number_value
+from ..sources import files
 
 _TOKEN = r"(\d+/\d+|\d+[½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅐⅛⅜⅝⅞]|[\p{L}\p{N}_'’-]+\.?|[^\p{L}\p{N}_\s])"
 
@@ -27,26 +30,62 @@ def lexicon(names: DataFrame, name: str = "name", tag: str = "tag") -> DataFrame
     return names.select(phrase.alias("phrase"), F.size(F.split(phrase, "-")).alias("words"), F.col(tag).alias("tag")).filter("phrase <> ''").distinct()
 
 
-def ngrams(found: DataFrame, key: str, longest: int) -> DataFrame:
-    """key, pos, words, phrase of every run of up to `longest` tokens that are words (a hyphen joins their normal forms)."""
-    named = found.withColumn("normal", normalize_name(F.col("token")))
-    gathered = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "normal"))).alias("t"))  # one document's tokens
-    runs = F.transform(
-        F.sequence(F.lit(1), F.lit(longest)),
-        lambda n: F.transform(
-            F.filter(F.transform(F.col("t"), lambda x: x["pos"]), lambda p: p + n <= F.size("t")),
-            lambda p: F.struct(p.alias("pos"), n.alias("words"), F.transform(F.slice("t", p + 1, n), lambda x: x["normal"]).alias("run")),
-        ),
-    )
-    each = gathered.select(key, F.explode(F.flatten(runs)).alias("r"))
-    return each.filter(~F.array_contains("r.run", "")).select(key, "r.pos", "r.words", F.array_join("r.run", "-").alias("phrase"))
-
-
-def phrases(found: DataFrame, key: str, words: DataFrame, longest: int | None = None) -> DataFrame:
-    """key, pos, words, tags: the longest phrase of the lexicon at each place that no earlier phrase covers."""
-    if longest is None:
-        longest = words.agg(F.max("words")).first()[0] or 1  # one number: words of the longest phrase
-    hits = ngrams(found, key, longest).join(words.select("phrase", "tag"), "phrase").groupBy(key, "pos", "words").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+def prefix_tree(words: DataFrame) -> DataFrame:
+    """node, word, child, tags: a lexicon as a tree. Nodes are the words so far (the root: the empty text); tags are those of the phrase that a child is, if it is one."""
+    parts = F.split("phrase", "-")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i - 1), "-").alias("node"), F.element_at(parts, i).alias("word"), F.array_join(F.slice(parts, 1, i), "-").alias("child")))
+    edges = words.select(F.explode(steps).alias("e")).select("e.*").distinct()
+    ends = words.groupBy("phrase").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return edges.join(ends, edges["child"] == ends["phrase"], "left").select("node", "word", "child", "tags")
+
+
+def stream(found: DataFrame, key: str) -> DataFrame:
+    """key, w, word, next, first, last, pos, end: the words of tokens in order, hyphens apart.
+
+    next: the word behind, points and other signs passed over; if a parenthesis opens right behind a word, the one behind
+    its end. first and last: whether a word begins and ends its token; end: the token behind it, a point taken in.
+    """
+    up, down = Window.partitionBy(key).orderBy("pos"), Window.partitionBy(key).orderBy(F.desc("pos"))
+    normal = normalize_name(F.col("token"))
+    named = found.select(key, "pos", "token", F.when(normal == "", F.array().cast("array<string>")).otherwise(F.split(normal, "-")).alias("_words"))
+    counted = named.withColumn("_before", F.coalesce(F.sum(F.size("_words")).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    closed = F.last(F.when(F.col("token") == ")", F.col("_before")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    placed = counted.withColumn("_closed", closed).withColumn("_behind", F.lag("token").over(down))
+    size = F.size("_words")
+    jump = F.when((F.col("_behind") == "(") & F.col("_closed").isNotNull(), F.col("_closed")).otherwise(F.col("_before") + size)
+    end = F.col("pos") + F.when(F.col("_behind") == ".", 2).otherwise(1)
+    each = placed.select(key, "pos", end.alias("end"), "_before", size.alias("_size"), jump.alias("_jump"), F.posexplode("_words").alias("_i", "word"))
+    last = F.col("_i") == F.col("_size") - 1
+    w = F.col("_before") + F.col("_i")
+    return each.select(key, w.alias("w"), "word", F.when(last, F.col("_jump")).otherwise(w + 1).alias("next"), (F.col("_i") == 0).alias("first"), last.alias("last"), "pos", "end")
+
+
+def walk(starts: DataFrame, read: DataFrame, key: str, tree: DataFrame, depth: int) -> DataFrame:
+    """starts (key, node, at, anything else) with found (end, phrase, tags): the longest phrase that the tree has below each start's node along the words from `at` on.
+
+    One join with the words and one with the tree a level. The words of all levels are the same exchange, which Spark reuses.
+    """
+    words = read.join(tree.select("word").distinct(), "word", "left_semi").select(F.col(key).alias("_key"), F.col("w").alias("_w"), F.col("word").alias("_word"), F.col("next").alias("_next"), F.col("last").alias("_last"), F.col("end").alias("_end"))
+    edges = tree.select(F.col("node").alias("_node"), F.col("word").alias("_edge"), F.col("child").alias("_child"), F.col("tags").alias("_tags"))
+    kept = [c for c in starts.columns if c not in ("node", "at")]
+    state = starts.withColumn("found", F.lit(None).cast("struct<end:int,phrase:string,tags:array<string>>"))
+    for _ in range(depth):
+        step = state.join(words, (F.col(key) == F.col("_key")) & (F.col("at") == F.col("_w")), "left").join(edges, (F.col("node") == F.col("_node")) & (F.col("_word") == F.col("_edge")), "left")
+        here = F.struct(F.col("_end").cast("int").alias("end"), F.col("_child").alias("phrase"), F.col("_tags").alias("tags"))
+        state = step.select(*kept, F.col("_child").alias("node"), F.when(F.col("_child").isNotNull(), F.col("_next")).alias("at"), F.when(F.col("_last") & F.col("_tags").isNotNull(), here).otherwise(F.col("found")).alias("found"))
+    return state.filter("found IS NOT NULL").select(*kept, "found")
+
+
+def _depth(words: DataFrame) -> int:
+    return words.agg(F.max("words")).first()[0] or 1  # one number: words of the longest phrase
+
+
+def phrases(found: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """key, pos, words, tags: the longest phrase of the lexicon at each place that no earlier phrase covers; words: the tokens that it takes."""
+    tree, read = prefix_tree(words), stream(found, key)
+    roots = tree.filter("node = ''").select("word").distinct()
+    starts = read.filter("first").join(roots, "word", "left_semi").select(key, "pos", F.lit("").alias("node"), F.col("w").alias("at"))
+    hits = walk(starts, read, key, tree, _depth(words)).select(key, "pos", (F.col("found.end") - F.col("pos")).alias("words"), "found.tags")
     by_place = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("words")).alias("less"), "tags"))).alias("hits"))
     start = F.struct(F.array().cast("array<struct<pos:int,words:int,tags:array<string>>>").alias("kept"), F.lit(0).alias("free"))
     settled = F.aggregate(
@@ -61,6 +100,47 @@ def phrases(found: DataFrame, key: str, words: DataFrame, longest: int | None =
     return by_place.select(key, F.explode(settled).alias("m")).select(key, "m.pos", "m.words", "m.tags")
 
 
+def phrase_lists(found: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """key, list, nth, pos, words, phrase, tags: lists of phrases such as `chopped almonds, pecans or walnuts`.
+
+    A list begins with a phrase that no phrase or list before it covers. Behind a comma, `and` or `or` the next item may leave
+    out words that the first one begins with: the item that shares most of them is meant, of these the longest. `and` and `or`
+    lead to the last item. Phrases that stand alone are lists of one. Rounds are as many as the longest list has items.
+    """
+    tree, read, depth = files.stored(prefix_tree(words), "lexicon-tree"), files.stored(stream(found, key), "word-stream"), _depth(words)
+    signs = found.filter(F.lower("token").isin(",", "and", "or")).select(key, F.col("pos").alias("_at"), F.lower("token").alias("_sign"))
+    firsts = read.filter("first").select(key, F.col("pos").alias("_pos"), "w")
+    roots = tree.filter("node = ''").select("word").distinct()
+    starts = read.filter("first").join(roots, "word", "left_semi").select(key, "pos", F.lit("").alias("node"), F.col("w").alias("at"))
+    heads = walk(starts, read, key, tree, depth)
+    items = files.stored(heads.select(key, F.col("pos").alias("list"), F.lit(1).alias("nth"), "pos", "found"), "phrase-lists")
+    parted = F.split("found.phrase", "-")
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(parted) - 1), lambda i: F.struct(i.alias("shared"), F.array_join(F.slice(parted, 1, i), "-").alias("node")))
+    paths = items.select(key, "list", F.explode(prefixes).alias("p")).select(key, "list", "p.shared", "p.node")
+    parts, last = [items], items.select(key, "list", F.col("found.end").alias("_end"))
+    nth = 1
+    while True:
+        nth += 1
+        # a comma may have `and` or `or` behind it
+        one = last.join(signs, (last[key] == signs[key]) & (F.col("_end") == F.col("_at"))).select(last[key], "list", "_sign", (F.col("_end") + 1).alias("_pos"))
+        two = signs.filter("_sign <> ','").select(F.col(key).alias("_k"), F.col("_at").alias("_p"), F.lit(True).alias("_two"))
+        ahead = one.join(two, (one[key] == F.col("_k")) & (F.col("_pos") == F.col("_p")) & (F.col("_sign") == ","), "left")
+        ahead = ahead.select(key, "list", ((F.col("_sign") == ",") & F.col("_two").isNull()).alias("_more"), (F.col("_pos") + F.coalesce(F.col("_two").cast("int"), F.lit(0))).alias("_pos"))
+        begun = ahead.join(firsts, [key, "_pos"]).join(paths, [key, "list"]).select(key, "list", F.col("_pos").alias("pos"), "_more", "shared", "node", F.col("w").alias("at"))
+        best = walk(begun, read, key, tree, depth).groupBy(key, "list").agg(F.max(F.struct("shared", "found.end", "pos", "_more", "found")).alias("b"))
+        new = files.stored(best.select(key, "list", F.lit(nth).alias("nth"), "b.pos", "b.found", "b._more"), "phrase-lists")
+        if new.isEmpty():
+            break
+        parts.append(new.drop("_more"))
+        last = new.filter("_more").select(key, "list", F.col("found.end").alias("_end"))
+    whole = reduce(DataFrame.unionByName, parts)
+    # of lists that overlap the earlier one stays
+    spans = whole.groupBy(key, "list").agg(F.max("found.end").alias("_end")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("list", "_end"))).alias("s"))
+    kept = F.aggregate("s", F.struct(F.array().cast("array<int>").alias("kept"), F.lit(0).alias("free")), lambda acc, x: F.when(x["list"] >= acc["free"], F.struct(F.concat(acc["kept"], F.array(x["list"])).alias("kept"), x["_end"].alias("free"))).otherwise(acc), lambda acc: acc["kept"])
+    chosen = spans.select(key, F.explode(kept).alias("list"))
+    return whole.join(chosen, [key, "list"]).select(key, "list", "nth", "pos", (F.col("found.end") - F.col("pos")).alias("words"), "found.phrase", "found.tags")
+
+
 def numbers(found: DataFrame, key: str) -> DataFrame:
     """key, pos, words, value: whole numbers, fractions, glyphs, number words, and a whole number with a fraction behind it."""
     glyphs = "".join(FRACTIONS) + "⅐"

@@ -57,24 +57,22 @@ def concept_ancestry(spark: SparkSession, folder: str) -> DataFrame:
     r = roles.relations(spark, folder)
     low = roles.table(spark, folder, "supplier").agg(F.min("s_name")).first()[0]  # one name
     up = r.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-    found = graph.paths(up, _nodes(spark, f"supplier:{low}"))
-    return found.filter(F.startswith("node", F.lit("region:"))).select(F.array_join("path", ">").alias("path"))
+    region = F.startswith("node", F.lit("region:"))
+    return graph.shortest(up, _nodes(spark, f"supplier:{low}"), region).filter(region).select(F.array_join("path", ">").alias("path"))
 
 
 def concept_cycles(spark: SparkSession, folder: str) -> DataFrame:
     """GRF-11, GRF-12: nodes on a cycle, after links from nations back to two regions were added."""
     nation, region = roles.table(spark, folder, "nation"), roles.table(spark, folder, "region")
     back = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).filter("r_regionkey < 2").select(F.concat(F.lit("nation:"), "n_name").alias("parent"), F.concat(F.lit("region:"), "r_name").alias("child"))
-    upper = roles.relations(spark, folder).filter(F.startswith("parent", F.lit("region:")))
-    return graph.cycles(upper.unionByName(back))
+    return graph.cycles(roles.relations(spark, folder).unionByName(back))
 
 
 def concept_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """GRF-22: regions and nations as an indented tree, with links from nations back to two regions."""
+    """GRF-22: all concepts as an indented tree, with links from nations back to two regions."""
     nation, region = roles.table(spark, folder, "nation"), roles.table(spark, folder, "region")
     back = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).filter("r_regionkey < 2").select(F.concat(F.lit("nation:"), "n_name").alias("parent"), F.concat(F.lit("region:"), "r_name").alias("child"))
-    upper = roles.relations(spark, folder).filter(F.startswith("parent", F.lit("region:")))
-    return graph.tree(upper.unionByName(back), region.select(F.concat(F.lit("region:"), "r_name").alias("node")))
+    return graph.tree(roles.relations(spark, folder).unionByName(back), region.select(F.concat(F.lit("region:"), "r_name").alias("node")))
 
 
 def best_first_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,10 +120,10 @@ ORACLE_SQL = {
   UNION ALL SELECT child, path || '/' || child, depth + 1 FROM paths JOIN relations ON node = parent)""", query="SELECT node, path, depth FROM paths"),
     "concept_ancestry": _R("relations", query=f"""SELECT a.child || '>' || a.parent || '>' || b.parent AS path FROM relations a JOIN relations b ON a.parent = b.child WHERE a.child = {_FIRST_SUPPLIER}"""),
     "concept_cycles": """SELECT 'nation:' || n_name AS node FROM nation WHERE n_regionkey < 2 UNION SELECT 'region:' || r_name FROM region JOIN nation ON r_regionkey = n_regionkey WHERE r_regionkey < 2""",
-    "concept_tree": """WITH RECURSIVE rel AS (SELECT 'region:' || r_name AS parent, 'nation:' || n_name AS child FROM nation JOIN region ON n_regionkey = r_regionkey
+    "concept_tree": _R("relations", recursive=True, then="""rel AS (SELECT parent, child FROM relations
   UNION ALL SELECT 'nation:' || n_name, 'region:' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 2),
-t AS (SELECT 'region:' || r_name AS node, ['region:' || r_name] AS path, false AS loop FROM region UNION ALL SELECT child, list_append(path, child), list_contains(path, child) FROM t JOIN rel ON node = parent WHERE NOT loop)
-SELECT array_to_string(path, '/') AS place, repeat('    ', len(path) - 1) || CASE WHEN loop THEN '!!Loop back to ' ELSE '' END || node AS line FROM t""",
+t AS (SELECT 'region:' || r_name AS node, ['region:' || r_name] AS path, false AS loop FROM region UNION ALL SELECT child, list_append(path, child), list_contains(path, child) FROM t JOIN rel ON node = parent WHERE NOT loop)""",
+        query="SELECT array_to_string(path, '/') AS place, repeat('    ', len(path) - 1) || CASE WHEN loop THEN '!!Loop back to ' ELSE '' END || node AS line FROM t"),
     "best_first_search": _R("relations", recursive=True, then="""found AS (SELECT DISTINCT parent AS node, 1.0::DOUBLE AS value FROM relations WHERE parent LIKE 'region:%'
   UNION ALL SELECT child, value * (0.9 - 0.1 * (length(child) % 4)) FROM found JOIN relations ON node = parent WHERE value * (0.9 - 0.1 * (length(child) % 4)) >= 0.6)""", query="SELECT node, round(value, 6) AS value FROM found"),
     "best_members": _R("taggings", then="""own AS (SELECT * FROM taggings WHERE user_id = 7), w AS (SELECT tag, CAST(count(*) AS DOUBLE) AS value FROM own GROUP BY tag),

@@ -30,19 +30,24 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
     return extract.links(pages).groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.lower("link").rlike("rss|feedburner|atom")).alias("feeds"))
 
 
-def _lexicon(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of part names, and the whole names of large parts."""
+def phrase_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """LEX-1..3: the longest phrases of a lexicon of all part names and their words, in each name and its words turned round."""
     part = roles.table(spark, folder, "part")
-    words = part.select(F.explode(F.split("p_name", " ")).alias("name")).distinct().select("name", F.col("name").alias("tag"))
-    whole = part.filter("p_size >= 45").select(F.col("p_name").alias("name")).distinct().select("name", F.col("name").alias("tag"))
-    return annotate.lexicon(words.unionByName(whole).distinct())
+    words = part.select(F.explode(F.split("p_name", " ")).alias("name")).union(part.select("p_name")).distinct().withColumn("tag", F.col("name"))
+    turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
+    found = annotate.tokens(part, "p_partkey", F.concat(F.lit("a "), "p_name", F.lit(", "), turned))
+    return annotate.phrases(found, "p_partkey", annotate.lexicon(words)).select("p_partkey", "pos", "words", F.array_join("tags", ",").alias("tags"))
 
 
-def phrase_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """LEX-1..3, TOK-1, TOK-2, PRS-8: the longest phrases of the lexicon in texts made of part names."""
-    part = roles.table(spark, folder, "part")
-    found = annotate.tokens(part, "p_partkey", F.concat(F.lit("a "), "p_name", F.lit(", and more")))
-    return annotate.phrases(found, "p_partkey", _lexicon(spark, folder)).select("p_partkey", "pos", "words", F.array_join("tags", ",").alias("tags"))
+def phrase_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """LEX-4: lists of part names: each part's own, the next one's noun, which shares the first one's adjective, and a whole third."""
+    part = roles.table(spark, folder, "part").select("p_partkey", "p_name")
+    names = part.select(F.col("p_name").alias("name"), F.col("p_name").alias("tag")).distinct()
+    second = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.element_at(F.split("p_name", " "), -1).alias("noun"))
+    third = part.select((F.col("p_partkey") - 2).alias("p_partkey"), F.col("p_name").alias("other"))
+    text = F.concat("p_name", F.lit(", "), "noun", F.lit(" and "), "other")
+    found = annotate.phrase_lists(annotate.tokens(part.join(second, "p_partkey").join(third, "p_partkey"), "p_partkey", text), "p_partkey", annotate.lexicon(names))
+    return found.select("p_partkey", "list", "nth", "pos", "words", F.array_join("tags", ",").alias("tags"))
 
 
 def amounts(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,12 +88,20 @@ def settings_merge(spark: SparkSession, folder: str) -> DataFrame:
     return files.import_settings(part.filter("p_partkey % 2 = 0"), path, "p_partkey")
 
 
-QUERIES = {f.__name__: f for f in (page_values, page_attributes, page_links, phrase_matches, amounts, feed_ingest, feed_ingest_stream, settings_merge)}
+QUERIES = {f.__name__: f for f in (page_values, page_attributes, page_links, phrase_matches, phrase_lists, amounts, feed_ingest, feed_ingest_stream, settings_merge)}
 
 ORACLE_SQL = {
-    "phrase_matches": """WITH whole AS (SELECT DISTINCT p_name FROM part WHERE p_size >= 45), w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS s, p_name IN (SELECT p_name FROM whole) AS one FROM part)
-SELECT p_partkey, CAST(1 AS INTEGER) AS pos, CAST(len(s) AS INTEGER) AS words, p_name AS tags FROM w WHERE one
-UNION ALL SELECT p_partkey, CAST(i AS INTEGER), 1, s[i] FROM w, (SELECT unnest(range(1, 9)) AS i) WHERE NOT one AND i <= len(s)""",
+    "phrase_matches": """WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS s, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS turned FROM part),
+k AS (SELECT *, turned IN (SELECT p_name FROM part) AS one FROM w)
+SELECT p_partkey, CAST(1 AS INTEGER) AS pos, CAST(len(s) AS INTEGER) AS words, p_name AS tags FROM w
+UNION ALL SELECT p_partkey, CAST(2 + len(s) AS INTEGER), CAST(len(s) AS INTEGER), turned FROM k WHERE one
+UNION ALL SELECT p_partkey, CAST(1 + len(s) + i AS INTEGER), 1, s[len(s) + 1 - i] FROM k, (SELECT unnest(range(1, 9)) AS i) WHERE NOT one AND i <= len(s)""",
+    "phrase_lists": """WITH j AS (SELECT a.p_partkey, a.p_name AS one, string_split(a.p_name, ' ')[1] || ' ' || string_split(b.p_name, ' ')[2] AS two, c.p_name AS three
+  FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 JOIN part c ON c.p_partkey = a.p_partkey + 2),
+i AS (SELECT *, two IN (SELECT p_name FROM part) AS shared FROM j)
+SELECT p_partkey, 0 AS list, 1 AS nth, 0 AS pos, 2 AS words, one AS tags FROM i
+UNION ALL SELECT p_partkey, 0, 2, 3, 1, two FROM i WHERE shared
+UNION ALL SELECT p_partkey, CASE WHEN shared THEN 0 ELSE 5 END, CASE WHEN shared THEN 3 ELSE 1 END, 5, 2, three FROM i""",
     "amounts": """SELECT p_partkey, 0 AS pos, CASE p_partkey % 4 WHEN 0 THEN 3 ELSE 3 END AS words, CASE p_partkey % 4 WHEN 0 THEN p_size + 0.5 WHEN 1 THEN 2.0 ELSE CAST(p_size AS DOUBLE) END AS value,
   CASE p_partkey % 4 WHEN 0 THEN 'cup' WHEN 1 THEN 'ounce' ELSE 'head' END AS unit FROM part WHERE p_partkey % 4 < 3""",
     "feed_ingest": roles.with_roles("feed_entries", query=f"""SELECT feed_id, max(CASE WHEN guid % 3 = 0 OR published_at > TIMESTAMP '{NOW}' THEN TIMESTAMP '{NOW}' ELSE published_at END) AS last_post, count(*) AS entries

@@ -20,6 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written in the shared folder and read again: what several steps use is computed once, and lost executors cost no more than a step."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_settings(settings: DataFrame, path: str, key: str) -> None:
     """Settings as JSON lines, ordered by key within and across files."""
     settings.orderBy(key).write.mode("overwrite").json(path)
