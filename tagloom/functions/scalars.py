@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import json
 import unicodedata
 
 import pandas as pd
@@ -403,22 +402,3 @@ def decode_entities(text: Column) -> Column:
         return texts.map(html.unescape, na_action="ignore")
 
     return decode(text)
-
-
-def collect_key(document: Column, key: str) -> Column:
-    """All values under a key anywhere in a JSON document, in order, as JSON texts."""
-    def walk(node):
-        if isinstance(node, dict):
-            for k, v in node.items():
-                if k == key:
-                    yield json.dumps(v)
-                yield from walk(v)
-        elif isinstance(node, list):
-            for v in node:
-                yield from walk(v)
-
-    @F.pandas_udf("array<string>")
-    def collect(documents: pd.Series) -> pd.Series:
-        return documents.map(lambda d: list(walk(json.loads(d))), na_action="ignore")
-
-    return collect(document)

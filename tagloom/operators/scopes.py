@@ -52,11 +52,6 @@ def available(tags: DataFrame, name: str, types: list[int] | None = None, strict
     return not where(tags, tagtype=types).filter(test).limit(1).isEmpty()
 
 
-def scope_count(scopes: list[DataFrame]) -> int:
-    """Rows of all scopes together."""
-    return sum(s.count() for s in scopes)
-
-
 def preferred(rows: DataFrame, key: str, wishes: list[Column], tie: str) -> DataFrame:
     """One row a key: one for which the first wish holds, else the second, ..., else any; ties by a column."""
     rank = F.coalesce(*[F.when(w, F.lit(i)) for i, w in enumerate(wishes)], F.lit(len(wishes)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import normalize_name
 
@@ -117,8 +118,6 @@ def order_of(asked: Search) -> list[Column]:
 
 def page(ranked: DataFrame, order: list[Column], offset: int = 0, limit: int = 10) -> DataFrame:
     """A window of the ordered rows, with their ranks from 1 on."""
-    from pyspark.sql.window import Window
-
     rows = ranked.orderBy(*order).offset(offset).limit(limit)  # at most `limit` rows from here on
     return rows.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) + offset).cast("int"))
 
@@ -134,6 +133,33 @@ def parse_tokens(text: str) -> list[int | str]:
     return found
 
 
+def query_tags(asked: DataFrame, tags: DataFrame, special: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """session, place, id, name of the tags that tokens mean; and the sessions' special tags afterwards.
+
+    asked: session, place, token. tags: id (above 0), name, normalized_name. special: session, id (below 0), name. A number is the id of a tag, a
+    negative one of a special tag of the session; ids of none give no row. Anything else is a name, quotes taken off: that of a
+    tag (of several the least id), of a special tag of the session, or of a new one, which takes the next free number.
+    """
+    token = F.trim(F.regexp_replace(F.trim("token"), "['\"]", ""))
+    read = asked.select("session", "place", token.alias("token"), F.trim("token").rlike(r"^\d+$").alias("_id"), F.trim("token").rlike(r"^-\d+$").alias("_special")).filter("token <> ''")
+    number = F.expr("try_cast(token AS bigint)")
+    by_id = read.filter("_id").withColumn("id", number).join(tags.select("id", "name"), "id").select("session", "place", "id", "name")
+    by_special = read.filter("_special").withColumn("id", number).join(special, ["session", "id"]).select("session", "place", "id", "name")
+    names = read.filter("NOT _id AND NOT _special").select("session", "place", F.col("token").alias("name"), normalize_name(F.col("token")).alias("normalized_name"))
+    known = tags.groupBy("normalized_name").agg(F.min_by(F.struct("id", "name"), "id").alias("t"))
+    met = names.join(known, "normalized_name", "left").join(special.withColumnRenamed("id", "_sid"), ["session", "name"], "left")
+    lowest = special.groupBy("session").agg(F.min("id").alias("_low"))
+    new = met.filter("t IS NULL AND _sid IS NULL").groupBy("session", "name").agg(F.min("place").alias("_first"))
+    new = new.join(lowest, "session", "left").withColumn("id", F.coalesce("_low", F.lit(0)) - F.row_number().over(Window.partitionBy("session").orderBy("_first"))).select("session", "name", F.col("id").cast("long").alias("id"))
+    named = met.join(new.withColumnRenamed("id", "_new"), ["session", "name"], "left").select("session", "place", F.coalesce("t.id", "_sid", "_new").alias("id"), F.coalesce("t.name", "name").alias("name"))
+    return by_id.unionByName(by_special).unionByName(named), special.unionByName(new)
+
+
+def split_tokens(text: str) -> list[str]:
+    """A comma-separated list as it is written: numbers without quotes are ids, everything else names."""
+    return [token for raw in text.split(",") if (token := raw.strip())]
+
+
 @dataclass(frozen=True)
 class Search:
     """What is asked for; equal searches have equal keys, under which results can be kept.
@@ -157,19 +183,6 @@ class Search:
         return cls(tags=tuple(str(t) for t in parse_tokens(text)), **more)
 
 
-@dataclass
-class Results:
-    """Results of searches by their keys: a search with other parameters is computed anew."""
-
-    build: object
-    kept: dict = field(default_factory=dict)
-
-    def get(self, search: Search) -> DataFrame:
-        if search not in self.kept:
-            self.kept[search] = self.build(search)
-        return self.kept[search]
-
-
 def window(offset: int, limit: int, size: int) -> tuple[int, int]:
     """First and end of a window, clipped to the size."""
     first = min(max(offset, 0), size)

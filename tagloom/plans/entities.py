@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import lists, scopes
+from ..operators import lists, nested, scopes
 from ..operators.scopes import Match
 from ..sources import files, roles
 from . import collections as c
@@ -158,7 +158,10 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 def newsletter(spark: SparkSession, folder: str) -> DataFrame:
     """STM-11, AGG-10: letters to users behind the edition of their segment, five seconds apart in each."""
-    behind = roles.users(spark, folder).filter("user_id % 4 <> 0")
+    latest = roles.table(spark, folder, "events").groupBy("user_id").agg(F.max("event_id").alias("read"))
+    users = roles.users(spark, folder).join(latest, "user_id", "left")
+    edition = users.groupBy("about").agg(F.max("read").alias("edition"))
+    behind = users.join(edition, "about").filter("edition IS NOT NULL AND (read IS NULL OR read < edition)").select("user_id", "about")
     ranked = scopes.ranked(behind.withColumn("lane", F.col("user_id") % 16), ["about", "lane"], ["user_id"], files.shared_path(spark, "ranked"))
     return ranked.select("user_id", (F.col("rank") * 5).cast("int").alias("delay"))
 
@@ -167,7 +170,9 @@ def entity_decode(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-17, TXT-8: titles with their character references decoded; values under a key of JSON documents."""
     title = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)
     doc = F.to_json(F.struct(F.struct(F.col("page_id").alias("k")).alias("a"), F.array(F.struct(F.lit("x").alias("k"))).alias("b")))
-    return roles.table(spark, folder, "pages").select("page_id", s.decode_entities(title).alias("title"), F.array_join(s.collect_key(doc, "k"), ",").alias("keys"))
+    pages = roles.table(spark, folder, "pages").select("page_id", s.decode_entities(title).alias("title"), doc.alias("doc"))
+    keys = nested.collect_key(pages.select("page_id", "doc"), "page_id", "doc", "k").distinct()
+    return pages.join(keys, "page_id").select("page_id", "title", F.array_join("vals", ",").alias("keys"))
 
 
 QUERIES = {
@@ -228,5 +233,7 @@ o AS (SELECT u.user_id, min(q.event_type) AS q FROM u, q WHERE NOT EXISTS (SELEC
 SELECT u.user_id, coalesce(o.q, (SELECT min(event_type) FROM events)) AS question FROM u LEFT JOIN o ON u.user_id = o.user_id""",
     "jobs": """WITH l AS (SELECT value, CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'processing' WHEN 'error' THEN 'processing' ELSE 'good' END AS launched FROM events)
 SELECT launched, CASE WHEN launched <> 'processing' THEN launched WHEN value > 20 THEN 'bad' ELSE 'good' END AS landed, count(*) AS jobs FROM l GROUP BY 1, 2""",
-    "newsletter": _R("users", query="SELECT user_id, CAST((row_number() OVER (PARTITION BY about, user_id % 16 ORDER BY user_id) - 1) * 5 AS INTEGER) AS delay FROM users WHERE user_id % 4 <> 0"),
+    "newsletter": _R("users", then="""latest AS (SELECT user_id, max(event_id) AS read FROM events GROUP BY user_id), u AS (SELECT users.user_id, about, read, max(read) OVER (PARTITION BY about) AS edition FROM users LEFT JOIN latest USING (user_id))""",
+        query="SELECT user_id, CAST((row_number() OVER (PARTITION BY about, user_id % 16 ORDER BY user_id) - 1) * 5 AS INTEGER) AS delay FROM u WHERE edition IS NOT NULL AND (read IS NULL OR read < edition)"),
+    "entity_decode": """SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS title, page_id || ',"x"' AS keys FROM pages""",
 }

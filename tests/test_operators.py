@@ -74,9 +74,6 @@ def test_search_parameters():
     assert a == b and hash(a) == hash(b)
     with pytest.raises(ValueError):
         search.Search(org="ratings")
-    built = []
-    results = search.Results(lambda s: built.append(s) or len(built))
-    assert results.get(a) == results.get(b) == 1 and results.get(search.Search(tags=("red",), offset=5)) == 2
 
 
 def test_windows_cover_everything_once():
