@@ -12,7 +12,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -119,27 +119,58 @@ class _Found(HTMLParser):
                 self.values[v][1] += data
 
 
-def glean(pages: DataFrame, finders: list[tuple[str, str, str]] = FINDERS, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, label, ord, value: what the finders find, by finder, then in page order; blanks and repeated values dropped.
-
-    Null pages give no rows. ord counts from 1 within a page and label.
-    """
-    labels = [f[0] for f in finders]
+def _read_pages(pages: DataFrame, finders: list[tuple[str, str, str]], key: str, html: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """key, columns asked for also, finder, place, value: what each finder finds on each page, as it stands there."""
     selectors = [(s.split(), a) for _, s, a in finders]
+    kept = [key, *also]
 
     def read(batches):
         compiled = [([_step(x) for x in steps], a) for steps, a in selectors]
         for part in batches:
             rows = []
-            for k, text in zip(part[key], part[html]):
+            for *own, text in zip(*[part[c] for c in (*kept, html)]):
                 page = _Found(compiled)
                 page.feed(text or "")
                 page.close()
-                rows += [(k, i, n, value) for n, (i, value) in enumerate(page.values)]
-            yield pd.DataFrame(rows, columns=[key, "finder", "place", "value"])
+                rows += [(*own, i, n, value) for n, (i, value) in enumerate(page.values)]
+            yield pd.DataFrame(rows, columns=[*kept, "finder", "place", "value"])
+
+    kinds = dict(pages.dtypes)
+    return pages.select(*kept, html).mapInPandas(read, ", ".join([f"{c} {kinds[c]}" for c in kept] + ["finder int, place int, value string"]))
+
+
+def finder_set(own: list[tuple[str, str, str, str]], only: list[str] | None = None, but: list[str] | None = None, general: list[tuple[str, str, str]] = FINDERS) -> list[tuple[str | None, str, str, str]]:
+    """(site, label, selector, attribute): finders of sites, then those of all sites (site None); with certain labels only, or without some."""
+    if only and but:
+        raise ValueError("either labels that are asked for or labels that are left out")
+    every = [*own, *[(None, *f) for f in general]]
+    return [f for f in every if (not only or f[1] in only) and (not but or f[1] not in but)]
+
+
+def found_by(pages: DataFrame, finders: list[tuple[str | None, str, str, str]], site: Column, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, site, finder (its place in the list), label, selector, attribute, value: what each finder finds on pages of its site (or of all, if it has none), each value once.
+
+    site: the site of a page, an expression on pages' columns. Blank values are dropped.
+    """
+    table = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("of", "label", "selector", "attribute"), f)]) for f in finders])
+    raw = _read_pages(pages.select(key, html, site.alias("site")), [(f[1], f[2], f[3]) for f in finders], key, html, ("site",))
+    named = raw.withColumn("_f", F.get(table, F.col("finder"))).filter("_f.of IS NULL OR _f.of = site")
+    clean = named.withColumn("value", F.trim(F.regexp_replace("value", r"\s+", " "))).filter("value <> ''")
+    return clean.select(key, "site", "finder", "_f.label", "_f.selector", "_f.attribute", "value").distinct()
+
+
+def finder_votes(found: DataFrame, accepted: DataFrame, key: str = "page_id") -> DataFrame:
+    """site, label, selector, attribute, hits: on how many pages of a site each finder found the value that was accepted (key, label, value)."""
+    return found.join(accepted.select(key, "label", "value").distinct(), [key, "label", "value"], "left_semi").groupBy("site", "label", "selector", "attribute").agg(F.count("*").alias("hits"))
+
+
+def glean(pages: DataFrame, finders: list[tuple[str, str, str]] = FINDERS, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, label, ord, value: what the finders find, by finder, then in page order; blanks and repeated values dropped.
 
-    kind = dict(pages.dtypes)[key]
-    raw = pages.select(key, html).mapInPandas(read, f"{key} {kind}, finder int, place int, value string")
+    Null pages give no rows. ord counts from 1 within a page and label.
+    """
+    labels = [f[0] for f in finders]
+    raw = _read_pages(pages, finders, key, html)
     named = raw.withColumn("label", F.get(F.array(*[F.lit(x) for x in labels]), F.col("finder"))).withColumn("value", F.trim(F.regexp_replace("value", r"\s+", " "))).filter("value <> ''")
     once = named.groupBy(key, "label", "value").agg(F.min(F.struct("finder", "place")).alias("at"))
     return once.withColumn("ord", F.row_number().over(Window.partitionBy(key, "label").orderBy("at"))).select(key, "label", "ord", "value")
@@ -165,11 +196,6 @@ def adopt(gleaned: DataFrame, urls: DataFrame, key: str = "page_id") -> DataFram
     )
 
 
-def finder_votes(gleaned: DataFrame, accepted: DataFrame, key: str = "page_id") -> DataFrame:
-    """label, hits: how often a label's value was the one that was accepted (key, label, value)."""
-    return gleaned.join(accepted, [key, "label", "value"], "left_semi").groupBy("label").agg(F.count("*").alias("hits"))
-
-
 def links(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """key, link: absolute targets of a page's links, each once."""
     found = pages.select(key, url, F.explode(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'>]*)["']"""), F.lit(1))).alias("href"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,3 +104,12 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], at: str) -> D
     both = target.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     order = Window.partitionBy(*keys).orderBy(F.col(at).desc_nulls_last(), F.desc("_new"))
     return both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_new")
+
+
+def dependents(entities: DataFrame, key: str, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """key, kind, uses: what refers to each entity, by the kind of what does; entities to which nothing refers have one row without a kind.
+
+    references: for each kind a table and its column. Each is counted before it meets the entities, however often it names one.
+    """
+    counted = [rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast(entities.schema[key].dataType).alias(key)).agg(F.count("*").alias("uses")).select(key, F.lit(kind).alias("kind"), "uses") for kind, (rows, c) in references.items()]
+    return entities.select(key).distinct().join(reduce(DataFrame.unionByName, counted), key, "left").select(key, "kind", F.coalesce("uses", F.lit(0)).alias("uses"))

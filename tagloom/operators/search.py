@@ -21,6 +21,10 @@ ORGS = {
     "popularity": ("popularity", True),
     "viewed": ("viewed_at", True),
     "random": ("chance", False),
+    "posted": ("posted_at", True),
+    "activity": ("activity", True),
+    "ratings": ("rating", True),
+    "approved": ("approved_at", True),
 }
 
 
@@ -75,7 +79,8 @@ def any_of(contributions: list[DataFrame]) -> DataFrame:
 def found(entities: DataFrame, scopes: list[list[str]], pointers: DataFrame, tagged: DataFrame, tags: DataFrame, expressions: DataFrame, words: list[str], viewer: int | None = None) -> DataFrame:
     """Entities that every word has found: entities' columns, score, and what orderings go by.
 
-    Each word scores as text_scores, tagging_scores and comment_scores say; all words are looked for in one pass over each table.
+    posted_at: when it was last pointed to first; activity: all edits; rating: the share of pointers that hold it; approved_at: when
+    somebody last held it for all to see. Each word scores as text_scores, tagging_scores and comment_scores say; all words are looked for in one pass over each table.
     tagged: entity_id and tag of entities that count as tagged if any user points to them. viewed_at is the viewer's own.
     """
     n = range(len(words))
@@ -95,6 +100,10 @@ def found(entities: DataFrame, scopes: list[list[str]], pointers: DataFrame, tag
         F.min("created_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),
         F.count_if("in_collection").alias("popularity"),
+        F.max("created_at").alias("posted_at"),
+        F.sum("edit_count").alias("activity"),
+        (F.count_if("in_collection") / F.count("*")).alias("rating"),
+        F.max(F.when(F.col("in_collection") & ~F.col("private"), F.col("created_at"))).alias("approved_at"),
         F.max(F.when(F.col("user_id") == (viewer if viewer is not None else F.lit(None)), F.col("updated_at"))).alias("viewed_at"),
     )
     rows = entities.join(pointed.join(by_tag, "entity_id", "left"), "entity_id", "left")
@@ -106,7 +115,7 @@ def found(entities: DataFrame, scopes: list[list[str]], pointers: DataFrame, tag
         scores.append(reduce(Column.__add__, [h.cast("int") for h in hits]))
     rows = rows.withColumns({f"_s{i}": x for i, x in enumerate(scores)}).filter(reduce(Column.__and__, [F.col(f"_s{i}") > 0 for i in n]))
     rows = rows.withColumn("score", reduce(Column.__add__, [F.col(f"_s{i}") for i in n])).withColumn("popularity", F.coalesce("popularity", F.lit(0)))
-    return rows.select(*entities.columns, "score", "created_at", "updated_at", "popularity", "viewed_at", F.md5(F.col("entity_id").cast("string")).alias("chance"))
+    return rows.select(*entities.columns, "score", "created_at", "updated_at", "popularity", "viewed_at", "posted_at", "activity", "rating", "approved_at", F.md5(F.col("entity_id").cast("string")).alias("chance"))
 
 
 def order_of(asked: Search) -> list[Column]:

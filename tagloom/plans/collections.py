@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from ..operators import lists, scopes
+from ..operators import lists, scopes, search
 from ..sources import files, roles
 
 USER, VIEWER = 7, 11
@@ -113,7 +113,7 @@ def pointer_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def popularity(spark: SparkSession, folder: str) -> DataFrame:
-    """AGG-6, AGG-8, SORT-4: tags by how many parts carry them."""
+    """AGG-6: tags by how many parts carry them."""
     return roles.taggings(spark, folder).groupBy("tag").agg(F.count_distinct("entity_id").alias("entities"), F.count("*").alias("taggings"))
 
 
@@ -143,7 +143,7 @@ def votes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_collector(spark: SparkSession, folder: str) -> DataFrame:
-    """AGG-10, AGG-12, AGG-21: who held a part first."""
+    """AGG-10, AGG-21: who held a part first."""
     return roles.pointers(spark, folder).groupBy("entity_id").agg(F.min_by("user_id", F.struct("created_at", "user_id")).alias("collector"), F.min("created_at").alias("since"))
 
 
@@ -154,7 +154,7 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def orphans(spark: SparkSession, folder: str) -> DataFrame:
-    """JOIN-13..15, JOIN-27, TAG-18, GRF-18: users with no pointer, parts that nobody holds, tags without a meaning."""
+    """JOIN-13, JOIN-15, TAG-18: users with no pointer, parts that nobody holds, tags without a meaning."""
     pointers = roles.pointers(spark, folder)
     users = roles.users(spark, folder).join(pointers, "user_id", "left_anti").select(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("key"))
     parts = roles.parts(spark, folder).join(pointers, "entity_id", "left_anti").select(F.lit("part").alias("kind"), F.col("entity_id").cast("string").alias("key"))
@@ -162,6 +162,35 @@ def orphans(spark: SparkSession, folder: str) -> DataFrame:
     return users.unionByName(parts).unionByName(tags)
 
 
+def ids_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    """AGG-8: for each tag of one type the ids of what carries it, by type (parts, and users who hold such parts), a thousand numbers a row."""
+    t = roles.taggings(spark, folder).filter("tagtype = 2")
+    parts = t.select("tag", F.lit("Part").alias("entity_type"), F.col("entity_id").alias("id"))
+    users = t.select("tag", F.lit("User").alias("entity_type"), F.col("user_id").alias("id"))
+    ids = F.array_sort(F.collect_set("id"))
+    block = F.floor(F.col("id") / 1000).cast("int").alias("block")
+    return parts.unionByName(users).groupBy("tag", "entity_type", block).agg(F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("ids"))
+
+
+def namesakes(spark: SparkSession, folder: str) -> DataFrame:
+    """AGG-12: for every user the least id of the accounts whose address (here: how a name ends) is the same."""
+    users = roles.users(spark, folder).select("user_id", F.substring("username", -2, 2).alias("address"))
+    least = users.groupBy("address").agg(F.min("user_id").alias("first_id"), F.count("*").alias("accounts"))
+    return users.join(least, "address").select("user_id", "first_id", "accounts")
+
+
+def followees_named(spark: SparkSession, folder: str) -> DataFrame:
+    """COL-25: a viewer's followees whose name or segment holds a text."""
+    f = _follows(roles.pointers(spark, folder)).filter(F.col("follower") == VIEWER).select(F.col("followee").alias("user_id"))
+    hit = search.like(F.col("username"), "2") | search.like(F.col("about"), "build")
+    return roles.users(spark, folder).filter(hit).join(f, "user_id", "left_semi").select("user_id", "username")
+
+
+def image_dependents(spark: SparkSession, folder: str) -> DataFrame:
+    """JOIN-14, JOIN-27: parts stand for images: what in nine tables refers to each, and images that nothing refers to."""
+    return lists.dependents(roles.parts(spark, folder), "entity_id", {t: (roles.table(spark, folder, t).select(c), c) for t, c in _REFERENCES.items()})
+
+
 def duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """AGG-22, AGG-23: titles that several parts share, and the part that stays."""
     return roles.parts(spark, folder).groupBy("title", "description").agg(F.count("*").alias("copies"), F.min("entity_id").alias("stays")).filter("copies > 1")
@@ -192,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         collected_by_user, viewed_by_user, matching_comment, comments_of_others, mutual_follows, visible_lists, list_contents, list_status, list_ordering, absorb, change_tag,
-        pointer_upsert, popularity, tags_by_type, dashboard, votes, first_collector, visits, orphans, duplicates, counters, feed_menu, paged_users,
+        pointer_upsert, popularity, tags_by_type, dashboard, votes, first_collector, visits, orphans, ids_by_type, namesakes, followees_named, image_dependents, duplicates, counters, feed_menu, paged_users,
     )
 }
 
@@ -201,7 +230,13 @@ _LISTS = """lists AS (SELECT s_suppkey AS list_id, s_suppkey % 20 AS owner_id, '
   s_suppkey % 2 = 0 AS pullin FROM supplier)"""
 _R = roles.with_roles
 
+_REFERENCES = {"lineitem": "l_partkey", "orders": "o_custkey", "customer": "c_custkey", "supplier": "s_suppkey", "events": "user_id", "documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "conversations": "conv_id"}
 ORACLE_SQL = {
+    "ids_by_type": roles.with_roles("taggings", query="""SELECT tag, entity_type, CAST(id // 1000 AS INTEGER) AS block, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids FROM (
+  SELECT tag, 'Part' AS entity_type, entity_id AS id FROM taggings WHERE tagtype = 2 UNION ALL SELECT tag, 'User', user_id FROM taggings WHERE tagtype = 2) GROUP BY ALL"""),
+    "namesakes": roles.with_roles("users", query="SELECT user_id, min(user_id) OVER w AS first_id, count(*) OVER w AS accounts FROM users WINDOW w AS (PARTITION BY right(username, 2))"),
+    "followees_named": roles.with_roles("pointers", "users", then=_FOLLOWS, query="SELECT user_id, username FROM users WHERE (username ILIKE '%2%' OR about ILIKE '%build%') AND user_id IN (SELECT followee FROM follows WHERE follower = 11)"),
+    "image_dependents": "WITH r AS (" + " UNION ALL ".join(f"SELECT {c} AS entity_id, '{t}' AS kind, count(*) AS uses FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for t, c in _REFERENCES.items()) + ") SELECT p_partkey AS entity_id, kind, coalesce(uses, 0) AS uses FROM part LEFT JOIN r ON entity_id = p_partkey",
     "collected_by_user": _R("pointers", "parts", query="SELECT entity_id, title, updated_at FROM pointers JOIN parts USING (entity_id) WHERE user_id = 7 AND in_collection AND NOT private"),
     "viewed_by_user": _R("pointers", query="SELECT entity_id, max(updated_at) AS touched FROM pointers WHERE user_id = 7 GROUP BY entity_id"),
     "matching_comment": _R("pointers", "parts", query="SELECT entity_id, title FROM parts WHERE entity_id IN (SELECT entity_id FROM pointers WHERE comment ILIKE '%urgent%')"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import annotate, lists, scopes
 from ..sources import roles
@@ -86,8 +85,7 @@ def newest_sites(spark: SparkSession, folder: str) -> DataFrame:
 
 def last_sort_key(spark: SparkSession, folder: str) -> DataFrame:
     """AGG-4: per entity the sort key that came last, of all pointers to it."""
-    w = Window.partitionBy("entity_id").orderBy(F.desc("updated_at"), "user_id")
-    return roles.pointers(spark, folder).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("entity_id", F.col("comment").alias("sort_key"))
+    return roles.pointers(spark, folder).groupBy("entity_id").agg(F.max_by("comment", F.struct("updated_at", -F.col("user_id"))).alias("sort_key"))
 
 
 def number_ranges(spark: SparkSession, folder: str) -> DataFrame:

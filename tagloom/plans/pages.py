@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import domain_from_url
 from ..operators import annotate, extract
 from ..sources import files, roles
 from ..streaming import feeds
@@ -18,12 +19,26 @@ def page_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    """EXT-6..8: a row of attributes for every page."""
+    """EXT-6, EXT-7: a row of attributes for every page."""
     pages = roles.table(spark, folder, "pages")
     found = extract.adopt(extract.glean(pages), pages.select("page_id", "url"))
     return found.withColumn("feeds", F.array_join("feeds", " "))
 
 
+#: Finders of sites of their own, before those of all sites: (site, label, selector, attribute).
+OWN = [("spam-farm.example.org", "Title", "article h1", ""), ("spam-farm.example.org", "Heading", "h1", ""), ("nowhere.example", "Title", "b", "")]
+
+
+def page_finders(spark: SparkSession, folder: str) -> DataFrame:
+    """EXT-3, EXT-8: titles by the finders of each page's site and those of all sites; votes for finders whose value is what the page's title says."""
+    pages = roles.table(spark, folder, "pages")
+    found = files.stored(extract.found_by(pages, extract.finder_set(OWN, only=["Title"]), domain_from_url(F.col("url"))), "found-values")
+    accepted = extract.glean(pages, [("Title", "title", "")]).select("page_id", "label", "value")
+    votes = extract.finder_votes(found, accepted)
+    every = found.groupBy("site", "label", "selector", "attribute").agg(F.count("*").alias("values"))
+    return every.join(votes, ["site", "label", "selector", "attribute"], "left").select("site", "label", "selector", "attribute", "values", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-8, EXT-13: links of every page, and how many might be feeds."""
     pages = roles.table(spark, folder, "pages")
@@ -88,9 +103,13 @@ def settings_merge(spark: SparkSession, folder: str) -> DataFrame:
     return files.import_settings(part.filter("p_partkey % 2 = 0"), path, "p_partkey")
 
 
-QUERIES = {f.__name__: f for f in (page_values, page_attributes, page_links, phrase_matches, phrase_lists, amounts, feed_ingest, feed_ingest_stream, settings_merge)}
+QUERIES = {f.__name__: f for f in (page_values, page_attributes, page_finders, page_links, phrase_matches, phrase_lists, amounts, feed_ingest, feed_ingest_stream, settings_merge)}
 
+_CLEAN = "trim(regexp_replace(regexp_extract(html, '(?is){}', 1), '\\s+', ' ', 'g'))"
 ORACLE_SQL = {
+    "page_finders": roles.with_roles("page_refs", then=f"t AS (SELECT domain AS site, {_CLEAN.format('<title>(.*?)</title>')} AS title, {_CLEAN.format('<h1>(.*?)</h1>')} AS heading FROM page_refs JOIN pages USING (page_id))",
+        query="""SELECT site, 'Title' AS label, 'title' AS selector, '' AS attribute, count(*) AS values, count(*) AS hits FROM t WHERE title <> '' GROUP BY site
+UNION ALL SELECT site, 'Title', 'article h1', '', count(*), count(*) FILTER (heading = title) FROM t WHERE site = 'spam-farm.example.org' AND heading <> '' GROUP BY site"""),
     "phrase_matches": """WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS s, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS turned FROM part),
 k AS (SELECT *, turned IN (SELECT p_name FROM part) AS one FROM w)
 SELECT p_partkey, CAST(1 AS INTEGER) AS pos, CAST(len(s) AS INTEGER) AS words, p_name AS tags FROM w

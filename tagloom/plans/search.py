@@ -95,7 +95,7 @@ def stored_hits(spark: SparkSession, folder: str) -> DataFrame:
     hits = search.text_scores(parts, [["title"]], "small").select(F.lit("Part").alias("entity_type"), "entity_id", "score")
     hits = hits.unionByName(search.text_scores(users, [["about"]], "BUILD").select(F.lit("User").alias("entity_type"), "entity_id", "score"))
     order = [F.desc("score"), F.asc("entity_id"), F.asc("entity_type")]
-    shown = search.page(common_rows(hits.orderBy(*order)), order, 5, 10)
+    shown = search.page(common_rows(hits), order, 5, 10)
     loaded = [shown.filter(F.col("entity_type") == t).join(rows, "entity_id").select("rank", "entity_type", "entity_id", "name") for t, rows in (("Part", parts.withColumnRenamed("title", "name")), ("User", users.withColumnRenamed("username", "name")))]
     return reduce(DataFrame.unionByName, loaded).orderBy("rank")
 
@@ -178,8 +178,9 @@ def _search_sql(words: list[str], offset: int, limit: int) -> str:
 
 def _orders_sql(words: list[str], limit: int) -> str:
     parts, query = _found_sql(words)
-    stats = f"""stats AS (SELECT entity_id, min(created_at) AS created_at, max(updated_at) AS updated_at, count(*) FILTER (in_collection) AS popularity, max(updated_at) FILTER (user_id = {VIEWER}) AS viewed_at FROM pointers GROUP BY entity_id),
-hit AS (SELECT f.*, created_at, updated_at, coalesce(popularity, 0) AS popularity, viewed_at, md5(CAST(f.entity_id AS VARCHAR)) AS chance FROM ({query}) f LEFT JOIN stats USING (entity_id))"""
+    stats = f"""stats AS (SELECT entity_id, min(created_at) AS created_at, max(updated_at) AS updated_at, count(*) FILTER (in_collection) AS popularity, max(updated_at) FILTER (user_id = {VIEWER}) AS viewed_at,
+  max(created_at) AS posted_at, sum(edit_count) AS activity, CAST(count(*) FILTER (in_collection) AS DOUBLE) / count(*) AS rating, max(created_at) FILTER (in_collection AND NOT private) AS approved_at FROM pointers GROUP BY entity_id),
+hit AS (SELECT f.*, created_at, updated_at, coalesce(popularity, 0) AS popularity, viewed_at, posted_at, activity, rating, approved_at, md5(CAST(f.entity_id AS VARCHAR)) AS chance FROM ({query}) f LEFT JOIN stats USING (entity_id))"""
     orders = [(n, c, "DESC" if down else "ASC") for n, (c, down) in search.ORGS.items()] + [("alphabetic, reversed", "title", "DESC")]
     pages = [f"SELECT * FROM (SELECT '{n}' AS org, CAST(row_number() OVER (ORDER BY {c} {way} NULLS LAST, entity_id) AS INTEGER) AS rank, entity_id FROM hit) WHERE rank <= {limit}" for n, c, way in orders]
     return roles.with_roles("parts", "pointers", "taggings", "tags", "expressions", then=f"{parts}, {stats}", query=" UNION ALL ".join(pages))

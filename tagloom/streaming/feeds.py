@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,10 +40,22 @@ def stale(marks: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return marks.filter(F.col("last_post").isNull() | (F.col("last_post") < now - F.make_dt_interval(F.lit(days))))
 
 
+#: Folders of a batch, each with the feeds of one hash.
+BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("feed_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _table(spark: SparkSession, schema: StructType | str, target: str) -> DataFrame:
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.read.schema(StructType([*schema.fields, *StructType.fromDDL("run string, epoch bigint, bucket int").fields])).parquet(target)
+
+
 def ingested(spark: SparkSession, schema: StructType | str, target: str) -> DataFrame:
     """The table that `ingest` writes: the entries' columns, and run and epoch of the batch that added them."""
-    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return spark.read.schema(StructType([*schema.fields, *StructType.fromDDL("run string, epoch bigint").fields])).parquet(target)
+    return _table(spark, schema, target).drop("bucket")
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, now: str) -> StreamingQuery:
@@ -50,6 +63,7 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, now: str) -> Streami
 
     A batch's folder bears the checkpoint's name and the batch's number: run again after a failure, a
     batch finds what all others have added and writes its own folder anew, and another checkpoint adds to the table.
+    Within it entries lie in buckets of feeds, so a small batch reads the keys of its own feeds' buckets, not of the whole table.
     """
     spark = stream.sparkSession
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
@@ -57,9 +71,13 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, now: str) -> Streami
     def add(batch: DataFrame, epoch: int) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         known = None
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # of all entries the keys alone are read
-            known = ingested(spark, batch.schema, target).filter((F.col("run") != run) | (F.col("epoch") != epoch))
-        timed(fresh(batch, known), F.lit(now).cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{target}/run={run}/epoch={epoch}")
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # the keys alone are read
+            own = [r[0] for r in batch.select(_bucket().alias("b")).distinct().collect()]  # BUCKETS numbers at most
+            known = _table(spark, batch.schema, target).filter(F.col("bucket").isin(own) & ((F.col("run") != run) | (F.col("epoch") != epoch)))
+        new = timed(fresh(batch, known), F.lit(now).cast("timestamp_ntz")).withColumn("bucket", _bucket())
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/run={run}/epoch={epoch}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -73,7 +73,7 @@ def test_search_parameters():
     a, b = search.Search.parse("red", offset=0), search.Search(tags=("red",))
     assert a == b and hash(a) == hash(b)
     with pytest.raises(ValueError):
-        search.Search(org="ratings")
+        search.Search(org="nonsense")
 
 
 def test_windows_cover_everything_once():
