@@ -10,7 +10,8 @@ row of `dictionary/`. Blocks ascend with doc_id: shard by shard, then by number.
 
 Null texts count as empty; an empty document has its end id alone. Null ids are stored as 0 with a
 flag (`id_given`) that says so, come before all others and are never looked up. Rows with the same doc_id are
-kept, in any order among themselves. An empty table gives files without blocks and no rows.
+kept, in any order among themselves, and in several shards if they are many. An empty table gives files without blocks
+and no rows; other columns aren't stored. With too few or too short documents for a dictionary (8, 8 KB) frames have none.
 """
 
 from __future__ import annotations
@@ -150,9 +151,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocabular
     spark.createDataFrame([(hashed, bytearray(dictionary))], "hash string, data binary").write.parquet(f"{path}/dictionary")
     frames = docs.mapInArrow(_frame_batches(tokenizer, end_id, width, dictionary), "doc_id long, n_tokens long, frame binary")
     shards = 2 * common.shuffle_partitions(spark)
-    bounds = common.range_bounds(docs, "doc_id", shards)
     (
-        frames.withColumn("shard", common.range_bucket(F.col("doc_id"), bounds, shards))
+        frames.withColumn("shard", common.range_shard(docs, "doc_id", shards))
         .repartition(common.shuffle_partitions(spark), "shard")
         .sortWithinPartitions("shard", "doc_id")
         .mapInArrow(_block_batches(hashed, width), BLOCK_SCHEMA)

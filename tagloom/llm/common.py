@@ -138,6 +138,25 @@ def range_bounds(ids: DataFrame, key: str, parts: int) -> list[int]:
     return sorted(set(found or []))
 
 
+def range_shard(rows: DataFrame, key: str, parts: int) -> Column:
+    """A number for each row that ascends with a long column (nulls first) and parts rows into shards of about equal size: rows of a key that
+    holds several shards' worth (or without a key) are dealt out by their place in the table, in no order among themselves.
+    """
+    n = max(1, min(parts, MOST_BOUNDS))
+    found = rows.agg(F.percentile_approx(key, [i / n for i in range(n + 1)], 10 * max(n, 1000)).alias("q"), F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("without")).first()
+    cuts = found["q"] or []
+    bounds = sorted(set(cuts))
+    hot = {b: c for b in bounds if (c := cuts.count(b)) > 2}  # as often as it holds ranges
+    without = max(1, round(parts * found["without"] / max(1, found["n"])))
+    spread = max([without, *hot.values()]) + 1
+    bucket = range_bucket(F.col(key), bounds, parts) if len(bounds) > 1 else F.when(F.col(key).isNull(), 0).otherwise(1)
+    dealt = F.monotonically_increasing_id()
+    place = F.when(F.col(key).isNull(), dealt % without)
+    for b, c in hot.items():
+        place = place.when(F.col(key) == b, dealt % c)
+    return (bucket * spread + place.otherwise(spread - 1)).cast("int")
+
+
 def range_bucket(key: Column, bounds: list[int], parts: int) -> Column:
     """A bucket of about `parts` (null keys: 0) that ascends with the key."""
     if len(bounds) < 2:

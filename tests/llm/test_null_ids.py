@@ -25,3 +25,17 @@ def test_null_ids_are_stored(spark, tmp_path):
     want = sorted(repr((d, bytes(r) + bytes(4))) for (d, _), r in zip(rows, raw))
     assert sorted(repr((r["doc_id"], bytes(r["ids"]))) for r in binary.read(spark, path, ids=True).collect()) == want
     assert [(r["doc_id"], bytes(r["ids"])) for r in binary.lookup(spark, path, [0]).collect()] == [(0, bytes(raw[1]) + bytes(4))]
+
+
+def test_rows_of_one_id_lie_in_several_shards(spark, tmp_path):
+    rows = [(7, f"hot {i}") for i in range(3000)] + [(None, f"none {i}") for i in range(1500)] + [(i, f"own {i}") for i in range(8, 1000)] + [(-3, "first"), (2**40, "last")]
+    path = str(tmp_path / "files")
+    binary.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, BYTES)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    shards = {r[0]: r[1] for r in blocks.groupBy("shard").sum("n_documents").collect()}
+    assert sum(shards.values()) == len(rows) and max(shards.values()) < len(rows) / 4
+    found = binary.read(spark, path).collect()
+    order = sorted(found, key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in order]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i)) and len(ids) == len(rows)
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(order, order[1:]))
