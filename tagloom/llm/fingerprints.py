@@ -14,7 +14,8 @@ of each sample's hash as four hexadecimal digits.
 
 Rows are dealt into buckets of consecutive ids. In its bucket, every row sees the next one; the
 last sees a copy of the next bucket's first row (of the first bucket's, if it is the last row).
-A bucket's texts, terms and samples stay in one task, which holds a bounded part of the rows.
+A bucket's texts, terms and samples stay in one task, which holds a bounded part of the rows; rows that repeat an id
+lie in one bucket, however many they are (ids are thought to be different).
 
 Cases: null texts count as empty; an empty text has one term, the empty word, so all empty texts
 have equal fingerprints. Null ids come first. Rows with the same id are ordered by their texts. A
@@ -63,16 +64,17 @@ def _with_next(docs: DataFrame, parts: int) -> DataFrame:
     buckets = parts * BUCKETS_PER_TASK
     bounds = common.range_bounds(docs, "doc_id", buckets)
     dealt = docs.withColumn("bucket", common.range_bucket(F.col("doc_id"), bounds, buckets))
-    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id"))  # null ids first
-    firsts = sorted((r["bucket"], r["f"]["doc_id"]) for r in dealt.groupBy("bucket").agg(least.alias("f")).collect())  # one row a bucket
-    ghosts = [(b, i, firsts[j - 1][0]) for j, (b, i) in enumerate(firsts)]
-    ghosts = F.broadcast(spark.createDataFrame(ghosts, "bucket int, first_id long, target int"))
-    own, ghost = F.struct("bucket", F.lit(False).alias("ghost")), F.struct(F.col("target").alias("bucket"), F.lit(True).alias("ghost"))
-    placed = dealt.join(ghosts, "bucket").withColumn("at", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(own, ghost)).otherwise(F.array(own))))
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text"))  # null ids first
+    firsts = dealt.groupBy("bucket").agg(least.alias("f")).select("bucket", "f.doc_id", F.xxhash64("f.text").alias("h"))
+    firsts = sorted(((r["bucket"], r["doc_id"], r["h"]) for r in firsts.collect()), key=lambda r: r[0])  # one row a bucket
+    targets = [(b, i, h, firsts[j - 1][0]) for j, (b, i, h) in enumerate(firsts)]
+    targets = F.broadcast(spark.createDataFrame(targets, "bucket int, first_id long, h long, target int"))
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("h"))
+    ghosts = dealt.join(targets, "bucket").filter(first).groupBy("target").agg(F.min("first_id").alias("doc_id"), F.min("text").alias("text"))  # one row a bucket
+    placed = dealt.select("bucket", F.lit(False).alias("ghost"), "doc_id", "text").unionByName(ghosts.select(F.col("target").alias("bucket"), F.lit(True).alias("ghost"), "doc_id", "text"))
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
     return (
-        placed.select("at.bucket", "at.ghost", "doc_id", "text")
-        .repartition(parts, "bucket")
+        placed.repartition(parts, "bucket")
         .withColumn("next", F.lead("text").over(order))
         .withColumn("n", F.row_number().over(order))
     )
