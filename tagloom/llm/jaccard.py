@@ -26,7 +26,8 @@ compared by their 64-bit shingle hashes; equal 64-bit set hashes stand for equal
 Cases: null, empty and blank texts have empty sets and are linked with nothing, not even each
 other. Texts of fewer words than a shingle have one shingle, the whole sequence. Repeated rows and
 copies fall into one class before any comparison. A null doc_id takes part, but a component's id is
-its smallest non-null doc_id (null if it has none). An empty table gives no rows.
+its smallest non-null doc_id (null if it has none). An empty table gives no rows. Columns other than id and text aren't
+carried by `join`, whatever their names; `one_of_each` keeps them all.
 """
 
 from __future__ import annotations

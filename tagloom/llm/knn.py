@@ -14,7 +14,8 @@ best scores that reach its bound.
 Vectors that are null, empty, or hold null or non-finite components take no part; neither do null
 ids. Vectors of different lengths are never compared. A query never meets rows of its own id. Equal
 scores go to the smaller id; repeated rows count as rows of their own. Scores are exact while inner
-products stay below 2**53. Empty tables give no rows.
+products stay below 2**53. Empty tables give no rows. Rows that repeat a query's id ask one question together and share its k results.
+Other columns aren't carried, whatever their names.
 """
 
 from __future__ import annotations

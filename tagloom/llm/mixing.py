@@ -13,7 +13,8 @@ at `repeats` times its source's words, and the excess is dealt out again until n
 The mix takes the largest set of documents, by ascending hash, that does not exceed the budget.
 Documents with the same hash (the same id, repeated) go together; null ids hash as NULL_ID, so all
 rows without an id go together too. Null texts have no words and null sources are a source of their
-own, last in order. An empty table gives no rows.
+own, last in order. An empty table gives no rows. Columns of the table named like new ones (size, source_size, target, copies,
+taken) are replaced.
 """
 
 from __future__ import annotations

@@ -33,6 +33,8 @@ BUCKETS = 1 << BITS
 _STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 #: Bytes that are worked on at a time: their arrays stay in a processor's cache.
 SLICE = 1 << 17
+#: Characters of a text that are worked on at a time.
+LONG = 1 << 18
 #: Documents of each class that are learned from, and characters of them.
 PER_CLASS = 2000
 CLASS_CHARS = 6_000_000
@@ -63,10 +65,23 @@ def ngrams(points: np.ndarray, offsets: np.ndarray):
             yield ((packed + np.uint32(n)) * _SPREAD) >> np.uint32(32 - BITS), ends[(ends >= 0) & (ends < len(packed))]
 
 
+def _long(text: str) -> np.ndarray:
+    """Whether a long text holds an n-gram of each bucket, read a piece at a time; pieces overlap by what an n-gram takes."""
+    held = np.zeros(BUCKETS, bool)
+    for lo in range(0, len(text), LONG):
+        points, offsets = characters(pa.array([text[lo : lo + LONG + max(ORDERS) - 1]]))
+        for buckets, _ in ngrams(points, offsets):
+            held[buckets] = True
+    return held
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every n-gram that a text holds, each pair once, in ascending order."""
     found = []
     for lo, part in kernel.slices(texts, SLICE):
+        if len(part) == 1 and (pc.binary_length(part)[0].as_py() or 0) > LONG:
+            found.append(lo << BITS | np.flatnonzero(_long(part[0].as_py())))
+            continue
         points, offsets = characters(part)
         own = []
         for buckets, out in ngrams(points, offsets):

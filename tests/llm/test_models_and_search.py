@@ -56,6 +56,16 @@ def test_toxicity_held_out_accuracy(spark):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.93
 
 
+def test_toxicity_held_out_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    truth = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect()}
+    held = [(truth[r["doc_id"]], r["score"], r["predicted"]) for r in toxicity.query(spark, sf).filter("held_out").collect() if r["doc_id"] in truth]
+    toxic, clean = [[h[1:] for h in held if h[0] == c] for c in (1, 0)]
+    assert sum(p for _, p in toxic) / len(toxic) > 0.5 and sum(p for _, p in clean) / len(clean) < 0.01
+    above = sum((a > b) + 0.5 * (a == b) for a, _ in toxic for b, _ in clean)
+    assert above / (len(toxic) * len(clean)) > 0.7  # area under the curve
+
+
 def test_toxicity_cases(spark):
     texts = ["you worthless fool", "a fine day by the sea"]
     rows = [(i, texts[i % 2]) for i in range(60)] + [(100, None), (101, ""), (102, "fool " * 40_000)]

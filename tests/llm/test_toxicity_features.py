@@ -114,3 +114,14 @@ def test_null_ids_are_held_out_and_scored(spark):
     found = toxicity.classify(docs, labels).collect()
     assert len(found) == 4 and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in found)
     assert all(r["held_out"] for r in found if r["doc_id"] is None)
+
+
+def test_long_texts_have_the_same_features_in_pieces(monkeypatch):
+    rng = np.random.default_rng(9)
+    text = "".join(rng.choice(list("abcdefgh éÄß\n日🙂"), 5000).tolist())
+    short = pa.array([text, "x", text[:50]])
+    doc, bucket = toxicity.features(short)
+    monkeypatch.setattr(toxicity, "LONG", 97)
+    monkeypatch.setattr(toxicity, "SLICE", 1)  # every text by itself
+    again = toxicity.features(short)
+    assert (doc == again[0]).all() and (bucket == again[1]).all()
