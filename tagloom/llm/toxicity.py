@@ -7,8 +7,9 @@ all of which take part.
 
 The classifier is fitted on a bounded sample: PER_CLASS whole labelled documents of each class,
 those with the least hashes, of CLASS_CHARS characters together at most (a document with which they would be more is
-skipped; if all are longer than that, the shortest one alone is learned from); its threshold is then moved to
-the classes' true shares. Scoring reads whole texts. Null and empty texts have no n-gram and get the
+skipped; if all are longer than that, the shortest one alone is learned from). Scores are then calibrated: parts of the
+sample are scored by models of the other parts, and a logistic curve over these scores gives the classes' true shares (with fewer than
+LEAST_CALIBRATED documents of a class the threshold alone is moved to them). Scoring reads whole texts. Null and empty texts have no n-gram and get the
 score of none. Documents without a label are scored but never learned from; a document labelled
 twice counts as toxic if any label says so, and of rows that repeat an id one text is learned from.
 With one class or none to learn from, every score is that class's smoothed share. Repeated rows get
@@ -41,6 +42,8 @@ CLASS_CHARS = 6_000_000
 SMOOTHING = 1.0
 #: Values of the design matrix that the fit works on at a time.
 FIT_SLICE = 1 << 20
+#: Parts of the sample by which scores are calibrated, and documents that each class must have for that.
+FOLDS, LEAST_CALIBRATED = 3, 30
 #: Strength of the pull of weights towards 0.
 RIDGE = 1.0
 
@@ -191,6 +194,38 @@ def fitted(columns: np.ndarray, edges: np.ndarray, y: np.ndarray, shares: dict[i
     return Model(table, float(w[-1] + np.log(shares[1] / shares[0])))
 
 
+def calibrated(model: Model, columns: np.ndarray, edges: np.ndarray, y: np.ndarray, shares: dict[int, int]) -> Model:
+    """The model with scores that are the classes' shares among documents that it hasn't learned from.
+
+    Each of FOLDS parts of the sample is scored by a model of the others; a logistic curve over these scores, fitted to the
+    classes' true shares, gives the final scores' scale and threshold.
+    """
+    n = len(y)
+    part, z = np.zeros(n, int), np.zeros(n)
+    for label in (0, 1):
+        part[y == label] = np.arange(int((y == label).sum())) % FOLDS
+    for f in range(FOLDS):
+        rest = np.flatnonzero(part != f)
+        own = fitted(np.concatenate([columns[edges[i] : edges[i + 1]] for i in rest]), np.append(0, np.cumsum(np.diff(edges)[rest])), y[rest], {0: 1, 1: 1})
+        for i in np.flatnonzero(part == f):
+            z[i] = own.bias + float(own.table[columns[edges[i] : edges[i + 1]]].sum())
+    count = {1: int(y.sum()), 0: n - int(y.sum())}
+    weight = np.where(y > 0, shares[1] / count[1], shares[0] / count[0]) * n / sum(shares.values())
+    goal = np.where(y > 0, (count[1] + 1) / (count[1] + 2), 1 / (count[0] + 2))  # never quite certain
+    middle, width = float(np.median(z)), float(z.std()) or 1.0
+    x = np.stack([(z - middle) / width, np.ones(n)])
+    line = np.array([1.0, np.log(shares[1] / shares[0])])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(line @ x, -30, 30)))
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-9))) @ x.T + 1e-6 * np.eye(2), x @ (weight * (p - goal)))
+        line -= np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
+            break
+    slope = max(line[0], 1e-3) / width
+    bias = model.bias - float(np.log(shares[1] / shares[0]))
+    return Model((model.table * slope).astype(np.float32), float(slope * (bias - middle) + line[1]))
+
+
 def _fitting(rows: list, most: int = CLASS_CHARS) -> list:
     """Ids of (class, characters, id) that fit into `most` characters a class, in the order given; the shortest of a class of which none fits."""
     used: dict = {}
@@ -222,7 +257,11 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
         toxic.append(r["toxic"])
     if len(set(toxic)) < 2:
         return one_class
-    model = fitted(np.frombuffer(held, "<u4"), np.cumsum(lengths), np.array(toxic, float), shares)
+    sample = np.frombuffer(held, "<u4"), np.cumsum(lengths), np.array(toxic, float), shares
+    model = fitted(*sample)
+    if min(toxic.count(0), toxic.count(1)) >= LEAST_CALIBRATED:
+        model = calibrated(model, *sample)
+    del sample
     del held
     kernel.release()
     return model

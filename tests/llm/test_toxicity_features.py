@@ -125,3 +125,17 @@ def test_long_texts_have_the_same_features_in_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "SLICE", 1)  # every text by itself
     again = toxicity.features(short)
     assert (doc == again[0]).all() and (bucket == again[1]).all()
+
+
+def test_scores_are_calibrated_on_documents_that_models_have_not_seen():
+    """Words that say nothing: the model tells its own documents apart, but scores must be the classes' share."""
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(list("abcdefghij"), 30)) for _ in range(160)]
+    y = np.array([i % 4 == 0 for i in range(160)], float)
+    doc, bucket = toxicity.features(pa.array(texts))
+    sample = bucket.astype("<u4"), np.searchsorted(doc, np.arange(161)), y, {1: 40, 0: 120}
+    plain, found = toxicity.fitted(*sample), toxicity.calibrated(toxicity.fitted(*sample), *sample)
+    fresh = pa.array(["".join(rng.choice(list("abcdefghij"), 30)) for _ in range(300)])
+    assert abs(found.scores(fresh).mean() - 0.25) < 0.05 < found.scores(fresh).std() + 0.05
+    order = np.argsort(plain.scores(fresh))
+    assert (np.diff(found.scores(fresh)[order]) >= -1e-6).all()  # scale and threshold alone change
