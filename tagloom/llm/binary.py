@@ -133,10 +133,13 @@ def _sample(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> list[by
     """Serialised ids of at most SAMPLE_DOCUMENTS whole documents: those with the least hashes."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
     usable = docs.filter(F.length("text") <= SAMPLE_CHARS)
-    # thinned by a threshold on the hash first, so that tasks don't all send as many rows
-    share = min(1.0, 4 * SAMPLE_DOCUMENTS / max(1, usable.count()))
-    hashed = F.xxhash64("doc_id")
-    rows = usable.filter(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text", hashed.alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(SAMPLE_DOCUMENTS).select("text").collect()
+    # thinned by a threshold on the hash first, so that tasks don't all send as many rows; if that leaves too few, because others are long, all usable ones are asked
+    share = min(1.0, 4 * SAMPLE_DOCUMENTS / max(1, docs.count()))
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    for most in dict.fromkeys((int(share * (1 << 30)) + 1, 1 << 30)):
+        rows = usable.filter(hashed < most).select("text", hashed.alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(SAMPLE_DOCUMENTS).select("text").collect()
+        if len(rows) == SAMPLE_DOCUMENTS:
+            break
     return [serialise(raw + end, width) for raw in encoder(tokenizer, True).encode([r[0] or "" for r in rows])]
 
 
