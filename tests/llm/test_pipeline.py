@@ -74,4 +74,4 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
 
 
 def test_every_operator_is_registered():
-    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{n}" for n in range(1, 14)}
