@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 #: Buckets at most, and rows of one from which it is dealt to several tasks.
@@ -27,15 +28,14 @@ def bin_of_each(values: DataFrame, value: str, edges: DataFrame, edge: str, buck
     cuts = values.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else []
     cuts = sorted({c for c in cuts or [] if c is not None and c == c})  # n numbers at most
 
+    at = F.lit(cuts).cast(ArrayType(kind)) if cuts else None
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+
     def bucket(c):
-        """Cuts that aren't above a value, by halving."""
-        found, step = F.lit(0), 1 << max(0, len(cuts).bit_length() - 1)
-        at = F.array(*[F.lit(x).cast(kind) for x in cuts])
-        while cuts and step:
-            further = found + step
-            found = F.when((further <= len(cuts)) & (F.get(at, further - 1) <= c), further).otherwise(found)
-            step >>= 1
-        return found
+        """Cuts that aren't above a value, by halving: a fold over the steps, so that the expression doesn't double with each."""
+        if not cuts:
+            return F.lit(0)
+        return F.aggregate(F.lit(steps), F.lit(0), lambda found, step: F.when((found + step <= len(cuts)) & (F.get(at, found + step - 1) <= c), found + step).otherwise(found))
 
     placed = values.withColumn("_bucket", bucket(F.col(value)))
     edged = edges.withColumn("_bucket", bucket(F.col("_edge")))
