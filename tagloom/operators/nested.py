@@ -25,13 +25,14 @@ def schema_of(documents: DataFrame, column: str) -> str:
     return documents.agg(F.schema_of_variant_agg(column)).first()[0]  # one text
 
 
-def collect_key(docs: DataFrame, key: str, document: str, name: str) -> DataFrame:
-    """key, vals: all values under a name anywhere in each JSON document, as JSON texts; documents that aren't JSON (or null) have null.
+def collect_key(docs: DataFrame, key: str, document: str, name: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """key, columns that are asked for also, vals: all values under a name anywhere in each JSON document, as JSON texts; documents that aren't JSON (or null) have null.
 
-    A value stands before those within it; the members of an object come in the order of their names. One step a level of the deepest document.
+    A value stands before those within it; the members of an object come in the order of their names. One step a level of the deepest document. Documents
+    and what is found in them meet by grouping: a join would send all of one side through the driver, for the size of a few columns beside a variant is underrated.
     """
     spark = docs.sparkSession
-    rows = files.stored(docs.select(key, F.monotonically_increasing_id().alias("_row"), parsed(F.col(document)).alias("_v")), "variants")
+    rows = files.stored(docs.select(key, *also, F.monotonically_increasing_id().alias("_row"), parsed(F.col(document)).alias("_v")), "variants")
     level = rows.filter("_v IS NOT NULL").select("_row", F.array().cast("array<int>").alias("_path"), "_v")
     parts = []
     while True:
@@ -42,6 +43,8 @@ def collect_key(docs: DataFrame, key: str, document: str, name: str) -> DataFram
         parts.append(level.filter(F.col("_key") == name).select("_row", "_path", F.to_json("_v").alias("_json")))
     empty = F.array().cast("array<string>")
     if not parts:
-        return rows.select(key, F.when(F.col("_v").isNotNull(), empty).alias("vals"))
-    found = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_path", "_json"))), lambda x: x["_json"]).alias("_vals"))
-    return rows.join(found, "_row", "left").select(key, F.when(F.col("_v").isNotNull(), F.coalesce("_vals", empty)).alias("vals"))
+        return rows.select(key, *also, F.when(F.col("_v").isNotNull(), empty).alias("vals"))
+    whole = rows.select("_row", F.struct(key, *also, F.col("_v").isNotNull().alias("_is")).alias("_of"))
+    hits = reduce(DataFrame.unionByName, parts).select("_row", F.struct("_path", "_json").alias("_hit"))
+    found = whole.unionByName(hits, allowMissingColumns=True).groupBy("_row").agg(F.first("_of", ignorenulls=True).alias("_of"), F.array_sort(F.collect_list("_hit")).alias("_hits"))
+    return found.select(*[F.col(f"_of.`{c}`").alias(c) for c in (key, *also)], F.when(F.col("_of._is"), F.transform("_hits", lambda x: x["_json"])).alias("vals"))

@@ -171,8 +171,7 @@ def entity_decode(spark: SparkSession, folder: str) -> DataFrame:
     title = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)
     doc = F.to_json(F.struct(F.struct(F.col("page_id").alias("k")).alias("a"), F.array(F.struct(F.lit("x").alias("k"))).alias("b")))
     pages = roles.table(spark, folder, "pages").select("page_id", s.decode_entities(title).alias("title"), doc.alias("doc"))
-    keys = nested.collect_key(pages.select("page_id", "doc"), "page_id", "doc", "k").distinct()
-    return pages.join(keys, "page_id").select("page_id", "title", F.array_join("vals", ",").alias("keys"))
+    return nested.collect_key(pages, "page_id", "doc", "k", also=("title",)).select("page_id", "title", F.array_join("vals", ",").alias("keys"))
 
 
 QUERIES = {

@@ -63,11 +63,10 @@ def props_nested(spark: SparkSession, folder: str) -> DataFrame:
     events = roles.table(spark, folder, "events").select("event_id", "event_type", "props")
     # errors hold their properties within another object; views' texts are cut short
     whole = F.when(F.col("event_type") == "error", F.concat(F.lit('{"error": {"of": ['), "props", F.lit(', {"k": "x"}]}}'))).when(F.col("event_type") == "view", F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
-    docs = files.stored(events.select("event_id", whole.alias("doc")), "props")
-    found = nested.collect_key(docs, "event_id", "doc", "k")
-    v = nested.parsed(F.col("doc"))
-    typed = docs.select("event_id", F.coalesce(nested.value_at(v, "$.k", "long"), nested.value_at(v, "$.error.of[0].k", "long")).alias("k"))
-    return typed.join(found, "event_id").select("event_id", "k", F.array_join("vals", ",").alias("vals"))
+    v = nested.parsed(whole)
+    docs = events.select("event_id", whole.alias("doc"), F.coalesce(nested.value_at(v, "$.k", "long"), nested.value_at(v, "$.error.of[0].k", "long")).alias("k"))
+    found = nested.collect_key(docs, "event_id", "doc", "k", also=("k",))
+    return found.select("event_id", "k", F.array_join("vals", ",").alias("vals"))
 
 
 def site_crawl(spark: SparkSession, folder: str) -> DataFrame:

@@ -143,6 +143,13 @@ def test_values_under_a_key(spark):
             assert [json.loads(v) for v in found[i]] == list(walk(json.loads(d)))
 
 
+def test_values_under_a_key_meet_their_documents_without_a_join(spark):
+    docs = spark.createDataFrame([(7, "a", '{"k": 1, "b": [{"k": "x"}]}'), (7, "b", "{broken"), (None, "c", "{}")], "i int, more string, d string")
+    found = nested.collect_key(docs, "i", "d", "k", also=("more",))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r.more, r.i, r.vals) for r in found.collect())) == [("a", 7, ['"x"', "1"]), ("b", 7, None), ("c", None, [])]
+
+
 def test_typed_values_and_schemas(spark):
     df = spark.createDataFrame([('{"a": 1, "b": ["x"]}',), ('{"a": "q"}',), ("no",), (None,)], "d string").select(nested.parsed(F.col("d")).alias("v"))
     assert [r[0] for r in df.select(nested.value_at(F.col("v"), "$.a", "int")).collect()] == [1, None, None, None]
@@ -173,6 +180,13 @@ def test_bins_of_other_types_and_empty_tables(spark):
     assert bins.bin_of_each(numbers.limit(0), "v", spark.createDataFrame([(1,)], "e int"), "e").isEmpty()
 
 
+def test_bins_of_a_thousand_buckets(spark):
+    values = spark.range(3000).select("id", (F.col("id") * 7 % 3000).cast("double").alias("v"))
+    found = bins.bin_of_each(values, "v", spark.range(0, 3000, 11).select(F.col("id").cast("double").alias("e")), "e", buckets=1024)
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 1_000_000
+    assert sorted((r.v, r.bin) for r in found.collect()) == [(float(v), float(v // 11 * 11)) for v in range(3000)]
+
+
 def test_bins_without_a_nested_loop(spark):
     found = bins.bin_of_each(spark.range(100).withColumn("v", F.col("id")), "v", spark.range(0, 100, 7), "id")
     plan = found._jdf.queryExecution().executedPlan().toString()
