@@ -50,6 +50,25 @@ def list_contents(taggings: DataFrame, lists: DataFrame, pulled: DataFrame, view
     return by_owner.select(columns).unionByName(by_viewer.select(columns)).unionByName(drawn.select(columns)).distinct()
 
 
+def list_sizes(taggings: DataFrame, lists: DataFrame, pulled: DataFrame, viewer: int, tagged: DataFrame | None = None) -> DataFrame:
+    """list_id, entities: how many rows list_contents has for each list, without making them; lists that hold nothing are left out.
+
+    Lists that pull in the same tags draw the same entities, which are found and counted once; to these come the entities of the name tag
+    that aren't among them. tagged: tag, entity_type, entity_id of all taggings, if it is known more cheaply.
+    """
+    entity = ["entity_type", "entity_id"]
+    users = lists.select(F.col("owner_id").alias("user_id")).union(lists.sparkSession.range(1).select(F.lit(viewer).alias("user_id"))).distinct()
+    theirs = taggings.join(users, "user_id", "left_semi").select("user_id", "tag", *entity)
+    names = lists.select("list_id", F.col("name_tag").alias("tag"), F.explode(F.array("owner_id", F.lit(viewer))).alias("user_id"))
+    named = theirs.join(names, ["tag", "user_id"]).select("list_id", *entity).distinct()
+    sources = pulled.join(lists.filter("pullin"), "list_id", "left_semi").groupBy("list_id").agg(F.array_sort(F.collect_set("tag")).alias("_tags"))
+    each = sources.select("_tags").distinct().select("_tags", F.explode("_tags").alias("tag"))
+    drawn = each.join((taggings if tagged is None else tagged).select("tag", *entity).distinct(), "tag").select("_tags", *entity).distinct()
+    counts = sources.join(drawn.groupBy("_tags").agg(F.count("*").alias("n")), "_tags").select("list_id", "n")
+    more = named.join(sources, "list_id", "left").join(drawn, ["_tags", *entity], "left_anti").groupBy("list_id").agg(F.count("*").alias("n"))
+    return counts.unionByName(more).groupBy("list_id").agg(F.sum("n").alias("entities"))
+
+
 def first_claim(candidates: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     """For each key the row of the least rank: owned before contributed before friends' before public."""
     return candidates.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(rank))).filter("_n = 1").drop("_n")
