@@ -105,7 +105,7 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 def tag_sets(spark: SparkSession, folder: str) -> DataFrame:
     """COL-23, SET-3, SET-5: of a part's tags, how many one user may edit, and how many are locked."""
-    on = roles.taggings(spark, folder).groupBy("entity_id", "tag").agg(F.bool_or(F.col("user_id") == c.USER).alias("mine"))
+    on = roles.tagged(spark, folder, mine=F.bool_or(F.col("user_id") == c.USER))
     return on.groupBy("entity_id").agg(F.count("*").alias("visible"), F.count_if("mine").alias("editable"), F.count_if(~F.col("mine")).alias("locked"))
 
 
