@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, search
-from ..sources import roles
+from ..sources import files, roles
 
 
 def _nodes(spark: SparkSession, *names: str) -> DataFrame:
@@ -85,10 +85,9 @@ def best_first_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def best_members(spark: SparkSession, folder: str) -> DataFrame:
     """NODE-4, NODE-5, TOPK-5: parts recommended through the tags of a user's parts, the best twenty."""
-    taggings = roles.taggings(spark, folder)
-    own = taggings.filter("user_id = 7")
-    weights = own.groupBy("tag").agg(F.count("*").cast("double").alias("value"))
-    others = taggings.select("tag", "entity_id").distinct().join(own.select("entity_id").distinct(), "entity_id", "left_anti")
+    tagged = files.stored(roles.tagged(spark, folder, mine=F.coalesce(F.bool_or(F.col("user_id") == 7), F.lit(False))), "tagged")
+    weights = tagged.filter("mine").groupBy("tag").agg(F.sum("names").cast("double").alias("value"))
+    others = tagged.filter("NOT mine")
     return graph.aggregate_members(others.join(weights, "tag").select(F.col("entity_id").alias("node"), "value"), 20)
 
 
@@ -96,7 +95,7 @@ def related_entities(spark: SparkSession, folder: str) -> DataFrame:
     """GRF-13, GRF-20, JOIN-25, JOIN-26: parts that carry a tag or a synonym of it, by how they were found."""
     e = roles.expressions(spark, folder)
     tag = spark.createDataFrame([("3:blue",)], "tag string")
-    on = roles.taggings(spark, folder).select("tag", "entity_id").distinct()
+    on = files.stored(roles.tagged(spark, folder).select("tag", "entity_id"), "tagged")
     direct = on.join(tag, "tag", "left_semi").select("entity_id").distinct()
     near = on.join(search.synonyms(e, tag), "tag", "left_semi").select("entity_id").distinct()
     return direct.withColumn("found", F.lit("tag")).unionByName(near.join(direct, "entity_id", "left_anti").withColumn("found", F.lit("synonym")))
