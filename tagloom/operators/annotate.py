@@ -2,7 +2,8 @@
 
 Tokens are rows and a lexicon is a prefix tree in a table, walked level by level, so long texts and large lexicons meet in Spark's
 joins and nothing is built for words that the lexicon doesn't have. A document's matches come together again only to settle
-overlaps, from left to right.
+overlaps, from left to right. Tables as large as the texts meet by sorted merges within their documents' partitions: their size on disk
+says little of their rows, by which Spark would send them through the driver. A lexicon goes to all tasks up to BROADCAST_ROWS.
 """
 
 from __future__ import annotations
@@ -19,6 +20,22 @@ from ..sources import files
 _TOKEN = r"(\d+/\d+|\d+[½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅐⅛⅜⅝⅞]|[\p{L}\p{N}_'’-]+\.?|[^\p{L}\p{N}_\s])"
 
 
+#: Rows of a lexicon's tree that are sent to all tasks; a larger one is shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def _large(rows: DataFrame) -> DataFrame:
+    """Rows that are as many as the texts': never sent to all tasks."""
+    return rows.hint("merge")
+
+
+def _grown(words: DataFrame) -> tuple[DataFrame, int]:
+    """A lexicon's tree, stored, with a hint by its size; the words of its longest phrase."""
+    tree = files.stored(prefix_tree(words), "lexicon-tree")
+    rows, depth = tree.agg(F.count("*"), F.max(F.size(F.split("child", "-")))).first()  # two numbers
+    return F.broadcast(tree) if rows <= BROADCAST_ROWS else _large(tree), depth or 1
+
+
 def tokens(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """key, pos, token: words (with an abbreviation's point), numbers and signs in order."""
     return docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))).alias("pos", "token"))
@@ -65,27 +82,23 @@ def walk(starts: DataFrame, read: DataFrame, key: str, tree: DataFrame, depth: i
 
     One join with the words and one with the tree a level. The words of all levels are the same exchange, which Spark reuses.
     """
-    words = read.join(tree.select("word").distinct(), "word", "left_semi").select(F.col(key).alias("_key"), F.col("w").alias("_w"), F.col("word").alias("_word"), F.col("next").alias("_next"), F.col("last").alias("_last"), F.col("end").alias("_end"))
+    words = read.select(F.col(key).alias("_key"), F.col("w").alias("_w"), F.col("word").alias("_word"), F.col("next").alias("_next"), F.col("last").alias("_last"), F.col("end").alias("_end"))
     edges = tree.select(F.col("node").alias("_node"), F.col("word").alias("_edge"), F.col("child").alias("_child"), F.col("tags").alias("_tags"))
     kept = [c for c in starts.columns if c not in ("node", "at")]
     state = starts.withColumn("found", F.lit(None).cast("struct<end:int,phrase:string,tags:array<string>>"))
     for _ in range(depth):
-        step = state.join(words, (F.col(key) == F.col("_key")) & (F.col("at") == F.col("_w")), "left").join(edges, (F.col("node") == F.col("_node")) & (F.col("_word") == F.col("_edge")), "left")
+        step = state.join(_large(words), (F.col(key) == F.col("_key")) & (F.col("at") == F.col("_w")), "left").join(edges, (F.col("node") == F.col("_node")) & (F.col("_word") == F.col("_edge")), "left")
         here = F.struct(F.col("_end").cast("int").alias("end"), F.col("_child").alias("phrase"), F.col("_tags").alias("tags"))
         state = step.select(*kept, F.col("_child").alias("node"), F.when(F.col("_child").isNotNull(), F.col("_next")).alias("at"), F.when(F.col("_last") & F.col("_tags").isNotNull(), here).otherwise(F.col("found")).alias("found"))
     return state.filter("found IS NOT NULL").select(*kept, "found")
 
 
-def _depth(words: DataFrame) -> int:
-    return words.agg(F.max("words")).first()[0] or 1  # one number: words of the longest phrase
-
-
 def phrases(found: DataFrame, key: str, words: DataFrame) -> DataFrame:
     """key, pos, words, tags: the longest phrase of the lexicon at each place that no earlier phrase covers; words: the tokens that it takes."""
-    tree, read = prefix_tree(words), stream(found, key)
-    roots = tree.filter("node = ''").select("word").distinct()
+    (tree, depth), read = _grown(words), stream(found, key)
+    roots = tree.filter("node = ''").select("word")
     starts = read.filter("first").join(roots, "word", "left_semi").select(key, "pos", F.lit("").alias("node"), F.col("w").alias("at"))
-    hits = walk(starts, read, key, tree, _depth(words)).select(key, "pos", (F.col("found.end") - F.col("pos")).alias("words"), "found.tags")
+    hits = walk(starts, read, key, tree, depth).select(key, "pos", (F.col("found.end") - F.col("pos")).alias("words"), "found.tags")
     by_place = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("words")).alias("less"), "tags"))).alias("hits"))
     start = F.struct(F.array().cast("array<struct<pos:int,words:int,tags:array<string>>>").alias("kept"), F.lit(0).alias("free"))
     settled = F.aggregate(
@@ -107,10 +120,10 @@ def phrase_lists(found: DataFrame, key: str, words: DataFrame) -> DataFrame:
     out words that the first one begins with: the item that shares most of them is meant, of these the longest. `and` and `or`
     lead to the last item. Phrases that stand alone are lists of one. Rounds are as many as the longest list has items.
     """
-    tree, read, depth = files.stored(prefix_tree(words), "lexicon-tree"), files.stored(stream(found, key), "word-stream"), _depth(words)
+    (tree, depth), read = _grown(words), files.stored(stream(found, key), "word-stream")
     signs = found.filter(F.lower("token").isin(",", "and", "or")).select(key, F.col("pos").alias("_at"), F.lower("token").alias("_sign"))
     firsts = read.filter("first").select(key, F.col("pos").alias("_pos"), "w")
-    roots = tree.filter("node = ''").select("word").distinct()
+    roots = tree.filter("node = ''").select("word")
     starts = read.filter("first").join(roots, "word", "left_semi").select(key, "pos", F.lit("").alias("node"), F.col("w").alias("at"))
     heads = walk(starts, read, key, tree, depth)
     items = files.stored(heads.select(key, F.col("pos").alias("list"), F.lit(1).alias("nth"), "pos", "found"), "phrase-lists")
@@ -122,11 +135,11 @@ def phrase_lists(found: DataFrame, key: str, words: DataFrame) -> DataFrame:
     while True:
         nth += 1
         # a comma may have `and` or `or` behind it
-        one = last.join(signs, (last[key] == signs[key]) & (F.col("_end") == F.col("_at"))).select(last[key], "list", "_sign", (F.col("_end") + 1).alias("_pos"))
+        one = last.join(_large(signs), (last[key] == signs[key]) & (F.col("_end") == F.col("_at"))).select(last[key], "list", "_sign", (F.col("_end") + 1).alias("_pos"))
         two = signs.filter("_sign <> ','").select(F.col(key).alias("_k"), F.col("_at").alias("_p"), F.lit(True).alias("_two"))
-        ahead = one.join(two, (one[key] == F.col("_k")) & (F.col("_pos") == F.col("_p")) & (F.col("_sign") == ","), "left")
+        ahead = one.join(_large(two), (one[key] == F.col("_k")) & (F.col("_pos") == F.col("_p")) & (F.col("_sign") == ","), "left")
         ahead = ahead.select(key, "list", ((F.col("_sign") == ",") & F.col("_two").isNull()).alias("_more"), (F.col("_pos") + F.coalesce(F.col("_two").cast("int"), F.lit(0))).alias("_pos"))
-        begun = ahead.join(firsts, [key, "_pos"]).join(paths, [key, "list"]).select(key, "list", F.col("_pos").alias("pos"), "_more", "shared", "node", F.col("w").alias("at"))
+        begun = ahead.join(_large(firsts), [key, "_pos"]).join(_large(paths), [key, "list"]).select(key, "list", F.col("_pos").alias("pos"), "_more", "shared", "node", F.col("w").alias("at"))
         best = walk(begun, read, key, tree, depth).groupBy(key, "list").agg(F.max(F.struct("shared", "found.end", "pos", "_more", "found")).alias("b"))
         new = files.stored(best.select(key, "list", F.lit(nth).alias("nth"), "b.pos", "b.found", "b._more"), "phrase-lists")
         if new.isEmpty():
@@ -138,7 +151,7 @@ def phrase_lists(found: DataFrame, key: str, words: DataFrame) -> DataFrame:
     spans = whole.groupBy(key, "list").agg(F.max("found.end").alias("_end")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("list", "_end"))).alias("s"))
     kept = F.aggregate("s", F.struct(F.array().cast("array<int>").alias("kept"), F.lit(0).alias("free")), lambda acc, x: F.when(x["list"] >= acc["free"], F.struct(F.concat(acc["kept"], F.array(x["list"])).alias("kept"), x["_end"].alias("free"))).otherwise(acc), lambda acc: acc["kept"])
     chosen = spans.select(key, F.explode(kept).alias("list"))
-    return whole.join(chosen, [key, "list"]).select(key, "list", "nth", "pos", (F.col("found.end") - F.col("pos")).alias("words"), "found.phrase", "found.tags")
+    return whole.join(_large(chosen), [key, "list"]).select(key, "list", "nth", "pos", (F.col("found.end") - F.col("pos")).alias("words"), "found.phrase", "found.tags")
 
 
 def numbers(found: DataFrame, key: str) -> DataFrame:
@@ -147,9 +160,9 @@ def numbers(found: DataFrame, key: str) -> DataFrame:
     is_whole, is_part = F.col("token").rlike(r"^\d+$"), F.col("token").rlike(rf"^(\d+/\d+|[{glyphs}])$")
     single = found.filter(is_whole | is_part | F.col("token").rlike(rf"^\d+[{glyphs}]$") | F.lower("token").isin(list(WORDS)))
     part = found.filter(is_part).select(key, (F.col("pos") - 1).alias("pos"), F.col("token").alias("part"))
-    mixed = found.filter(is_whole).join(part, [key, "pos"]).select(key, "pos", F.lit(2).alias("words"), number_value(F.concat_ws(" ", "token", "part")).alias("value"))
+    mixed = found.filter(is_whole).join(_large(part), [key, "pos"]).select(key, "pos", F.lit(2).alias("words"), number_value(F.concat_ws(" ", "token", "part")).alias("value"))
     taken = mixed.select(key, F.explode(F.array("pos", F.col("pos") + 1)).alias("pos"))
-    rest = single.join(taken, [key, "pos"], "left_anti").select(key, "pos", F.lit(1).alias("words"), number_value(F.col("token")).alias("value"))
+    rest = single.join(_large(taken), [key, "pos"], "left_anti").select(key, "pos", F.lit(1).alias("words"), number_value(F.col("token")).alias("value"))
     return mixed.unionByName(rest)
 
 
@@ -159,7 +172,7 @@ def ranges(found: DataFrame, key: str) -> DataFrame:
     between = found.filter(F.lower("token").isin("to", "or", "-", "–")).select(key, F.col("pos").alias("sign"))
     left = n.select(key, "pos", F.col("value").alias("low"), F.col("words").alias("w1"), (F.col("pos") + F.col("words")).alias("sign"))
     right = n.select(key, (F.col("pos") - 1).alias("sign"), F.col("value").alias("high"), F.col("words").alias("w2"))
-    return left.join(between, [key, "sign"]).join(right, [key, "sign"]).select(key, "pos", (F.col("w1") + F.col("w2") + 1).alias("words"), "low", "high")
+    return left.join(_large(between), [key, "sign"]).join(_large(right), [key, "sign"]).select(key, "pos", (F.col("w1") + F.col("w2") + 1).alias("words"), "low", "high")
 
 
 def amounts(found: DataFrame, key: str, units: DataFrame) -> DataFrame:
@@ -167,7 +180,7 @@ def amounts(found: DataFrame, key: str, units: DataFrame) -> DataFrame:
     n = numbers(found, key)
     u = phrases(found, key, units).select(key, F.col("pos").alias("at"), F.col("words").alias("more"), F.get("tags", F.lit(0)).alias("unit"))
     near = reduce(DataFrame.unionByName, [n.select(key, "pos", "value", F.lit(gap).alias("gap"), (F.col("pos") + F.col("words") + gap).alias("at"), "words") for gap in (0, 1)])
-    best = near.join(u, [key, "at"]).groupBy(key, "pos").agg(F.min(F.struct("gap", (F.col("words") + F.col("gap") + F.col("more")).alias("words"), "value", "unit")).alias("b"))
+    best = near.join(_large(u), [key, "at"]).groupBy(key, "pos").agg(F.min(F.struct("gap", (F.col("words") + F.col("gap") + F.col("more")).alias("words"), "value", "unit")).alias("b"))
     return best.select(key, "pos", "b.words", "b.value", "b.unit")
 
 
@@ -177,4 +190,4 @@ def ingredient_lines(lines: DataFrame, key: str, text: Column, units: DataFrame,
     first = amounts(found, key, units).groupBy(key).agg(F.min(F.struct("pos", "words", "value", "unit")).alias("a"))
     names = phrases(found, key, ingredients).groupBy(key).agg(F.array_sort(F.collect_set(F.get("tags", F.lit(0)))).alias("ingredients"))
     comment = F.regexp_extract(text, r"[,(](.*)$", 1)
-    return lines.select(key, F.trim(comment).alias("comment")).join(first, key, "left").join(names, key, "left").select(key, "a.value", "a.unit", F.coalesce("ingredients", F.array().cast("array<string>")).alias("ingredients"), "comment")
+    return lines.select(key, F.trim(comment).alias("comment")).join(_large(first), key, "left").join(_large(names), key, "left").select(key, "a.value", "a.unit", F.coalesce("ingredients", F.array().cast("array<string>")).alias("ingredients"), "comment")

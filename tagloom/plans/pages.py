@@ -61,7 +61,7 @@ def phrase_lists(spark: SparkSession, folder: str) -> DataFrame:
     second = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.element_at(F.split("p_name", " "), -1).alias("noun"))
     third = part.select((F.col("p_partkey") - 2).alias("p_partkey"), F.col("p_name").alias("other"))
     text = F.concat("p_name", F.lit(", "), "noun", F.lit(" and "), "other")
-    found = annotate.phrase_lists(annotate.tokens(part.join(second, "p_partkey").join(third, "p_partkey"), "p_partkey", text), "p_partkey", annotate.lexicon(names))
+    found = annotate.phrase_lists(annotate.tokens(part.join(second.hint("merge"), "p_partkey").join(third.hint("merge"), "p_partkey"), "p_partkey", text), "p_partkey", annotate.lexicon(names))
     return found.select("p_partkey", "list", "nth", "pos", "words", F.array_join("tags", ",").alias("tags"))
 
 

@@ -74,3 +74,12 @@ def test_empty_tables(spark, words):
     assert annotate.phrases(lines(spark, "salt").limit(0), "i", words).isEmpty() and annotate.phrase_lists(lines(spark, "x"), "i", words.limit(0)).isEmpty()
 
 
+
+
+def test_words_of_texts_are_never_sent_to_all_tasks(spark):
+    docs = spark.createDataFrame([(1, "some red ring and red"), (2, "ring")], "i int, t string")
+    words = annotate.lexicon(spark.createDataFrame([("red ring", "a"), ("red", "b")], "name string, tag string"))
+    found = annotate.phrases(annotate.tokens(docs, "i", F.col("t")), "i", words)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastExchange") <= 3  # a join with the words a level; the lexicon's tree and its roots
+    assert sorted((r.i, r.pos, r.words, *r.tags) for r in found.collect()) == [(1, 1, 2, "a"), (1, 4, 1, "b")]
