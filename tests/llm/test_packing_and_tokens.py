@@ -40,6 +40,21 @@ def test_memo_stays_bounded():
     assert len(enc.memo) + len(enc.old) <= 60
 
 
+def test_words_are_learned_once_whatever_their_case_and_signs():
+    enc, library = Encoder(WORDS, False), Tokenizer.from_file(WORDS)
+    texts = ["Word word, (word) WORD. word.", "wOrd, Été", None, " \n", "word.", "été x.y 1a"]
+    for text, raw in zip(texts, enc.encode(texts)):
+        assert raw == np.asarray(library.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    assert len(enc.memo) == len(["word", ",", "(word)", ".", "Été", "été", "x.y", "1a"])
+
+
+def test_letters_whose_lower_case_lies_far_off():
+    enc, library = Encoder(WORDS, False), Tokenizer.from_file(WORDS)
+    texts = [f"{a}{chr(c)}{b}" for c in range(33, 0x300) for a, b in (("", ""), ("A", ""), ("", "a"), ("a", ","))]
+    for text, raw in zip(texts, enc.encode(texts)):
+        assert raw == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def brute_bins(sizes, capacity):
     """Least number of bins, by trying all ways."""
     sizes, best = sorted(sizes, reverse=True), [len(sizes)]
