@@ -594,7 +594,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     band = F.shiftright("code", _SEGMENT_BITS).cast("int")
     roots = components(meetings.select(F.xxhash64("a", band).alias("a"), F.xxhash64("b", band).alias("b")))
     # one document of each set stands for all
-    classes = sets.filter("b > 0").groupBy("c", "b").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    classes = common.stored(sets.filter("b > 0").groupBy("c", "b").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key")), "jaccard-distinct")
     own = _band(sets, percent)
     nodes = classes.withColumn("band", F.explode(F.array(own, own - 1))).withColumn("node", F.xxhash64("c", F.col("band").cast("int")))
     candidates = common.stored(nodes.join(roots, "node").select("c", "b", "key", "root", "band"), "jaccard-classes")
@@ -616,6 +616,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         if links is not None:
             true_roots = components(links)
     labelled = classes.join(true_roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").select("c", "doc_id", F.coalesce("label", "c").alias("label"))
+    labelled = common.stored(labelled, "jaccard-members")  # read twice: one plan of all this has more shuffles at a time than the driver has room for
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labelled.join(least, "label").select("c", "component_id")
     empty = sets.filter("b = 0").select("doc_id", F.col("b").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -127,7 +127,8 @@ def fit_logistic(columns: np.ndarray, edges: np.ndarray, scale: np.ndarray, y: n
     def forward(v):
         scaled, out = (scale * v[:-1]).astype(np.float32), np.full(n, v[-1])
         for lo, hi in parts:
-            sums = np.append(0.0, np.cumsum(scaled[columns[edges[lo] : edges[hi]]], dtype=np.float64))
+            sums = np.zeros(edges[hi] - edges[lo] + 1)
+            np.cumsum(scaled[columns[edges[lo] : edges[hi]]], dtype=np.float64, out=sums[1:])
             out[lo:hi] += np.diff(sums[edges[lo : hi + 1] - edges[lo]])
         return out
 
@@ -173,22 +174,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fitted(columns: np.ndarray, edges: np.ndarray, y: np.ndarray, shares: dict[int, int]) -> Model:
-    """The model of documents with these buckets (row by row) and classes; shares: labelled documents of each class."""
+def _renumber(columns: np.ndarray, numbers: np.ndarray) -> None:
+    for lo in range(0, len(columns), FIT_SLICE):
+        columns[lo : lo + FIT_SLICE] = numbers[columns[lo : lo + FIT_SLICE]]
+
+
+def fitted(columns: np.ndarray, edges: np.ndarray, y: np.ndarray, shares: dict[int, int], learned: np.ndarray | None = None) -> Model:
+    """The model of documents with these buckets (row by row) and classes; shares: labelled documents of each class.
+
+    learned: which documents are learned from, if not all. The buckets are numbered anew in place while the model is fitted, for
+    the driver has no room for a second copy of them.
+    """
+    learned = np.ones(len(y), bool) if learned is None else learned
     seen = np.zeros(BUCKETS, bool)
     for lo in range(0, len(columns), FIT_SLICE):
         seen[columns[lo : lo + FIT_SLICE]] = True
-    used, index = np.flatnonzero(seen), np.zeros(BUCKETS, np.uint32)
+    used, index = np.flatnonzero(seen).astype(np.uint32), np.zeros(BUCKETS, np.uint32)
     index[used] = np.arange(len(used), dtype=np.uint32)
-    columns = index[columns]
-    n_pos = int(y.sum())
-    n_neg = len(y) - n_pos
-    each = np.zeros((2, len(used)))
-    for i, label in enumerate(y):
-        each[int(label), columns[edges[i] : edges[i + 1]]] += 1
-    ratio = np.log((each[1] + SMOOTHING) / (n_pos + 2 * SMOOTHING)) - np.log((each[0] + SMOOTHING) / (n_neg + 2 * SMOOTHING))
-    balance = np.where(y > 0, len(y) / (2 * max(1, n_pos)), len(y) / (2 * max(1, n_neg)))
-    w = fit_logistic(columns, edges, ratio, y, balance)
+    n_pos = int(y[learned].sum())
+    n_neg = int(learned.sum()) - n_pos
+    _renumber(columns, index)
+    try:
+        del seen, index
+        each = np.zeros((2, len(used)), np.uint32)
+        for i in np.flatnonzero(learned):
+            each[int(y[i]), columns[edges[i] : edges[i + 1]]] += 1
+        ratio = np.log((each[1] + SMOOTHING) / (n_pos + 2 * SMOOTHING)) - np.log((each[0] + SMOOTHING) / (n_neg + 2 * SMOOTHING))
+        ratio[each.sum(axis=0) == 0] = 0.0  # of documents that aren't learned from
+        del each
+        balance = np.where(y > 0, (n_pos + n_neg) / (2 * max(1, n_pos)), (n_pos + n_neg) / (2 * max(1, n_neg))) * learned
+        w = fit_logistic(columns, edges, ratio, y, balance)
+    finally:
+        _renumber(columns, used)
     table = np.zeros(BUCKETS, np.float32)
     table[used] = w[:-1] * ratio
     return Model(table, float(w[-1] + np.log(shares[1] / shares[0])))
@@ -205,8 +222,7 @@ def calibrated(model: Model, columns: np.ndarray, edges: np.ndarray, y: np.ndarr
     for label in (0, 1):
         part[y == label] = np.arange(int((y == label).sum())) % FOLDS
     for f in range(FOLDS):
-        rest = np.flatnonzero(part != f)
-        own = fitted(np.concatenate([columns[edges[i] : edges[i + 1]] for i in rest]), np.append(0, np.cumsum(np.diff(edges)[rest])), y[rest], {0: 1, 1: 1})
+        own = fitted(columns, edges, y, {0: 1, 1: 1}, part != f)
         for i in np.flatnonzero(part == f):
             z[i] = own.bias + float(own.table[columns[edges[i] : edges[i + 1]]].sum())
     count = {1: int(y.sum()), 0: n - int(y.sum())}
@@ -257,7 +273,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
         toxic.append(r["toxic"])
     if len(set(toxic)) < 2:
         return one_class
-    sample = np.frombuffer(held, "<u4"), np.cumsum(lengths), np.array(toxic, float), shares
+    sample = np.frombuffer(held, "<u4"), np.cumsum(lengths), np.array(toxic, float), shares  # a bytearray's numbers can be changed in place
     model = fitted(*sample)
     if min(toxic.count(0), toxic.count(1)) >= LEAST_CALIBRATED:
         model = calibrated(model, *sample)

@@ -134,6 +134,32 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 5, 60])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    links = [(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(300)] + [(5000 + i % 40, 5000 + i * i % 40) for i in range(200)] + [(-9, -8), (9000, None)]
+    want = {}
+    for a, b in links:
+        if b is not None and a != b:
+            one = want.get(a, {a}) | want.get(b, {b})
+            want |= dict.fromkeys(one, one)
+    found = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    roots = dict(map(tuple, found))
+    assert len(found) == len(roots) == len(want)
+    assert all(roots[n] in own and {roots[x] for x in own} == {roots[n]} for n, own in want.items())
+
+
+def test_few_links_take_few_jobs(spark):
+    """The driver keeps something of every job, stage and task: the last rounds of a contraction have hardly a link but as many of them."""
+    links = spark.range(1000).selectExpr("id AS a", "id + 1 AS b")
+    spark.sparkContext.setJobGroup("few-links", "")
+    try:
+        assert components.components(links).select("root").distinct().count() == 1
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 10
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
 def weighted(text):
     words = re.split(r"[\x09-\x0D\x20]+", text)
     return collections.Counter(zip(words, [*words[1:], None]))

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -139,3 +140,33 @@ def test_scores_are_calibrated_on_documents_that_models_have_not_seen():
     assert abs(found.scores(fresh).mean() - 0.25) < 0.05 < found.scores(fresh).std() + 0.05
     order = np.argsort(plain.scores(fresh))
     assert (np.diff(found.scores(fresh)[order]) >= -1e-6).all()  # scale and threshold alone change
+
+
+def sampled(n, width, seed=5):
+    """Documents of as many different buckets each, and their classes."""
+    rng = np.random.default_rng(seed)
+    y = (np.arange(n) % 2).astype(float)
+    rows = [np.sort(rng.choice(4000, width, replace=False) + (2000 if label else 0)) * 300 for label in y]
+    return np.concatenate(rows).astype("<u4"), np.arange(n + 1) * width, y
+
+
+def test_fit_makes_no_copy_of_the_sample():
+    columns, edges, y = sampled(4000, 2000)
+    before = columns.copy()
+    tracemalloc.start()
+    try:
+        toxicity.calibrated(toxicity.fitted(columns, edges, y, {0: 9, 1: 1}), columns, edges, y, {0: 9, 1: 1})
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (columns == before).all()
+    assert most < 2 * columns.nbytes, most
+
+
+def test_parts_left_out_are_not_learned_from():
+    columns, edges, y = sampled(90, 50)
+    learned = np.arange(90) % 3 != 1
+    rest = np.flatnonzero(learned)
+    found = toxicity.fitted(columns, edges, y, {0: 1, 1: 1}, learned)
+    want = toxicity.fitted(np.concatenate([columns[edges[i] : edges[i + 1]] for i in rest]), np.arange(len(rest) + 1) * 50, y[rest], {0: 1, 1: 1})
+    assert np.allclose(found.table, want.table, atol=1e-6) and np.isclose(found.bias, want.bias, atol=1e-6)
