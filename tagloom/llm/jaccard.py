@@ -9,9 +9,13 @@ the pigeonhole principle makes any similar pair meet in some segment. All segmen
 counted costs (how many sets share a segment's subsets) a segment whose subsets are shared by very
 many sets gives its allowance to one that is cheap to index with one shingle left out.
 
-Segments without a shingle would make strangers meet, so sets don't index theirs: there are so many
-spare segments that, where a set has no more empty ones than that, a similar pair still meets in one
-that isn't empty in both. The few sets with more index their empty segments too.
+Segments without a shingle would make strangers meet, and so would those that hold nothing but
+shingles of a line that very many texts share. So there are spare segments, and each set leaves out
+as many of its own, the worst in an order that depends on nothing but the segment and its subset:
+empty ones first, then those whose rarest shingle is the most common in a bounded sample, then those
+of the fewest shingles. Of the segments (one more than the spare ones at least) in which a similar
+pair has the same subset, the best is never left out, for all others come before it. Whatever the
+sample says, no pair is lost; it only decides how many strangers meet.
 
 Sets that meet are linked to the first of their meeting place only, so rows stay linear in the
 number of index entries however large a group is. Components of the meetings in one band's index
@@ -55,8 +59,12 @@ REMEMBERED = 200_000
 SLICE = 1 << 20
 #: Documents and shingles of a block (of bitmaps twice as many documents); two blocks are compared at a time.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
-#: Share of a band's sets that may have more empty segments than there are spare ones.
-MANY_EMPTY = 0.02
+#: Share of a band's sets that may have more segments without a rare shingle than there are spare ones.
+MANY_EMPTY = 0.002
+#: Share of a set's shingles that is taken to be common when spare segments are counted.
+COMMON_SHARE = 0.25
+#: Sets (about) in which shingles are counted, sets of a common one at least, and common ones that are told apart at most.
+SAMPLE, LEAST_COMMON, MOST_COMMON = 5_000, 4, 20_000
 #: What comparing two sets costs, against an index entry's 1.
 PAIR_COST = 0.1
 #: Bits of a bitmap for each shingle of the largest set in a band.
@@ -79,10 +87,12 @@ def differing(total: int, percent: int) -> int:
     return total - 2 * -(-percent * total // (100 + percent))
 
 
-def _more_than(k: int, mean: float) -> float:
-    """The chance that a Poisson variable exceeds k."""
-    if mean > 50:
-        return 0.5 * erfc((k + 0.5 - mean) / sqrt(2 * mean))
+def _more_empty(k: int, segments: int, shingles: float) -> float:
+    """The chance that more than k segments get none of the shingles: by Poisson's distribution if they are few, else the normal one."""
+    mean = segments * exp(-shingles / segments)
+    if mean > 2:
+        variance = mean * (1 - (1 + shingles / segments) * exp(-shingles / segments))
+        return 0.5 * erfc((k + 0.5 - mean) / sqrt(2 * variance))
     term = total = exp(-mean)
     for i in range(1, k + 1):
         term *= mean / i
@@ -119,12 +129,11 @@ class Bands:
 
     @lru_cache(maxsize=None)  # noqa: B019
     def spare(self, band: int) -> int:
-        """Segments beyond those of the pigeonhole principle: as many as most sets of the band have without a shingle."""
+        """Segments beyond those of the pigeonhole principle: as many as most sets of the band have without a rare shingle."""
         size, spare = self.tops[band - 1] + 1 if band else 1, 0
         while True:
             m = self.differing(band) + 1 + spare
-            mean = m * exp(-size / m)
-            if spare >= 8 + m // 4 or _more_than(spare, mean) <= MANY_EMPTY:
+            if spare >= 8 + m // 4 or _more_empty(spare, m, (1 - COMMON_SHARE) * size) <= MANY_EMPTY:
                 return spare
             spare += 1
 
@@ -145,19 +154,32 @@ def _keys(sums: np.ndarray, band: int, segment: np.ndarray) -> np.ndarray:
     return code << U64(_HASH_BITS) | mixed >> U64(64 - _HASH_BITS)
 
 
-def entries(tokens: np.ndarray, bands: Bands, band: int, allowed: np.ndarray | None = None) -> np.ndarray:
-    """Keys of a set (ascending distinct hashes) in one band's index. allowed: the segments' allowances if they aren't all 1."""
+def _worst(n: int, cuts: np.ndarray, common: np.ndarray | None, plain: np.ndarray) -> np.ndarray:
+    """Which n of the plain segments (all, if there are fewer) are left out. Places: 24 bits for the segment, 20 for the size, then the sample's count."""
+    size = np.diff(cuts)
+    rarest = np.zeros(len(size), np.int64)
+    filled = size > 0
+    if common is not None and len(common):
+        rarest[filled] = np.minimum.reduceat(common, cuts[:-1][filled])
+    few = (1 << 20) - 1
+    order = np.where(filled, rarest << 44 | few - np.minimum(size, few) << 24, 1 << 62) | np.arange(len(size))
+    order[~plain] = -1
+    if n == 0:
+        return np.zeros(len(size), bool)
+    return plain if n >= plain.sum() else order >= np.partition(order, len(order) - n)[len(order) - n]
+
+
+def entries(tokens: np.ndarray, bands: Bands, band: int, allowed: np.ndarray | None = None, common: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a set (ascending distinct hashes) in one band's index. allowed: the segments' allowances if they aren't all 1.
+    common: in how many sets of the sample each shingle is."""
     cuts = np.concatenate(([0], np.searchsorted(tokens, bands.edges(band)), [len(tokens)]))
     spread = kernel.mix(tokens)
     segment = np.arange(len(cuts) - 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, U64), np.cumsum(spread, dtype=U64)))
         whole = sums[cuts[1:]] - sums[cuts[:-1]]
-        empty = cuts[1:] == cuts[:-1]
         used = np.ones(len(segment), bool) if allowed is None else allowed > 0
-        plain = empty if allowed is None else empty & (allowed == 1)
-        if plain.sum() <= bands.spare(band):
-            used = used & ~plain
+        used = used & ~_worst(bands.spare(band), cuts, common, used if allowed is None else allowed == 1)
         keys = _keys(whole[used], band, segment[used])
         if allowed is None:
             return keys
@@ -191,8 +213,8 @@ def _met(keys: np.ndarray, ids: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.unique(np.stack((ids, heads, keys >> _HASH_BITS & (1 << 64 - _HASH_BITS) - 1)), axis=1) if len(keys) else np.zeros((3, 0), np.int64)
 
 
-def _sets(width: int):
-    """doc_id, key, b (shingles), c (set hash, 0 for the empty set) of each document."""
+def _sets(width: int, every: int):
+    """doc_id, key, b (shingles), c (set hash, 0 for the empty set) of each document, and the shingles of every so manieth set."""
 
     def run(batches):
         memos.forget()
@@ -200,15 +222,28 @@ def _sets(width: int):
             for lo, part in kernel.slices(batch.column(2), SLICE):
                 tokens, offsets = kernel.shingle_sets(part, width)
                 cids = [_set_hash(tokens[a:b]) if b > a else 0 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*(x.slice(lo, len(part)) for x in batch.columns[:2]), pa.array(np.diff(offsets)), pa.array(cids, pa.int64())], ["doc_id", "key", "b", "c"])
+                signed = tokens.view(np.int64)
+                sample = [signed[a:b] if b > a and c % every == 0 else None for c, a, b in zip(cids, offsets[:-1].tolist(), offsets[1:].tolist())]
+                columns = [*(x.slice(lo, len(part)) for x in batch.columns[:2]), pa.array(np.diff(offsets)), pa.array(cids, pa.int64()), pa.array(sample, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "b", "c", "sample"])
 
     return run
 
 
-def _index(width: int, percent: int, changed: dict[int, np.ndarray] | None = None):
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's common shingles, ascending, and in how many of its sets each is. What is collected is bounded, whatever the input."""
+    each = sets.filter("sample IS NOT NULL").select("c", "sample").dropDuplicates(["c"]).select(F.explode("sample").alias("h"))
+    found = each.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    hashes, counts = np.array([r["h"] for r in found], np.int64).view(U64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _index(width: int, percent: int, common: tuple[np.ndarray, np.ndarray], changed: dict[int, np.ndarray] | None = None):
     """a (key), c (set), head of index entries. Sets that meet within a task are met here: a row with a head says that c met it
-    under a, and only the first goes on. changed: entries of these bands only, by their allowances."""
+    under a, and only the first goes on. common: of _common. changed: entries of these bands only, by their allowances."""
     bands = Bands(percent)
+    known, counts = common
 
     def rows(keys, ids, heads):
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.nulls(len(ids), pa.int64()) if heads is None else pa.array(heads)], ["a", "c", "head"])
@@ -230,6 +265,10 @@ def _index(width: int, percent: int, changed: dict[int, np.ndarray] | None = Non
         for batch in batches:
             for _, part in kernel.slices(batch.column(0), SLICE):
                 tokens, offsets = kernel.shingle_sets(part, width)
+                n = np.zeros(len(tokens), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                    n = np.where(known[at] == tokens, counts[at], 0)
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     if a == b:
                         continue
@@ -243,7 +282,7 @@ def _index(width: int, percent: int, changed: dict[int, np.ndarray] | None = Non
                     for at in (band, band - 1):
                         if at < 0 or (changed is not None and at not in changed):
                             continue
-                        k = entries(own, bands, at, None if changed is None else changed[at])
+                        k = entries(own, bands, at, None if changed is None else changed[at], n[a:b])
                         keys.append(k)
                         ids.append(np.full(len(k), cid, np.int64))
                         held += len(k)
@@ -289,12 +328,14 @@ def allocate(costs: np.ndarray, sets: int, per_segment: float) -> np.ndarray:
 
     The dearest segment hands its allowance to the cheapest as long as that is worth it: indexing
     subsets with one shingle left out costs an entry for each shingle of each set, and makes more
-    pairs meet than the subsets themselves do (twice as many are reckoned with).
+    pairs meet than the subsets themselves do (twice as many are reckoned with, and all pairs of those
+    sets that have one shingle there at most: they meet in the empty subset).
     """
     allowed = np.ones(len(costs), np.int64)
+    bare = (sets * (1 + per_segment) * exp(-per_segment)) ** 2 / 2
     order = np.argsort(costs, kind="stable")
     for cheap, dear in zip(order, order[::-1]):
-        if PAIR_COST * (costs[dear] - 2 * costs[cheap]) <= sets * per_segment or cheap == dear:
+        if PAIR_COST * (costs[dear] - 2 * costs[cheap] - bare) <= sets * per_segment or cheap == dear:
             break
         allowed[cheap], allowed[dear] = 2, 0
     return allowed
@@ -583,12 +624,15 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     common.on_workers(spark)
+    every = max(1, docs.count() // SAMPLE)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
     parts = 2 * common.shuffle_partitions(spark)
-    sets = common.stored(docs.mapInArrow(_sets(width), "doc_id long, key long, b long, c long"), "jaccard-sets")
-    meetings = common.stored(_meetings(docs, _index(width, percent), parts), "jaccard-meetings")
+    sets = common.stored(docs.mapInArrow(_sets(width, every), "doc_id long, key long, b long, c long, sample array<long>"), "jaccard-sets")
+    frequent = _common(sets)
+    sets = sets.drop("sample")
+    meetings = common.stored(_meetings(docs, _index(width, percent, frequent), parts), "jaccard-meetings")
     if changed := _changed(sets, meetings, percent):
-        again = _meetings(docs, _index(width, percent, changed), parts)
+        again = _meetings(docs, _index(width, percent, frequent, changed), parts)
         meetings = meetings.filter(~F.shiftright("code", _SEGMENT_BITS).isin(list(changed))).unionByName(again)
     # a node is a set in one band's index
     band = F.shiftright("code", _SEGMENT_BITS).cast("int")

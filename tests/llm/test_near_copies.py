@@ -110,6 +110,53 @@ def test_similar_sets_always_meet():
         assert max(bands.of(len(a)), bands.of(len(b))) - small <= 1
 
 
+def test_similar_sets_meet_whatever_the_sample_says():
+    rng = np.random.default_rng(1)
+    met = 0
+    for percent in (80, 90):
+        bands = jaccard.Bands(percent)
+        for _ in range(400):
+            n = int(rng.integers(1, 150))
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            drop, more = (int(rng.integers(0, n // 8 + 2)) for _ in "ab")
+            b = np.unique(np.concatenate((a[drop:], rng.integers(0, 2**64, more, dtype=np.uint64))))
+            if not len(b) or (100 + percent) * len(np.intersect1d(a, b)) < percent * (len(a) + len(b)):
+                continue
+            met += 1
+            small = min(bands.of(len(a)), bands.of(len(b)))
+            m = bands.segments(small)
+            allowed = np.ones(m, int)
+            if m > 3:
+                allowed[:2], allowed[2:4] = 2, 0
+            counts = dict(zip(np.union1d(a, b).tolist(), rng.choice([0, 0, 1, 7, 5000], n + more).tolist()))
+            known = [np.array([counts[t] for t in x.tolist()]) for x in (a, b)]
+            for choice in (None, allowed):
+                keys = [jaccard.entries(x, bands, small, choice, k) for x, k in zip((a, b), known)]
+                assert set(keys[0]) & set(keys[1])
+            assert len(jaccard.entries(a, bands, small, None, known[0])) == bands.differing(small) + 1
+    assert met > 300
+
+
+def test_strangers_that_share_a_line_do_not_meet(spark, monkeypatch):
+    """Texts with a common line are compared in pairs if they meet, so their number would count squared."""
+    rng = random.Random(6)
+    line = " ".join(f"line{i}" for i in range(16))
+    texts = [line + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(50, 250))) for _ in range(1500)]
+    texts += [t + " end" for t in texts[:20]]
+    compared, stored = [], jaccard.common.stored
+
+    def seen(df, name):
+        out = stored(df, name)
+        if name == "jaccard-classes":
+            compared.append(out.select("c").distinct().count())
+        return out
+
+    monkeypatch.setattr(jaccard.common, "stored", seen)
+    found = jaccard.join(spark.createDataFrame(list(enumerate(texts)), SCHEMA), 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i % 1500 for i in range(1520)}
+    assert 40 <= compared[0] <= 100
+
+
 def test_join_cases(spark):
     assert jaccard.join(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, "a b c d e f g h"), (None, "a b c d e f g h"), (3, "a b c d e f g h"), (3, "a b c d e f g h"), (None, "z y x")]
